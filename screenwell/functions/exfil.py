@@ -91,8 +91,8 @@ def score(df: DataFrame, text: str = "content", pii_tier: str = "none",
         extra = F.size(model_spans) if model_spans is not None else F.lit(0)
     elif pii_tier != "none":
         raise ValueError(f"unknown pii_tier {pii_tier!r}")
-    counted = gated.select(
-        "*", *sensitive_counts(text), *indicator_counts(text), extra.alias("n_pii_tier"),
+    counted = tx.pin(
+        gated, *sensitive_counts(text), *indicator_counts(text), extra.alias("n_pii_tier"),
         F.transform(urls(text), lambda u: analyze_url(u, trusted)).alias("url_info"))
     s_names = [f"s_{p.name}" for p in cat.SENSITIVE]
     x_names = [f"x_{p.name}" for p in cat.EXFILTRATION]
@@ -121,7 +121,14 @@ def score(df: DataFrame, text: str = "content", pii_tier: str = "none",
     return scored if keep_counts else scored.drop(*s_names, *x_names, "n_pii_tier", "url_info", tx.LOWER, tx.UNGATED)
 
 
-def indicator_text(text: str = "content", kept: Column | None = None) -> Column:
+def sensitive_previews(text: str, p: cat.Pattern, when: Column) -> Column:
+    """`name: match` for every match, long matches cut to 50 characters."""
+    found = F.regexp_extract_all(tx.col(text), tx.rx(p.regex), F.lit(0))
+    labelled = F.transform(found, lambda m: F.concat(F.lit(f"{p.name}: "), tx.preview(m, 50, "...")))
+    return F.when(when, labelled).otherwise(F.array().cast("array<string>"))
+
+
+def indicator_text(text: str = "content") -> Column:
     """Readable indicators of a row scored with keep_counts=True.
 
     `type: text` for sensitive data, `name (method)` per indicator match,
@@ -129,9 +136,7 @@ def indicator_text(text: str = "content", kept: Column | None = None) -> Column:
     """
     parts = []
     for p in cat.SENSITIVE:
-        found = F.regexp_extract_all(tx.col(text), tx.rx(p.regex), F.lit(0))
-        labelled = F.transform(found, lambda m, name=p.name: F.concat(F.lit(f"{name}: "), tx.preview(m, 50, "...")))
-        parts.append(F.when(F.col(f"s_{p.name}") > 0, labelled).otherwise(F.array().cast("array<string>")))
+        parts.append(sensitive_previews(text, p, F.col(f"s_{p.name}") > 0))
     for p in cat.EXFILTRATION:
         parts.append(F.array_repeat(F.lit(f"{p.name} ({p.group})"), F.col(f"x_{p.name}")))
     shady = F.filter("url_info", lambda u: u["has_suspicious_params"] | ~u["is_trusted"])

@@ -178,8 +178,8 @@ def derive_key(secret: str, salt: bytes, iterations: int = 100_000) -> bytes:
 
 
 def encrypt(text: Column, key: Column) -> Column:
-    """base64(nonce + ciphertext + tag) by AES-256-GCM with a fresh nonce."""
-    return F.base64(F.aes_encrypt(text, key, F.lit("GCM")))
+    """base64(nonce + ciphertext + tag) by AES-256-GCM with a fresh nonce, in one line."""
+    return F.translate(F.base64(F.aes_encrypt(text, key, F.lit("GCM"))), "\r\n", "")
 
 
 def decrypt(stored: Column, key: Column) -> Column:

@@ -64,8 +64,8 @@ def score(df: DataFrame, text: str = "content", keep_counts: bool = False) -> Da
     counts, markers and scope count once), capped at 1.
     """
     names = [f"n_{p.name}" for p in cat.INJECTION]
-    counted = tx.with_gates(df, text).select(
-        "*", *pattern_counts(text), marker_score(marker_count()).alias("marker_score"),
+    counted = tx.pin(
+        tx.with_gates(df, text), *pattern_counts(text), marker_score(marker_count()).alias("marker_score"),
         scope_score(scope_hit(text)).alias("scope_score"))
     severities = [F.when(F.col(n) > 0, F.lit(p.weight)).otherwise(F.lit(0.0))
                   for n, p in zip(names, cat.INJECTION)]

@@ -55,6 +55,16 @@ def without_gates(df: DataFrame) -> DataFrame:
     return df.drop(LOWER, UNGATED)
 
 
+def pin(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that are computed here and nowhere else.
+
+    A later filter on something derived from them would be pushed down by
+    substituting their expressions, once per use; over a few dozen regexes that
+    makes plans explode.  Predicates do not pass the one-row generator.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def gate(name: str) -> Column:
     """True where the named pattern can match (needs `with_gates`)."""
     groups = cat.GATES.get(name)

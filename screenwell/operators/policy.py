@@ -55,7 +55,7 @@ def evaluate(content: DataFrame, policies: DataFrame, text: str = "content",
     Spark may split.
     """
     conds = pf.condition_map(pf.conditions(text, context))
-    checked = tx.without_gates(tx.with_gates(content, text).withColumn("conds", conds))
+    checked = tx.without_gates(tx.pin(tx.with_gates(content, text), conds.alias("conds")))
     joined = checked.join(tb.broadcast_if_small(rules_by_user(policies)), "user_id", "left")
     return _verdict(joined, text)
 
@@ -91,7 +91,7 @@ def compliance_evaluate(content: DataFrame, text: str = "content", context: Colu
                         templates: Sequence[str] = tuple(cat.TEMPLATES)) -> DataFrame:
     """Every content row against the built-in templates; no join at all."""
     conds = pf.condition_map(pf.conditions(text, context))
-    checked = tx.without_gates(tx.with_gates(content, text).withColumn("conds", conds))
+    checked = tx.without_gates(tx.pin(tx.with_gates(content, text), conds.alias("conds")))
     return _verdict(checked.withColumn("rules", template_rules(templates)), text)
 
 

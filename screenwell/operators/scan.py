@@ -28,7 +28,7 @@ def exfil_scan(df: DataFrame, text: str = "content", pii_tier: str = "none", **o
 
 def indirect_scan(df: DataFrame, text: str = "content", source: str = "unknown") -> DataFrame:
     """Zero-click instructions hidden in content that is processed later."""
-    return (tx.without_gates(tx.with_gates(df, text).withColumn("indirect", injection.indirect_hits(text)))
+    return (tx.without_gates(tx.pin(tx.with_gates(df, text), injection.indirect_hits(text).alias("indirect")))
             .withColumn("is_indirect_injection", F.size("indirect") > 0)
             .withColumn("scan_source", F.lit(source))
             .withColumn("verdict", F.when(F.size("indirect") > 0, F.lit("QUARANTINE")).otherwise(F.lit("SAFE"))))
@@ -74,7 +74,7 @@ def security_analyze(df: DataFrame, text: str = "content") -> DataFrame:
     helper = ([f"s_{p.name}" for p in cat.SENSITIVE] + [f"x_{p.name}" for p in cat.EXFILTRATION] + [
         "n_pii_tier", "url_info", "n_sensitive", "n_indicators", "n_urls", "n_untrusted_param_urls",
         "risk_score", "has_risk", "recommendation", tx.LOWER, tx.UNGATED, "_out"])
-    df = df.drop(*helper).withColumn("threats", merge_threats(F.col("_inj"), F.col("_jb"), F.col("_ex")))
+    df = tx.pin(df.drop(*helper), merge_threats(F.col("_inj"), F.col("_jb"), F.col("_ex")).alias("threats"))
     return (df.drop("_inj", "_jb", "_ex")
             .withColumn("risk_score", analysis_risk(F.col("threats")))
             .withColumn("is_safe", F.col("risk_score") < F.lit(cat.SAFE_RISK))
@@ -136,15 +136,15 @@ def content_filter(df: DataFrame, text: str = "content", *, filters: Column | No
                   for p in cat.PACKS for name, rx in p.patterns]
     if model_spans is not None:
         found.insert(0, model_spans)
-    df = tx.without_gates(tx.with_gates(df, "_pii").withColumn("entities", sp.merge(*found))).drop("_pii")
+    df = tx.without_gates(tx.pin(tx.with_gates(df, "_pii"), sp.merge(*found).alias("entities"))).drop("_pii")
     df = df.withColumn("filtered_content", F.when(
         F.col("_redact") & (F.size("entities") > 0), sp.redact(text, F.col("entities"))))
     unsafe = (((F.size("entities") > 0) & ~F.col("_redact"))
               | F.coalesce(F.col("toxicity") > F.col("_threshold"), F.lit(False))
               | (F.size("patterns") > 0))
     return (df.withColumn("is_safe", ~unsafe).withColumn("n_pii", F.size("entities"))
-            .withColumnRenamed("_filters", "filters_applied")
-            .withColumnRenamed("_redact", "redact").withColumnRenamed("_threshold", "toxicity_threshold"))
+            .withColumn("filters_applied", F.col("_filters")).withColumn("redact", F.col("_redact"))
+            .withColumn("toxicity_threshold", F.col("_threshold")).drop("_filters", "_redact", "_threshold"))
 
 
 def pack_table(spark) -> DataFrame:

@@ -168,7 +168,7 @@ def audit_log(spark: SparkSession, d: str) -> DataFrame:
         F.when(e == "purchase", F.lit("POST")).otherwise(F.lit("GET")).alias("http_method"),
         F.when(e == "error", F.element_at(F.array(F.lit(401), F.lit(429), F.lit(500)), (F.col("event_id") % 3 + 1).cast("int")))
         .otherwise(F.lit(200)).alias("status_code"),
-        F.col("value").alias("processing_time_ms"), F.col("props").alias("metadata"), header.alias("authorization"),
+        F.col("value").alias("processing_time_ms"), F.col("props").alias("metadata"), header.alias("auth_header"),
         F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" 10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(", 172.16.0.1")))
         .when(F.col("event_id") % 4 == 1, F.lit("")).alias("x_forwarded_for"),
         F.when(F.col("event_id") % 4 == 2, F.concat(F.lit("192.168.1."), (F.col("user_id") % 250).cast("string")))
