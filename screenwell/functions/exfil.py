@@ -96,19 +96,14 @@ def score(df: DataFrame, text: str = "content", pii_tier: str = "none",
         F.transform(urls(text), lambda u: analyze_url(u, trusted)).alias("url_info"))
     s_names = [f"s_{p.name}" for p in cat.SENSITIVE]
     x_names = [f"x_{p.name}" for p in cat.EXFILTRATION]
-
-    def worst(names, patterns):
-        return F.greatest(F.lit(0.0), *[F.when(F.col(n) > 0, F.lit(p.weight)).otherwise(F.lit(0.0))
-                                        for n, p in zip(names, patterns)])
-
     tier = F.when(F.col("n_pii_tier") > 0, F.lit(cat.MODEL_PII_SEVERITY)).otherwise(F.lit(0.0))
     scored = (counted
-              .withColumn("n_sensitive", reduce(lambda a, b: a + b, map(F.col, s_names)) + F.col("n_pii_tier"))
-              .withColumn("n_indicators", reduce(lambda a, b: a + b, map(F.col, x_names)))
+              .withColumn("n_sensitive", F.expr(" + ".join([*s_names, "n_pii_tier"])))
+              .withColumn("n_indicators", F.expr(" + ".join(x_names)))
               .withColumn("n_urls", F.size("url_info"))
               .withColumn("n_untrusted_param_urls", F.size(F.filter(
                   "url_info", lambda u: ~u["is_trusted"] & u["has_parameters"])))
-              .withColumn("_base", F.greatest(worst(s_names, cat.SENSITIVE), worst(x_names, cat.EXFILTRATION), tier))
+              .withColumn("_base", F.greatest(tx.worst_weight("s_", cat.SENSITIVE), tx.worst_weight("x_", cat.EXFILTRATION), tier))
               .withColumn("_both", F.when(
                   (F.col("n_sensitive") > 0) & (F.col("n_indicators") > 0),
                   F.least(F.col("_base") * F.lit(1.3), F.lit(1.0))).otherwise(F.col("_base")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +13,12 @@ _SCOPE_GATE = (("show", "what", "reveal", "print"),
 _INDIRECT_GATE = (("this", "an", "instruction", "context"), ("when", "if", "hidden", "ignore", "system"))
 
 
-def _open(groups) -> Column:
-    low = F.col(tx.LOWER)
-    return F.col(tx.UNGATED) | tx.all_of(tx.contains_any(low, g) for g in groups)
-
-
 def pattern_counts(text: str = "content") -> list[Column]:
     return [tx.gated_count(text, p).alias(f"n_{p.name}") for p in cat.INJECTION]
 
 
 def marker_count() -> Column:
-    return tx.count_contained(F.col(tx.LOWER), cat.CONTEXT_MARKERS)
+    return tx.count_contained(cat.CONTEXT_MARKERS)
 
 
 def marker_score(count: Column) -> Column:
@@ -34,7 +27,7 @@ def marker_score(count: Column) -> Column:
 
 
 def scope_hit(text: str = "content") -> Column:
-    return F.when(_open(_SCOPE_GATE), tx.any_of(tx.matches(text, p) for p in cat.SCOPE)).otherwise(F.lit(False))
+    return F.when(tx.opened(_SCOPE_GATE), tx.any_of(tx.matches(text, p) for p in cat.SCOPE)).otherwise(F.lit(False))
 
 
 def scope_score(hit: Column) -> Column:
@@ -45,11 +38,11 @@ def indirect_hits(text: str = "content") -> Column:
     """Numbers of the zero-click patterns that match, in catalogue order."""
     found = F.array_compact(F.array(*[
         F.when(tx.matches(text, p), F.lit(i)) for i, p in enumerate(cat.INDIRECT)]))
-    return F.when(_open(_INDIRECT_GATE), found).otherwise(F.array().cast("array<int>"))
+    return F.when(tx.opened(_INDIRECT_GATE), found).otherwise(F.array().cast("array<int>"))
 
 
 def jailbreak_hits() -> Column:
-    return tx.contained(F.col(tx.LOWER), cat.JAILBREAK)
+    return tx.contained(cat.JAILBREAK)
 
 
 def jailbreak_confidence(n: Column) -> Column:
@@ -67,13 +60,10 @@ def score(df: DataFrame, text: str = "content", keep_counts: bool = False) -> Da
     counted = tx.pin(
         tx.with_gates(df, text), *pattern_counts(text), marker_score(marker_count()).alias("marker_score"),
         scope_score(scope_hit(text)).alias("scope_score"))
-    severities = [F.when(F.col(n) > 0, F.lit(p.weight)).otherwise(F.lit(0.0))
-                  for n, p in zip(names, cat.INJECTION)]
-    total = (reduce(lambda a, b: a + b, [F.col(n) for n in names])
-             + (F.col("marker_score") > 0).cast("int") + (F.col("scope_score") > 0).cast("int"))
+    total = F.expr(" + ".join(names) + " + int(marker_score > 0) + int(scope_score > 0)")
     scored = (counted
               .withColumn("n_detections", total)
-              .withColumn("max_severity", F.greatest(*severities, "marker_score", "scope_score"))
+              .withColumn("max_severity", F.greatest(tx.worst_weight("n_", cat.INJECTION), "marker_score", "scope_score"))
               .withColumn("risk_score", F.when(
                   F.col("n_detections") > 0,
                   F.least(F.col("max_severity") + F.col("n_detections") * F.lit(cat.HIT_BONUS), F.lit(1.0)))

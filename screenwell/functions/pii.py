@@ -78,9 +78,9 @@ def label_to_type(label: Column) -> Column:
     """Canonical type of a model's free-text label; first matching rule wins."""
     norm = F.replace(F.lower(label), F.lit(" "), F.lit("_"))
     first, *rest = cat.LABEL_RULES
-    out = F.when(tx.contains_any(norm, first[1]), F.lit(first[0]))
+    out = F.when(tx.any_of(norm.contains(f) for f in first[1]), F.lit(first[0]))
     for type_, fragments in rest:
-        out = out.when(tx.contains_any(norm, fragments), F.lit(type_))
+        out = out.when(tx.any_of(norm.contains(f) for f in fragments), F.lit(type_))
     return out.otherwise(F.lit(cat.LABEL_DEFAULT))
 
 

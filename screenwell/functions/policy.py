@@ -9,10 +9,6 @@ from screenwell import catalog as cat
 from screenwell.functions import text as tx
 
 
-def _low() -> Column:
-    return F.col(tx.LOWER)
-
-
 def contains_card(text: str) -> Column:
     return F.when(tx.matches(text, r"\d[ -]?\d"), tx.matches(text, cat.CARD) | tx.matches(text, cat.PAN)).otherwise(F.lit(False))
 
@@ -23,7 +19,7 @@ def unencrypted_pan(text: str) -> Column:
 
 
 def contains_cvv(text: str) -> Column:
-    return F.when(F.col(tx.UNGATED) | tx.contains_any(_low(), ("cvv", "cvc", "csc", "security")),
+    return F.when(tx.opened((("cvv", "cvc", "csc", "security"),)),
                   tx.matches(text, cat.CVV)).otherwise(F.lit(False))
 
 
@@ -31,23 +27,23 @@ def contains_pii(text: str, mode: str = "rules", entities: Column | None = None)
     """`rules`: number formats or keywords; `entities`: any detected span."""
     if mode == "entities":
         return F.size(entities) > 0
-    return tx.contains_any(_low(), cat.PII_WORDS) | tx.matches(text, cat.SSN) | tx.matches(text, cat.CARD)
+    return tx.contains_any(cat.PII_WORDS) | tx.matches(text, cat.SSN) | tx.matches(text, cat.CARD)
 
 
 def contains_phi(mode: str = "rules", entities: Column | None = None) -> Column:
-    words = tx.contains_any(_low(), cat.PHI_WORDS)
+    words = tx.contains_any(cat.PHI_WORDS)
     if mode == "entities":
         return F.exists(entities, lambda e: F.lower(e["type"]).isin(*cat.PHI_TYPES)) | words
     return words
 
 
 def encryption_required(text: str) -> Column:
-    return F.when(F.col(tx.UNGATED) | tx.contains_any(_low(), ("password", "passwd", "secret", "api", "access")),
+    return F.when(tx.opened((("password", "passwd", "secret", "api", "access"),)),
                   tx.matches(text, cat.CLEARTEXT_SECRET)).otherwise(F.lit(False))
 
 
 def profanity(text: str) -> Column:
-    return F.when(tx.contains_any(_low(), cat.PROFANITY), F.arrays_overlap(
+    return F.when(tx.contains_any(cat.PROFANITY), F.arrays_overlap(
         tx.word_tokens(text), F.array(*[F.lit(w) for w in cat.PROFANITY]))).otherwise(F.lit(False))
 
 
@@ -69,8 +65,8 @@ def conditions(text: str = "content", context: Column | str | None = None, pii_m
         "audit_log_required": F.lit(True),
         "encryption_required": encryption_required(text),
         **ctx,
-        "data_sale_opt_out": tx.contains_any(_low(), cat.OPT_OUT_WORDS),
-        "right_to_delete": tx.contains_any(_low(), cat.DELETE_WORDS),
+        "data_sale_opt_out": tx.contains_any(cat.OPT_OUT_WORDS),
+        "right_to_delete": tx.contains_any(cat.DELETE_WORDS),
         "profanity": profanity(text),
     }
 

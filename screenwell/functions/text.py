@@ -70,8 +70,20 @@ def gate(name: str) -> Column:
     groups = cat.GATES.get(name)
     if not groups:
         return F.lit(True)
-    lower = F.col(LOWER)
-    return F.col(UNGATED) | all_of(any_of(lower.contains(x) for x in g) for g in groups)
+    return opened(groups)
+
+
+def opened(groups: Sequence[Sequence[str]]) -> Column:
+    """At least one word of every group occurs, or the text skips the gates."""
+    return F.expr(f"{UNGATED} OR (" + " AND ".join(f"({_either(g)})" for g in groups) + ")")
+
+
+def _has(word: str) -> str:
+    return f"contains({LOWER}, r'{word}')"
+
+
+def _either(words: Sequence[str]) -> str:
+    return " OR ".join(map(_has, words))
 
 
 def matches(text: Column | str, pattern: str) -> Column:
@@ -88,18 +100,25 @@ def gated_count(text: Column | str, p: cat.Pattern) -> Column:
     return count_matches(text, p.regex, gate(p.name))
 
 
-def contains_any(lowered: Column, words: Sequence[str]) -> Column:
-    return any_of(lowered.contains(w) for w in words)
+def contains_any(words: Sequence[str]) -> Column:
+    """One of the words occurs (this and the next two need `with_gates`)."""
+    return F.expr(_either(words))
 
 
-def count_contained(lowered: Column, words: Sequence[str]) -> Column:
+def count_contained(words: Sequence[str]) -> Column:
     """How many of the words occur at least once."""
-    return reduce(lambda a, b: a + b, [lowered.contains(w).cast("int") for w in words])
+    return F.expr(" + ".join(f"int({_has(w)})" for w in words))
 
 
-def contained(lowered: Column, words: Sequence[str]) -> Column:
+def contained(words: Sequence[str]) -> Column:
     """The words that occur, in list order."""
-    return F.array_compact(F.array(*[F.when(lowered.contains(w), F.lit(w)) for w in words]))
+    return F.expr("array_compact(array(" + ", ".join(f"if({_has(w)}, r'{w}', null)" for w in words) + "))")
+
+
+def worst_weight(prefix: str, patterns: Sequence[cat.Pattern]) -> Column:
+    """Highest weight among patterns whose count column is positive, else 0."""
+    cases = ", ".join(f"if({prefix}{p.name} > 0, {p.weight!r}D, 0D)" for p in patterns)
+    return F.expr(f"greatest(0D, {cases})")
 
 
 def ladder(score: Column, steps: Sequence[tuple[float | None, str]]) -> Column:

@@ -109,9 +109,7 @@ def pii_custom(spark, d):
     return _spans(spark, d, CUSTOM).select("content_id", F.inline("raw")).filter(F.col("label").isNotNull())
 
 
-# word boundaries of the SQL engine know ASCII only: stand-ins for accented letters restore them for upper-case codes
-_ASCII = r"regexp_replace(content, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', 'a', 'g')"
-_PACK_SQL = ", ".join(f"{k.count(_ASCII if p.name == 'financial' else 'content', rx)} AS n_{name}" for p in cat.PACKS for name, rx in p.patterns)
+_PACK_SQL = ", ".join(f"{k.count(k.plain_letters('content') if p.name == 'financial' else 'content', rx)} AS n_{name}" for p in cat.PACKS for name, rx in p.patterns)
 
 
 @query("custom_patterns", k.with_(k.CONTENT) + f"SELECT content_id, {_PACK_SQL} FROM content")

@@ -111,6 +111,16 @@ def count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, {q(pattern)}))"
 
 
+def plain_letters(text: str) -> str:
+    """Accented letters replaced by a plain one of equal length.
+
+    Word boundaries of the SQL engine know ASCII only; upper-case codes next to
+    an accented letter need the stand-in.
+    """
+    letters = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+    return f"regexp_replace({text}, '{letters}', 'a', 'g')"
+
+
 def hit(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, {q(pattern)})"
 
@@ -250,7 +260,7 @@ def spans(src: str, text: str, patterns, out: str = "sp") -> str:
     parts = []
     for p in patterns:
         pattern, type_, conf, label, *guard = p
-        e = span_list(text, pattern, type_, conf, label)
+        e = span_list(guard[1] if len(guard) > 1 else text, pattern, type_, conf, label)
         parts.append(f"CASE WHEN {guard[0]} THEN {e} ELSE [] END" if guard else e)
     keyed = ("list_transform(range(1, len(raw) + 1), lambda i: {'start': raw[i].start, 'neg': raw[i].neg, "
              "'ord': CAST(i AS INTEGER), 'type': raw[i].type, 'value': raw[i].value, 'label': raw[i].label, 'len': raw[i].len})")
