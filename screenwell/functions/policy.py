@@ -9,6 +9,9 @@ from screenwell import catalog as cat
 from screenwell.functions import text as tx
 
 
+REDACTED = "[REDACTED]"
+
+
 def contains_card(text: str) -> Column:
     return F.when(tx.matches(text, r"\d[ -]?\d"), tx.matches(text, cat.CARD) | tx.matches(text, cat.PAN)).otherwise(F.lit(False))
 
@@ -71,8 +74,9 @@ def conditions(text: str = "content", context: Column | str | None = None, pii_m
     }
 
 
-def condition_map(conds: dict[str, Column]) -> Column:
-    return F.create_map(*[x for k, v in conds.items() for x in (F.lit(k), v)])
+def holding(conds: dict[str, Column]) -> Column:
+    """Names of the conditions that hold."""
+    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in conds.items()]))
 
 
 def ranked_rules(rules: Column) -> Column:
@@ -84,18 +88,20 @@ def ranked_rules(rules: Column) -> Column:
         k["rule"]["action"].alias("action"), k["rule"]["priority"].alias("priority")))
 
 
-def firing(rules: Column, conds: Column) -> Column:
-    """The rules whose condition holds; unknown conditions never fire."""
-    return F.filter(rules, lambda r: F.coalesce(conds[r["condition"]], F.lit(False)))
+def firing(rules: Column, holding: Column) -> Column:
+    """The rules whose condition is among those that hold; unknown conditions never are."""
+    return F.filter(rules, lambda r: F.array_contains(holding, r["condition"]))
 
 
 def allowed(fired: Column) -> Column:
     return ~F.exists(fired, lambda r: r["action"] == "block")
 
 
-def modified_content(text: Column | str, fired: Column) -> Column:
-    """Last redact or block in evaluation order decides; null when unchanged."""
+def modified_content(unchanged: Column, fired: Column) -> Column:
+    """Last redact or block in evaluation order decides; null when that changes nothing.
+
+    `unchanged` tells that the content already is the redaction text.
+    """
     acting = F.filter(fired, lambda r: r["action"].isin("redact", "block"))
     last = F.try_element_at(F.transform(acting, lambda r: r["action"]), F.lit(-1))
-    out = F.when(last == "redact", F.lit("[REDACTED]"))
-    return F.when(out != tx.col(text), out)
+    return F.when((last == "redact") & ~unchanged, F.lit(REDACTED))

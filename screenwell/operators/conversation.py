@@ -47,9 +47,8 @@ def guard(turns: DataFrame) -> DataFrame:
 
 
 def history(turns: DataFrame) -> DataFrame:
-    """Conversations in list form.  For conversations of ordinary length only."""
-    return turns.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    """Conversations as ordered turns; a range sort, so a very long one spreads over tasks."""
+    return turns.orderBy("conv_id", "turn")
 
 
 def retrieve_top_k(candidates: DataFrame, k: int = 2) -> DataFrame:

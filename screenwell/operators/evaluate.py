@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +73,12 @@ def confusion(predicted: Column, actual: Column) -> list[Column]:
             F.count_if(~predicted & actual).alias("fn"), F.count_if(~predicted & ~actual).alias("tn")]
 
 
-def label_evaluate(scored: DataFrame, labels: DataFrame, predicted: Column, actual: Column, key: str = "doc_id") -> DataFrame:
-    """Confusion counts, precision and recall of a verdict against labels."""
-    c = scored.join(labels, key).agg(*confusion(predicted, actual))
+def label_evaluate(content: DataFrame, labels: DataFrame, detector: Callable[[DataFrame], DataFrame],
+                   predicted: Column, actual: Column, key: str = "doc_id") -> DataFrame:
+    """Confusion counts, precision and recall of a detector against labels.
+
+    Labels are joined first, so only labelled texts are scanned.
+    """
+    c = detector(content.join(labels, key)).agg(*confusion(predicted, actual))
     return c.withColumn("precision", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6)).withColumn(
         "recall", F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6))

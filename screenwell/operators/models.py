@@ -161,17 +161,17 @@ def entities(df: DataFrame, load: Callable[[], Callable[[str, Sequence[str], flo
     The model returns (label, text, start, end, score) per chunk.  Overlapping
     chunks report an entity twice; label, text and position identify it.
     """
-    parts = chunk_words(df, key, text)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for pdf in batches:
             rows = [(k, lab, val, off + a, off + b, float(p))
-                    for k, off, part in zip(pdf[key], pdf["offset"], pdf["chunk"])
+                    for k, t in zip(pdf[key], pdf[text]) if t is not None
+                    for off, part in split_words(t, cat.WORD_CHUNK_SIZE, cat.WORD_CHUNK_OVERLAP)
                     for lab, val, a, b, p in model(part, labels, threshold) if p >= threshold]
             yield pd.DataFrame(rows, columns=[key, "label", "value", "start", "end", "confidence"])
 
-    found = parts.mapInPandas(run, f"{key} bigint, label string, value string, start int, end int, confidence double")
+    found = df.select(key, text).mapInPandas(
+        run, f"{key} bigint, label string, value string, start int, end int, confidence double")
     return found.dropDuplicates([key, "label", "value", "start"]).withColumn("type", pii.label_to_type(F.col("label")))
 
 

@@ -49,24 +49,28 @@ def evaluate(content: DataFrame, policies: DataFrame, text: str = "content",
              context: Column | str | None = None) -> DataFrame:
     """Violations, verdict and modified content of every row under its owner's policies.
 
-    Policies without an owner match never apply; such rows are allowed.  Each
-    side is reduced before they meet: content to a map of conditions, policies
-    to one row per owner.  A busy owner skews only the content side, which
-    Spark may split.
+    Rows whose owner has no policy are allowed.  Each side is reduced before
+    they meet: content to the names of the conditions that hold (the text itself
+    need not travel), policies to one row per owner.  A busy owner skews only
+    the content side, which Spark splits.
     """
-    conds = pf.condition_map(pf.conditions(text, context))
-    checked = tx.without_gates(tx.pin(tx.with_gates(content, text), conds.alias("conds")))
-    joined = checked.join(tb.broadcast_if_small(rules_by_user(policies)), "user_id", "left")
-    return _verdict(joined, text)
+    checked = _checked(content, text, context)
+    return _verdict(checked.join(rules_by_user(policies), "user_id", "left"))
 
 
-def _verdict(df: DataFrame, text: str) -> DataFrame:
+def _checked(content: DataFrame, text: str, context: Column | str | None) -> DataFrame:
+    gated = tx.with_gates(content, text)
+    return tx.without_gates(tx.pin(gated, pf.holding(pf.conditions(text, context)).alias("holding"),
+                                   (F.col(text) == pf.REDACTED).alias("_same")))
+
+
+def _verdict(df: DataFrame) -> DataFrame:
     none = F.array().cast(df.schema["rules"].dataType)
-    fired = pf.firing(F.coalesce("rules", none), F.col("conds"))
+    fired = pf.firing(F.coalesce("rules", none), F.col("holding"))
     return (df.withColumn("violations", fired)
             .withColumn("allowed", pf.allowed(F.col("violations")))
-            .withColumn("modified_content", pf.modified_content(text, F.col("violations")))
-            .drop("rules", "conds"))
+            .withColumn("modified_content", pf.modified_content(F.col("_same"), F.col("violations")))
+            .drop("rules", "holding", "_same"))
 
 
 def violations(evaluated: DataFrame) -> DataFrame:
@@ -90,9 +94,8 @@ def template_rules(templates: Sequence[str] = tuple(cat.TEMPLATES)) -> Column:
 def compliance_evaluate(content: DataFrame, text: str = "content", context: Column | str | None = None,
                         templates: Sequence[str] = tuple(cat.TEMPLATES)) -> DataFrame:
     """Every content row against the built-in templates; no join at all."""
-    conds = pf.condition_map(pf.conditions(text, context))
-    checked = tx.without_gates(tx.pin(tx.with_gates(content, text), conds.alias("conds")))
-    return _verdict(checked.withColumn("rules", template_rules(templates)), text)
+    checked = _checked(content, text, context)
+    return _verdict(checked.withColumn("rules", template_rules(templates)))
 
 
 def pick(policies: DataFrame, ids: Sequence[int], user_id: int | None = None) -> DataFrame:

@@ -4,11 +4,11 @@ Only admitted requests count, so each decision depends on the ones before it.
 The batch form keeps that chain short and everything else parallel:
 
 1. attempts are counted per client and clock tick, and the ticks of one client
-   and minute packed into one sorted array: these groups are bounded by the
-   clock, so a client holding much of the log is spread over its minutes;
-2. the chain reads one packed row per client and minute, jumps to the next tick
-   that can be admitted, and returns admissions only: at most the hourly limit
-   per client and hour, whatever the traffic;
+   and second packed into sorted slices: these groups are bounded by the clock,
+   so a client holding much of the log is spread over its seconds;
+2. the chain reads the slices of a client in order, jumps to the next tick that
+   can be admitted, and returns admissions only: at most the hourly limit per
+   client and hour, whatever the traffic; they are written out once;
 3. decisions go back to the attempts by equi-joins on (client, tick) and
    (client, minute), both small on the decision side.
 """
@@ -24,8 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
+from screenwell.sources import tables as tb
 
-MINUTE, HOUR = 60_000_000, 3_600_000_000
+SECOND, MINUTE, HOUR = 1_000_000, 60_000_000, 3_600_000_000
+SLICE = 512
+
+
+def _div(c: Column, n: int) -> Column:
+    return F.call_function("div", c, F.lit(n))
 
 
 def is_oauth(path: Column) -> Column:
@@ -44,7 +50,7 @@ def attempt_rate(df: DataFrame, client: str = "client", micros: str = "us", id_:
     hour as background, so both frames are complete and no partition is larger
     than two hours of one client.
     """
-    b = F.floor(F.col(micros) / HOUR)
+    b = _div(F.col(micros), HOUR)
     copies = df.withColumn("_c", F.explode(F.array(
         F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))))
     part = Window.partitionBy(client, "_c.b").orderBy(micros)
@@ -65,13 +71,11 @@ def decide(df: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_hour: int =
     means fewer ticks in the chain.
     """
     limits = {False: (per_minute, per_hour), True: (oauth_per_minute, oauth_per_hour)}
-    tick = F.floor(F.col(micros) / tick_us)
-    base = df.withColumn("_t", tick).withColumn("_m", F.floor(F.col(micros) / MINUTE))
+    tick = _div(F.col(micros), tick_us)
+    base = df.withColumn("_t", tick).withColumn("_m", _div(F.col(micros), MINUTE))
     key = [client, oauth]
-    ticks = base.groupBy(*key, "_m", "_t").agg(F.count("*").alias("n"))
-    packed = ticks.groupBy(*key, "_m").agg(F.array_sort(F.collect_list(F.struct("_t", "n"))).alias("a")).select(
-        *key, "_m", F.col("a._t").alias("t"), F.col("a.n").alias("n"))
-    admitted = _chain(packed, key, limits, tick_us).withColumn("_m", F.floor(F.col("_t") * tick_us / MINUTE))
+    admitted = tb.materialise(_chain(_slices(base, key, tick_us), key, limits, tick_us), "admissions").withColumn(
+        "_m", _div(F.col("_t") * tick_us, MINUTE))
     # attempts admitted by rank within their tick; ranks beyond the limit are trimmed before the shuffle
     top = max(per_minute, oauth_per_minute)
     rank = F.row_number().over(Window.partitionBy(*key, "_t").orderBy(id_))
@@ -97,12 +101,22 @@ def decide(df: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_hour: int =
         F.when(ok, h - F.col("_hb") - F.col("_rank")).cast("int").alias("remaining_hour"))
 
 
-def _chain(packed: DataFrame, key: list[str], limits: dict, tick_us: int) -> DataFrame:
-    """Admissions per client and tick, from packed minutes in time order.
+def _slices(base: DataFrame, key: list[str], tick_us: int) -> DataFrame:
+    """Distinct ticks with their counts, as sorted arrays of at most SLICE ticks."""
+    second = _div(F.col("_t") * tick_us, SECOND).alias("_s")
+    ticks = base.groupBy(*key, second, "_t").agg(F.count("*").alias("n"))
+    packed = ticks.groupBy(*key, "_s").agg(F.array_sort(F.collect_list(F.struct("_t", "n"))).alias("a"))
+    cuts = F.sequence(F.lit(1), F.size("a"), F.lit(SLICE))
+    sliced = packed.select(*key, F.explode(F.transform(cuts, lambda i: F.slice("a", i, F.lit(SLICE)))).alias("a"))
+    return sliced.select(*key, F.col("a")[0]["_t"].alias("first"), F.col("a._t").alias("t"), F.col("a.n").alias("n"))
+
+
+def _chain(slices: DataFrame, key: list[str], limits: dict, tick_us: int) -> DataFrame:
+    """Admissions per client and tick, from slices in time order.
 
     State is one deque of admissions of the last hour per client, at most as
-    many as the hourly limit; batches arrive sorted, so one client's state is
-    enough at a time.
+    many as the hourly limit; slices arrive sorted, so one client's state is
+    held at a time.
     """
     client, oauth = key
 
@@ -113,14 +127,12 @@ def _chain(packed: DataFrame, key: list[str], limits: dict, tick_us: int) -> Dat
             for c, o, t, n in zip(pdf[client], pdf[oauth], pdf["t"], pdf["n"]):
                 if (c, o) != current:
                     current, state = (c, o), Limiter(*limits[bool(o)])
-                for at, k, mb, hb in state.minute(np.asarray(t), np.asarray(n), tick_us):
-                    rows.append((c, o, at, k, mb, hb))
+                rows += [(c, o, *hit) for hit in state.run(np.asarray(t), np.asarray(n), tick_us)]
             yield pd.DataFrame(rows, columns=[client, oauth, "_t", "k", "minute_before", "hour_before"])
 
-    kinds = dict(packed.dtypes)
+    kinds = dict(slices.dtypes)
     schema = f"{client} {kinds[client]}, {oauth} boolean, _t bigint, k int, minute_before int, hour_before int"
-    ordered = packed.repartition(*key).sortWithinPartitions(*key, "_m")
-    return ordered.mapInPandas(run, schema)
+    return slices.repartition(*key).sortWithinPartitions(*key, "first").mapInPandas(run, schema)
 
 
 class Limiter:
@@ -159,7 +171,7 @@ class Limiter:
             t = max(t or 0, self.hour_q[0][0] + HOUR)
         return t
 
-    def minute(self, ticks: np.ndarray, counts: np.ndarray, tick_us: int) -> Iterator[tuple[int, int, int, int]]:
+    def run(self, ticks: np.ndarray, counts: np.ndarray, tick_us: int) -> Iterator[tuple[int, int, int, int]]:
         """Run over sorted ticks, jumping past those that cannot be admitted."""
         i = 0
         while i < len(ticks):

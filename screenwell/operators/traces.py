@@ -66,7 +66,7 @@ def analytics_summary(traces: DataFrame, spans: DataFrame, keys: DataFrame, hour
     """One row: trace activity next to key activity.
 
     Traces of all users count, key usage is the given user's (all when None).
-    The one-row frames are put side by side.
+    The one-row parts are stacked and folded into one row.
     """
     t = totals(spans).join(traces.select("trace_id"), "trace_id", "right").agg(
         F.count("*").alias("total_traces"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("trace_tokens"),
@@ -74,7 +74,8 @@ def analytics_summary(traces: DataFrame, spans: DataFrame, keys: DataFrame, hour
         F.coalesce(F.sum("total_latency_ms"), F.lit(0.0)).alias("latency"))
     s = spans.agg(F.count("*").alias("total_spans"))
     u = usage.total(keys, hourly, None, user_id)
-    one = t.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k").join(u.withColumn("_k", F.lit(1)), "_k")
+    parts = t.unionByName(s, allowMissingColumns=True).unionByName(u, allowMissingColumns=True)
+    one = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     return one.select(
         (F.col("total_traces") + F.col("total_requests")).alias("total_requests"), "total_traces", "total_spans",
         (F.col("trace_tokens") + F.col("total_tokens")).alias("total_tokens"),

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -53,17 +51,13 @@ def json_rules(spark, d):
                     F.array_max(F.transform("rules", lambda r: r["priority"])).alias("top"), F.to_json("rules").alias("encoded"))
 
 
-def _folder(spark, name):
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=tb.checkpoint_dir(spark))
-
-
 _RES = k.with_(k.CONTENT, k.analyse("content"))
 
 
 @query("sink_results", _RES + "SELECT content_id, risk_score, CAST('2024-01-01' AS DATE) + CAST(content_id % 5 AS INTEGER) AS date FROM ana")
 def sink_results(spark, d):
     """Analysis results written as Parquet by day and read back."""
-    out = os.path.join(_folder(spark, "results"), "data")
+    out = tb.scratch(spark, "results")
     res = scan.security_analyze(corpus.content(spark, d)).select(
         "content_id", "risk_score", F.expr("date_add(date'2024-01-01', cast(content_id % 5 as int))").alias("date"))
     tb.write_results(res, out)
@@ -72,7 +66,7 @@ def sink_results(spark, d):
 
 @query("sink_incidents", _RES + "SELECT content_id, split_part(threat_types, ',', 1) AS threat_type, 'open' AS status FROM ana WHERE risk_score >= 0.7::DOUBLE")
 def sink_incidents(spark, d):
-    out = os.path.join(_folder(spark, "incidents"), "data")
+    out = tb.scratch(spark, "incidents")
     tb.write_incidents(scan.incidents(scan.security_analyze(corpus.content(spark, d))), out)
     return spark.read.parquet(out).select("content_id", "threat_type", "status")
 
@@ -88,7 +82,7 @@ _IP = "coalesce(CASE WHEN x_forwarded_for <> '' THEN trim(split_part(x_forwarded
 count(DISTINCT {_IP}) AS clients FROM audit GROUP BY 1""")
 def sink_audit(spark, d):
     """Audit rows appended; rows without endpoint land in the side table."""
-    root = _folder(spark, "audit")
+    root = tb.scratch(spark, "audit")
     df = corpus.audit_log(spark, d).withColumn("ip_address", _ip()).withColumn(
         "endpoint", F.when(F.col("id") % 50 != 0, F.col("endpoint")))
     tb.write_audit(df, f"{root}/ok", f"{root}/rejected")
@@ -344,13 +338,11 @@ def join_usage_by_key(spark, d):
 
 
 @query("breakdown_by_requests", k.with_(k.KEYS, *HOURLY, f"b AS ({_BYKEY.replace('/filter', '/security/analyze')})") +
-       "SELECT user_id, key_name, requests, row_number() OVER (PARTITION BY user_id ORDER BY requests DESC, id) AS rank FROM b")
+       "SELECT id, user_id, key_name, requests FROM b ORDER BY user_id, requests DESC, id")
 def breakdown_by_requests(spark, d):
-    """Every user's keys by requests."""
-    from pyspark.sql import Window
+    """Every user's keys by requests; a range sort, so one user's keys may spread over tasks."""
     b = usage.by_key(corpus.api_keys(spark, d), _hourly(spark, d), "/security/analyze")
-    w = Window.partitionBy("user_id").orderBy(F.desc("requests"), "id")
-    return b.select("user_id", "key_name", "requests", F.row_number().over(w).alias("rank"))
+    return b.select("id", "user_id", "key_name", "requests").orderBy("user_id", F.desc("requests"), "id")
 
 
 @query("join_usage_total", k.with_(k.KEYS, *HOURLY) + """SELECT coalesce(sum(requests_count), 0) AS total_requests, coalesce(sum(tokens_used), 0) AS total_tokens,
@@ -533,10 +525,11 @@ def success_rate(spark, d):
     return _latency(spark, d).select("endpoint", "overhead_ms", "success_rate")
 
 
-@query("round_n", k.with_(k.AUDIT) + """SELECT user_id, round(avg(processing_time_ms), 2) AS two, round(avg(processing_time_ms), 3) AS three,
-round(avg(processing_time_ms), 4) AS four FROM audit GROUP BY 1""")
+@query("round_n", k.with_(k.AUDIT, "a AS (SELECT user_id, sum(CAST(processing_time_ms AS DECIMAL(18, 2)))::DOUBLE / count(*) AS a FROM audit GROUP BY 1)") + """
+SELECT user_id, round(a, 2) AS two, round(a, 3) AS three, round(a, 4) AS four FROM a""")
 def round_n(spark, d):
-    return corpus.audit_log(spark, d).groupBy("user_id").agg(F.avg("processing_time_ms").alias("a")).select(
+    exact = F.sum(F.col("processing_time_ms").cast("decimal(18,2)")).cast("double") / F.count("*")
+    return corpus.audit_log(spark, d).groupBy("user_id").agg(exact.alias("a")).select(
         "user_id", *[F.round("a", n).alias(w) for n, w in ((2, "two"), (3, "three"), (4, "four"))])
 
 

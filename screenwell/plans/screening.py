@@ -487,7 +487,7 @@ def cond_context_flags(spark, d):
 def cond_always(spark, d):
     rules = F.array(*[F.struct(F.lit(c).alias("condition")) for c in ("audit_log_required", "no_such_condition")])
     df = tx.with_gates(corpus.content(spark, d))
-    fired = pf.firing(rules, pf.condition_map(pf.conditions("content")))
+    fired = pf.firing(rules, pf.holding(pf.conditions("content")))
     names = F.transform(fired, lambda r: r["condition"])
     return df.select("content_id", F.array_contains(names, "audit_log_required").alias("audit_log_required"),
                      F.array_contains(names, "no_such_condition").alias("unknown_condition"))
@@ -579,7 +579,7 @@ _CAND = "cand AS (SELECT content_id // 5 AS query_id, content_id AS doc_id, cont
 
 
 def _candidates(spark, d):
-    return corpus.content(spark, d).select(F.floor(F.col("content_id") / 5).alias("query_id"),
+    return corpus.content(spark, d).select(F.call_function("div", F.col("content_id"), F.lit(5)).alias("query_id"),
                                            F.col("content_id").alias("doc_id"), "content")
 
 
@@ -653,8 +653,9 @@ n AS (SELECT count(*) FILTER (WHERE p AND a) AS tp, count(*) FILTER (WHERE p AND
   count(*) FILTER (WHERE NOT p AND NOT a) AS tn FROM c)""") + """
 SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall FROM n""")
 def label_evaluate(spark, d):
-    scored = scan.injection_scan(corpus.content(spark, d)).withColumnRenamed("content_id", "doc_id")
-    return evaluate.label_evaluate(scored, tb.table(spark, d, "labels"), F.col("is_injection"), F.col("toxic") == 1)
+    content = corpus.content(spark, d).withColumnRenamed("content_id", "doc_id")
+    return evaluate.label_evaluate(content, tb.table(spark, d, "labels"), scan.injection_scan,
+                                   F.col("is_injection"), F.col("toxic") == 1)
 
 
 @query("toxicity_score")

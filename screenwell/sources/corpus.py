@@ -95,7 +95,7 @@ def content(spark: SparkSession, d: str) -> DataFrame:
     return df.select(
         F.col("doc_id").alias("content_id"), planted(F.col("text"), F.col("doc_id")).alias("content"),
         kind.alias("context_type"), F.col("source").alias("trace_id"), F.col("lang"),
-        F.floor(F.col("doc_id") / 8).alias("user_id"))
+        F.call_function("div", F.col("doc_id"), F.lit(8)).alias("user_id"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +212,7 @@ def policies(spark: SparkSession, d: str) -> DataFrame:
                  for _, rules, _ in kinds]
     tag_json = ["[" + ",".join(f'"{t}"' for t in tags) + "]" for _, _, tags in kinds]
     return tb.table(spark, d, "customer").select(
-        F.col("c_custkey").alias("policy_id"), F.floor(F.col("c_custkey") / 6).alias("user_id"),
+        F.col("c_custkey").alias("policy_id"), F.call_function("div", F.col("c_custkey"), F.lit(6)).alias("user_id"),
         pick([F.lit(n) for n, _, _ in kinds]).alias("name"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("compliance")).otherwise(F.lit("data_governance")).alias("policy_type"),
         pick([F.lit(r) for r in rule_json]).alias("rules_json"), pick([F.lit(t) for t in tag_json]).alias("tags_json"),

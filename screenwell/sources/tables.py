@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,6 @@ CONTENT_SCHEMA = T.StructType([
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
 ])
 RULE_SCHEMA = "array<struct<condition:string,action:string,priority:int>>"
-BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,14 +39,6 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint when the estimate proves the side small, else the plain frame.
-
-    Without the hint the join shuffles and AQE splits skewed partitions.
-    """
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
-
-
 def read_content(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Content rows in the layout of `CONTENT_SCHEMA`; missing columns become null."""
     reader = spark.read.schema(CONTENT_SCHEMA)
@@ -117,4 +108,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not name:
         name = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", name)
-    return os.fspath(name)
+    return name
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared folder (any file system Spark knows)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several branches read, and read it back.
+
+    The branches share one computation, lineage is cut, and a lost executor
+    costs no more than re-reading files.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,6 @@ a ten-minute watermark; later rows are dropped by the windowed jobs.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -122,7 +121,7 @@ def rate_limit(requests: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_h
 def run_append(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a stream over what is there now into files and read them back."""
     spark = df.sparkSession
-    out = folder or tempfile.mkdtemp(prefix="stream-", dir=tb.checkpoint_dir(spark))
+    out = folder or tb.scratch(spark, "stream")
     df.writeStream.format("parquet").option("path", f"{out}/data").option(
         "checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/data")
@@ -134,7 +133,7 @@ def run_update(df: DataFrame, keys: list[str], folder: str | None = None) -> Dat
     A batch that is repeated after a failure overwrites its own folder.
     """
     spark = df.sparkSession
-    out = folder or tempfile.mkdtemp(prefix="stream-", dir=tb.checkpoint_dir(spark))
+    out = folder or tb.scratch(spark, "stream")
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
