@@ -160,11 +160,12 @@ def spans_table(spark, d):
 # -- chunks and entity models ------------------------------------------------------------
 
 
-@query("chunk_words")
+@query("chunk_words", k.with_(k.word_chunks("documents", "doc_id", "text")) +
+       'SELECT doc_id, chunk_no, "offset", length(chunk) AS n_chars, substr(sha256(chunk), 1, 16) AS chunk_hash FROM wc')
 def chunk_words(spark, d):
-    """Word-aligned chunks with offsets (sequential per text, so no SQL twin)."""
     parts = models.chunk_words(tb.text_table(spark, d, "documents"), "doc_id", "text")
-    return parts.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.col("offset") + F.char_length("chunk")).alias("end"))
+    return parts.select("doc_id", "chunk_no", "offset", F.char_length("chunk").alias("n_chars"),
+                        tx.content_hash("chunk").alias("chunk_hash"))
 
 
 def capitals_model():
@@ -178,7 +179,10 @@ def capitals_model():
     return predict
 
 
-@query("entity_model")
+@query("entity_model", k.with_(k.CONTENT, k.word_chunks("content", "content_id", "content"),
+                              "e AS (SELECT content_id, \"offset\", unnest(" + k.span_list("chunk", "[A-Z][a-z]+ [A-Z][a-z]+", "name", 0.8) + ") AS e FROM wc)",
+                              'u AS (SELECT DISTINCT content_id, e.value, "offset" + e.start AS "start" FROM e)') +
+       'SELECT content_id, \'name\' AS type, count(*) AS n, min("start") AS first FROM u GROUP BY 1')
 def entity_model(spark, d):
     """Entities of a pluggable model, found chunk by chunk and de-duplicated by position."""
     found = models.entities(corpus.content(spark, d), capitals_model, ["person name"])

@@ -328,8 +328,8 @@ def join_key_user(spark, d):
 
 
 _PREVIEW = "substr(full_key, 1, 12) || '****' || right(full_key, 4)"
-_BYKEY = f"""SELECT k.id, k.user_id, key_name, {_PREVIEW} AS key_preview, sum(requests_count) AS requests FROM keys_t k
-LEFT JOIN hourly h ON k.id = h.api_key_id AND endpoint = '/filter' WHERE is_active GROUP BY ALL HAVING coalesce(sum(requests_count), 0) > 0"""
+_BYKEY = f"""SELECT k.id, k.user_id, key_name, {_PREVIEW} AS key_preview, sum(requests_count)::BIGINT AS requests FROM keys_t k
+LEFT JOIN hourly h ON k.id = h.api_key_id AND endpoint = '/filter' WHERE is_active GROUP BY ALL HAVING coalesce(sum(requests_count)::BIGINT, 0) > 0"""
 
 
 @query("join_usage_by_key", k.with_(k.KEYS, *HOURLY) + _BYKEY)
@@ -345,13 +345,13 @@ def breakdown_by_requests(spark, d):
     return b.select("id", "user_id", "key_name", "requests").orderBy("user_id", F.desc("requests"), "id")
 
 
-@query("join_usage_total", k.with_(k.KEYS, *HOURLY) + """SELECT coalesce(sum(requests_count), 0) AS total_requests, coalesce(sum(tokens_used), 0) AS total_tokens,
+@query("join_usage_total", k.with_(k.KEYS, *HOURLY) + """SELECT coalesce(sum(requests_count)::BIGINT, 0) AS total_requests, coalesce(sum(tokens_used)::BIGINT, 0) AS total_tokens,
 coalesce(sum(cost_usd), 0)::DOUBLE AS total_cost FROM keys_t k LEFT JOIN hourly h ON k.id = h.api_key_id WHERE is_active AND endpoint = '/filter'""")
 def join_usage_total(spark, d):
     return usage.total(corpus.api_keys(spark, d), _hourly(spark, d), "/filter")
 
 
-@query("join_usage_summary", k.with_(k.KEYS, *HOURLY) + """SELECT user_id, coalesce(sum(requests_count), 0) AS total_requests, coalesce(sum(tokens_used), 0) AS total_tokens,
+@query("join_usage_summary", k.with_(k.KEYS, *HOURLY) + """SELECT user_id, coalesce(sum(requests_count)::BIGINT, 0) AS total_requests, coalesce(sum(tokens_used)::BIGINT, 0) AS total_tokens,
 coalesce(sum(cost_usd), 0)::DOUBLE AS total_cost FROM keys_t k LEFT JOIN hourly h ON k.id = h.api_key_id WHERE is_active GROUP BY 1""")
 def join_usage_summary(spark, d):
     return usage.per_user(corpus.api_keys(spark, d), _hourly(spark, d))
@@ -364,8 +364,8 @@ def join_user_keys(spark, d):
     return admin.user_keys(corpus.users(spark, d), corpus.api_keys(spark, d), corpus.last_used(spark, d))
 
 
-@query("join_key_usage_stats", k.with_(k.KEYS, *HOURLY) + """SELECT k.id, user_id, key_name, is_active, coalesce(sum(requests_count), 0) AS total_requests,
-coalesce(sum(tokens_used), 0) AS tokens_used, coalesce(sum(cost_usd), 0)::DOUBLE AS cost_usd FROM keys_t k LEFT JOIN hourly h ON k.id = h.api_key_id GROUP BY ALL""")
+@query("join_key_usage_stats", k.with_(k.KEYS, *HOURLY) + """SELECT k.id, user_id, key_name, is_active, coalesce(sum(requests_count)::BIGINT, 0) AS total_requests,
+coalesce(sum(tokens_used)::BIGINT, 0) AS tokens_used, coalesce(sum(cost_usd), 0)::DOUBLE AS cost_usd FROM keys_t k LEFT JOIN hourly h ON k.id = h.api_key_id GROUP BY ALL""")
 def join_key_usage_stats(spark, d):
     return usage.key_stats(corpus.api_keys(spark, d), _hourly(spark, d))
 
@@ -412,14 +412,14 @@ def spans_by_time(spark, d):
 # -- aggregates ---------------------------------------------------------------------------------
 
 
-@query("trace_totals", k.with_(k.SPANS) + f"""SELECT trace_id, sum(coalesce(tokens_used, 0)) AS total_tokens, round(sum({k.SPAN_COST}), 9) AS total_cost,
+@query("trace_totals", k.with_(k.SPANS) + f"""SELECT trace_id, sum(coalesce(tokens_used, 0))::BIGINT AS total_tokens, round(sum({k.SPAN_COST}), 9) AS total_cost,
 sum(latency_ms) AS total_latency_ms FROM spans_t GROUP BY 1""")
 def trace_totals(spark, d):
     return traces.totals(corpus.spans(spark, d)).withColumn("total_cost", F.round("total_cost", 9))
 
 
-_SUM = k.with_(k.SPANS, k.TRACES, k.KEYS, *HOURLY, f"""t AS (SELECT count(DISTINCT trace_id) AS n, count(*) AS s, sum(coalesce(tokens_used, 0)) AS tok, sum({k.SPAN_COST}) AS cost,
-  sum(latency_ms) AS lat FROM spans_t), u AS (SELECT sum(requests_count) AS r, sum(tokens_used) AS tok, sum(cost_usd)::DOUBLE AS cost FROM hourly JOIN keys_t ON id = api_key_id WHERE is_active)""")
+_SUM = k.with_(k.SPANS, k.TRACES, k.KEYS, *HOURLY, f"""t AS (SELECT count(DISTINCT trace_id) AS n, count(*) AS s, sum(coalesce(tokens_used, 0))::BIGINT AS tok, sum({k.SPAN_COST}) AS cost,
+  sum(latency_ms) AS lat FROM spans_t), u AS (SELECT sum(requests_count)::BIGINT AS r, sum(tokens_used)::BIGINT AS tok, sum(cost_usd)::DOUBLE AS cost FROM hourly JOIN keys_t ON id = api_key_id WHERE is_active)""")
 
 
 @query("analytics_summary", _SUM + """SELECT n + r AS total_requests, n AS total_traces, s AS total_spans, t.tok + u.tok AS total_tokens, round(t.cost + u.cost, 4) AS total_cost,
@@ -428,7 +428,7 @@ def analytics_summary(spark, d):
     return traces.analytics_summary(corpus.traces(spark, d), corpus.spans(spark, d), corpus.api_keys(spark, d), _hourly(spark, d))
 
 
-@query("usage_union", _SUM + """SELECT sum(requests) AS requests, sum(tokens) AS tokens, round(sum(cost), 4) AS cost FROM (
+@query("usage_union", _SUM + """SELECT sum(requests)::BIGINT AS requests, sum(tokens)::BIGINT AS tokens, round(sum(cost), 4) AS cost FROM (
 SELECT n AS requests, tok AS tokens, cost FROM t UNION ALL SELECT r, tok, cost FROM u)""")
 def usage_union(spark, d):
     """Dashboard activity and key activity added up."""
@@ -438,14 +438,14 @@ def usage_union(spark, d):
     return t.unionByName(u).agg(F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"))
 
 
-@query("key_usage_detail", k.with_(*HOURLY) + """SELECT api_key_id, sum(requests_count) AS total_requests,
-coalesce(sum(requests_count) FILTER (WHERE date = DATE '1998-06-01'), 0) AS requests_today, sum(tokens_used) AS tokens_used, sum(cost_usd)::DOUBLE AS cost_usd FROM hourly GROUP BY 1""")
+@query("key_usage_detail", k.with_(*HOURLY) + """SELECT api_key_id, sum(requests_count)::BIGINT AS total_requests,
+coalesce(sum(requests_count) FILTER (WHERE date = DATE '1998-06-01'), 0)::BIGINT AS requests_today, sum(tokens_used)::BIGINT AS tokens_used, sum(cost_usd)::DOUBLE AS cost_usd FROM hourly GROUP BY 1""")
 def key_usage_detail(spark, d):
     return usage.detail(_hourly(spark, d), "1998-06-01")
 
 
-@query("top_endpoints_by_requests", k.with_(*HOURLY) + """SELECT api_key_id, endpoint, sum(requests_count) AS requests, sum(tokens_used) AS tokens,
-row_number() OVER (PARTITION BY api_key_id ORDER BY sum(requests_count) DESC, endpoint) AS rank FROM hourly GROUP BY 1, 2 QUALIFY rank <= 10""")
+@query("top_endpoints_by_requests", k.with_(*HOURLY) + """SELECT api_key_id, endpoint, sum(requests_count)::BIGINT AS requests, sum(tokens_used)::BIGINT AS tokens,
+row_number() OVER (PARTITION BY api_key_id ORDER BY sum(requests_count)::BIGINT DESC, endpoint) AS rank FROM hourly GROUP BY 1, 2 QUALIFY rank <= 10""")
 def top_endpoints_by_requests(spark, d):
     return usage.top_endpoints(_hourly(spark, d))
 
@@ -489,7 +489,7 @@ def bucket_date_hour(spark, d):
     return usage.bucket(corpus.audit_log(spark, d), "timestamp").groupBy("date", "hour").agg(F.count("*").alias("n"))
 
 
-@query("llm_cost", k.with_(k.SPANS) + f"SELECT model, sum(coalesce(tokens_used, 0)) AS tokens, round(sum({k.SPAN_COST}), 6) AS cost_usd FROM spans_t GROUP BY 1")
+@query("llm_cost", k.with_(k.SPANS) + f"SELECT model, sum(coalesce(tokens_used, 0))::BIGINT AS tokens, round(sum({k.SPAN_COST}), 6) AS cost_usd FROM spans_t GROUP BY 1")
 def llm_cost(spark, d):
     return usage.llm_cost(corpus.spans(spark, d))
 
@@ -574,9 +574,11 @@ def attempt_rate(spark, d):
     return ratelimit.attempt_rate(_attempts(spark, d)).select("id", "client", "attempts_minute", "attempts_hour")
 
 
-@query("rate_limit")
+@query("rate_limit", k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, event_type = 'signup' AS oauth FROM events)",
+                            k.limiter("a", "1", "CASE WHEN oauth THEN 1 ELSE 3 END")) +
+       "SELECT dec.*, us FROM dec JOIN a USING (id)")
 def rate_limit(spark, d):
-    """Batch decisions under small limits (sequential per client, so no SQL twin)."""
+    """Batch decisions under small limits, OAuth requests counted apart."""
     return ratelimit.decide(_attempts(spark, d), 1, 3, 1, 1)
 
 

@@ -384,8 +384,8 @@ def content_filter(spark, d):
         tx.content_hash("filtered_content").alias("filtered_hash"))
 
 
-@query("filter_stats", _FILT + "SELECT count(*) AS total_filtered, sum(n_pii) AS total_pii, count(*) FILTER (WHERE NOT is_safe) AS unsafe_count, " + ", ".join(
-    f"sum(len(list_filter(ents, lambda e: e.type = '{t}'))) AS n_{t}" for t in cat.FILTER_PII_TYPES[:6]) + ", 0.0::DOUBLE AS average_toxicity FROM fil")
+@query("filter_stats", _FILT + "SELECT count(*) AS total_filtered, sum(n_pii)::BIGINT AS total_pii, count(*) FILTER (WHERE NOT is_safe) AS unsafe_count, " + ", ".join(
+    f"sum(len(list_filter(ents, lambda e: e.type = '{t}')))::BIGINT AS n_{t}" for t in cat.FILTER_PII_TYPES[:6]) + ", 0.0::DOUBLE AS average_toxicity FROM fil")
 def filter_stats(spark, d):
     return stats.filter_stats(_filtered(spark, d))
 
@@ -678,7 +678,7 @@ def toxicity_label(spark, d):
 @query("src_static_catalogs", k.with_(k.CONTENT, "hits AS (" + " UNION ALL ".join(
     f"SELECT '{fam}' AS family, '{p.name}' AS name, {k.dbl(p.weight)} AS weight, {k.count('content', p.regex)} AS n FROM content"
     for fam, ps in (("injection", cat.INJECTION), ("sensitive", cat.SENSITIVE), ("exfiltration", cat.EXFILTRATION), ("pii", cat.PII)) for p in ps) + ")") + """
-SELECT family, name, weight, count(*) FILTER (WHERE n > 0) AS rows_hit, sum(n) AS matches FROM hits GROUP BY ALL""")
+SELECT family, name, weight, count(*) FILTER (WHERE n > 0) AS rows_hit, sum(n)::BIGINT AS matches FROM hits GROUP BY ALL""")
 def src_static_catalogs(spark, d):
     """Every catalogue pattern with the rows it hits: one pass, then one row per pattern."""
     families = (("injection", "n_", cat.INJECTION), ("sensitive", "s_", cat.SENSITIVE),

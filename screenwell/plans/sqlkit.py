@@ -32,7 +32,7 @@ def planted(text: str, id_: str) -> str:
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes)
+    return "WITH RECURSIVE " + ",\n".join(ctes)
 
 
 CONTENT = f"""content AS MATERIALIZED (SELECT doc_id AS content_id, {planted('text', 'doc_id')} AS content,
@@ -58,7 +58,7 @@ LAST_USED = "last_used AS (SELECT l_orderkey AS key_id, max(l_shipdate) AS last_
 USAGE_EVENTS = f"""usage_events AS (SELECT l_orderkey AS api_key_id, {at(corpus.ENDPOINTS, 'l_linenumber % 3')} AS endpoint,
   CAST(l_quantity AS INTEGER) AS requests, l_partkey AS tokens, CAST(l_extendedprice / 10000 AS DECIMAL(10,6)) AS cost_usd,
   CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 24 AS INTEGER) AS hour FROM lineitem)"""
-HOURLY = """hourly AS (SELECT api_key_id, endpoint, date, hour, sum(requests) AS requests_count, sum(tokens) AS tokens_used,
+HOURLY = """hourly AS (SELECT api_key_id, endpoint, date, hour, sum(requests)::BIGINT AS requests_count, sum(tokens)::BIGINT AS tokens_used,
   sum(cost_usd) AS cost_usd FROM usage_events GROUP BY ALL)"""
 _EV = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in corpus.AUDIT_ENDPOINTS.items())
 AUDIT = f"""audit AS (SELECT event_id AS id, ts AS timestamp, user_id, CASE event_type {_EV} END AS endpoint,
@@ -287,6 +287,37 @@ def redact(text: str, ents: str, token: str) -> str:
 TYPED = "'[' || upper(coalesce(e.label, e.type)) || '_REDACTED]'"
 
 
+def word_chunks(src: str, key: str, text: str, out: str = "wc") -> str:
+    """CTE of word-aligned chunks by recursion over the position."""
+    size, overlap = cat.WORD_CHUNK_SIZE, cat.WORD_CHUNK_OVERLAP
+    window = f"substr({text}, pos + 1, {size})"
+    before = f"length(regexp_extract({window}, '(?s)^(.*) ', 1))"
+    stop = (f"CASE WHEN pos + {size} >= length({text}) THEN length({text}) "
+            f"WHEN contains({window}, ' ') AND {before} > 0 THEN pos + {before} ELSE pos + {size} END")
+    return f"""{out}_r AS (SELECT {key}, {text}, 0::BIGINT AS pos, 0 AS chunk_no, CASE WHEN length({text}) <= {size}
+  THEN length({text}) ELSE {stop.replace('pos', '0')} END AS stop FROM {src}
+  UNION ALL SELECT {key}, {text}, pos, chunk_no, {stop} FROM (
+    SELECT {key}, {text}, greatest(stop - {overlap}, pos + 1) AS pos, chunk_no + 1 AS chunk_no FROM {out}_r WHERE stop < length({text}))),
+{out} AS (SELECT {key}, chunk_no, pos AS "offset", substr({text}, pos + 1, stop - pos) AS chunk, stop FROM {out}_r)"""
+
+
+def limiter(src: str, per_minute: str, per_hour: str, out: str = "dec") -> str:
+    """CTE of decisions on attempts (id, client, us, oauth), folded in time order per client."""
+    recent = "list_filter(acc.adm, lambda t: t > x.us - 3600000000)"
+    minute = "len(list_filter(acc.adm, lambda t: t > x.us - 60000000))"
+    ok = f"({minute} < x.m AND len({recent}) < x.h)"
+    row = (f"{{'id': x.id, 'admitted': {ok}, 'retry_after': CASE WHEN {ok} THEN NULL WHEN {minute} >= x.m THEN 60 ELSE 3600 END, "
+           f"'remaining_minute': CASE WHEN {ok} THEN CAST(x.m - {minute} - 1 AS INTEGER) END, "
+           f"'remaining_hour': CASE WHEN {ok} THEN CAST(x.h - len({recent}) - 1 AS INTEGER) END}}")
+    none = ("{'adm': CAST([] AS BIGINT[]), 'out': CAST([] AS STRUCT(id BIGINT, admitted BOOLEAN, retry_after INTEGER, "
+            "remaining_minute INTEGER, remaining_hour INTEGER)[])}")
+    return f"""{out}_l AS (SELECT client, oauth, list({{'id': id, 'us': us, 'm': {per_minute}, 'h': {per_hour}}} ORDER BY us, id) AS xs
+  FROM {src} GROUP BY 1, 2),
+{out}_f AS (SELECT client, oauth, list_reduce(xs, lambda acc, x: {{'adm': CASE WHEN {ok} THEN list_append({recent}, x.us) ELSE {recent} END,
+  'out': list_append(acc.out, {row})}}, {none}) AS r FROM {out}_l),
+{out} AS (SELECT client, oauth, unnest(r.out, recursive := true) FROM {out}_f)"""
+
+
 def conditions(text: str, retention: str = "false", unauthorized: str = "false") -> dict[str, str]:
     prof = f"len(list_intersect(regexp_extract_all(lower({text}), '[a-z]+'), {lst(cat.PROFANITY)})) > 0"
     return {

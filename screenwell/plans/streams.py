@@ -35,14 +35,14 @@ def stream_incidents(spark, d):
 
 
 @query("stream_usage_tumbling", """SELECT date_trunc('hour', ts) AS hour_start, user_id AS api_key_id, event_type AS endpoint, count(*) AS requests_count,
-sum(CAST(value AS BIGINT)) AS tokens_used FROM events GROUP BY ALL""")
+sum(CAST(value AS BIGINT))::BIGINT AS tokens_used FROM events GROUP BY ALL""")
 def stream_usage_tumbling(spark, d):
     ev = jobs.source(spark, d, "events").select(
         "ts", F.col("user_id").alias("api_key_id"), F.col("event_type").alias("endpoint"), F.rint("value").cast("bigint").alias("tokens"))
     return jobs.run_update(jobs.usage_tumbling(ev), ["hour_start", "api_key_id", "endpoint"])
 
 
-@query("stream_trace_totals", k.with_(k.SPANS) + f"""SELECT trace_id, sum(coalesce(tokens_used, 0)) AS total_tokens, round(sum({k.SPAN_COST}), 9) AS total_cost,
+@query("stream_trace_totals", k.with_(k.SPANS) + f"""SELECT trace_id, sum(coalesce(tokens_used, 0))::BIGINT AS total_tokens, round(sum({k.SPAN_COST}), 9) AS total_cost,
 sum(latency_ms) AS total_latency_ms FROM spans_t GROUP BY 1""")
 def stream_trace_totals(spark, d):
     c = jobs.source(spark, d, "conversations")
@@ -85,14 +85,17 @@ def _requests(spark, d):
     return jobs.source(spark, d, "events").select(F.col("event_id").alias("id"), "ts", (F.col("user_id") % 5).alias("client"))
 
 
-@query("stream_rate_limit")
+_LIM = k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, false AS oauth FROM events)", k.limiter("a", "1", "3"))
+
+
+@query("stream_rate_limit", _LIM + "SELECT client, id, admitted, retry_after FROM dec")
 def stream_rate_limit(spark, d):
     """Online decisions under small limits, state per client."""
     return jobs.run_append(jobs.rate_limit(_requests(spark, d), 1, 3))
 
 
-@query("rate_state_ttl")
+@query("rate_state_ttl", _LIM + "SELECT client, admitted, count(*) AS n FROM dec GROUP BY ALL")
 def rate_state_ttl(spark, d):
-    """Admitted requests by client and day: state of idle clients expires in between."""
+    """Decisions per client over weeks of traffic, while state holds one hour only."""
     out = jobs.run_append(jobs.rate_limit(_requests(spark, d), 1, 3))
     return out.groupBy("client", "admitted").agg(F.count("*").alias("n"))
