@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import decimal
 import math
+import os
 
 import duckdb
 
+EXACT = os.environ.get("COMPARE_EXACT") == "1"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -24,7 +26,7 @@ def norm(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, (int, float, decimal.Decimal)):
-        return round(float(v), 9)
+        return float(v) if EXACT else round(float(v), 9)
     return str(v)
 
 
