@@ -40,11 +40,15 @@ def regex_spans(text: str = "content", custom: Mapping[str, str] | None = None)
 
     Needs `with_gates`.  A custom pattern that does not compile is skipped.
     """
-    parts = [sp.match_spans(text, p.regex, p.name, p.weight, when=_when(p.name, text)) for p in cat.PII]
-    for name, pattern in valid_patterns(custom).items():
-        when = tx.gate(name) if dict(all_pack_patterns()).get(name) == pattern else None
-        parts.append(sp.match_spans(text, pattern, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, when=when))
-    return F.concat(*parts)
+    return sp.match_spans(text, rules(text, custom))
+
+
+def rules(text: str = "content", custom: Mapping[str, str] | None = None) -> list[sp.Rule]:
+    """The built-in types, then the custom patterns that compile."""
+    own = dict(all_pack_patterns())
+    return [sp.Rule(p.regex, p.name, p.weight, None, _when(p.name, text)) for p in cat.PII] + [
+        sp.Rule(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, tx.gate(name) if own.get(name) == rx else None)
+        for name, rx in valid_patterns(custom).items()]
 
 
 def valid_patterns(custom: Mapping[str, str] | None) -> dict[str, str]:

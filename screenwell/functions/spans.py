@@ -8,6 +8,9 @@ by that row's own text.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,25 +25,45 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def match_spans(text: Column | str, pattern: str, type_: str, confidence: float,
-                label: str | None = None, when: Column | None = None) -> Column:
-    """All matches of one pattern as an array of spans."""
+class Rule(NamedTuple):
+    """One pattern to look for; `when` tells on which rows it can match."""
+
+    regex: str
+    type: str
+    confidence: float
+    label: str | None = None
+    when: Column | None = None
+
+
+def match_spans(text: Column | str, rules: Iterable[Rule]) -> Column:
+    """All matches of the rules, in rule order, as an array of spans.
+
+    Matches and gaps of every rule are gathered first, then one fold over each
+    pair of lists places them.
+    """
     c = tx.col(text)
-    found = F.regexp_extract_all(c, tx.rx(pattern), F.lit(0))
-    between = F.split(c, tx.DIALECT + pattern, -1)
-    start = F.struct(F.lit(0).alias("pos"), no_spans().alias("out"))
-
-    def step(acc, pair):
-        at = acc["pos"] + F.char_length(pair["gap"])
-        end = at + F.char_length(pair["m"])
-        span = F.struct(F.lit(type_).alias("type"), pair["m"].alias("value"), at.alias("start"),
-                        end.alias("end"), F.lit(confidence).alias("confidence"),
-                        F.lit(label).cast("string").alias("label")).cast(SPAN)
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("gap"))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return spans if when is None else F.when(when, spans).otherwise(no_spans())
+
+    def found(r: Rule) -> Column:
+        hit = F.struct(F.regexp_extract_all(c, tx.rx(r.regex), F.lit(0)).alias("m"),
+                       F.split(c, tx.DIALECT + r.regex, -1).alias("g"))
+        return F.struct((hit if r.when is None else F.when(r.when, hit)).alias("hit"), F.lit(r.type).alias("type"),
+                        F.lit(r.confidence).alias("confidence"), F.lit(r.label).cast("string").alias("label"))
+
+    def place(rule: Column) -> Column:
+        m, g = rule["hit"]["m"], rule["hit"]["g"]
+        start = F.struct(F.lit(0).alias("pos"), no_spans().alias("out"))
+
+        def step(acc, pair):
+            at = acc["pos"] + F.char_length(pair["gap"])
+            end = at + F.char_length(pair["m"])
+            span = F.struct(rule["type"], pair["m"], at, end, rule["confidence"], rule["label"]).cast(SPAN)
+            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        pairs = F.arrays_zip(m.alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("gap"))
+        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    present = F.filter(F.array(*map(found, rules)), lambda r: r["hit"].isNotNull())
+    return F.flatten(F.transform(present, place))
 
 
 def sort_spans(spans: Column) -> Column:

@@ -178,7 +178,7 @@ def entities(df: DataFrame, load: Callable[[], Callable[[str, Sequence[str], flo
 def spans_table(df: DataFrame, key: str = "content_id", text: str = "content") -> DataFrame:
     """One row per injection match with its position."""
     gated = tx.with_gates(df.select(key, text), text)
-    all_spans = F.concat(*[sp.match_spans(text, p.regex, p.name, p.weight, when=tx.gate(p.name)) for p in cat.INJECTION])
+    all_spans = sp.match_spans(text, [sp.Rule(p.regex, p.name, p.weight, None, tx.gate(p.name)) for p in cat.INJECTION])
     return gated.select(key, F.inline(all_spans)).select(
         key, F.col("type").alias("name"), F.col("confidence").alias("severity"), F.col("value").alias("matched_text"),
         "start", "end")

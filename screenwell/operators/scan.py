@@ -129,13 +129,11 @@ def content_filter(df: DataFrame, text: str = "content", *, filters: Column | No
     df = df.drop(*[f"n_{p.name}" for p in cat.INJECTION], "max_severity", "marker_score", "scope_score",
                  tx.LOWER, tx.UNGATED, "_inj")
     df = df.withColumn("_pii", F.when(wants_pii, F.col(text)).otherwise(F.lit("")))
-    found = [pii.regex_spans("_pii", custom)]
+    rules = pii.rules("_pii", custom)
     if pack is not None:
-        found += [sp.match_spans("_pii", rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name,
-                                 when=(pack == p.name) & tx.gate(name))
+        rules += [sp.Rule(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, (pack == p.name) & tx.gate(name))
                   for p in cat.PACKS for name, rx in p.patterns]
-    if model_spans is not None:
-        found.insert(0, model_spans)
+    found = [sp.match_spans("_pii", rules)] if model_spans is None else [model_spans, sp.match_spans("_pii", rules)]
     df = tx.without_gates(tx.pin(tx.with_gates(df, "_pii"), sp.merge(*found).alias("entities"))).drop("_pii")
     df = df.withColumn("filtered_content", F.when(
         F.col("_redact") & (F.size("entities") > 0), sp.redact(text, F.col("entities"))))

@@ -123,7 +123,7 @@ _MODEL_SPANS = r"(?i)\b(?:mr|ms|dr|jane|john)\b\.? [A-Z][a-z]+"
 def merge_entity_sources(spark, d):
     """Entities of a model-like source merged with the regex ones."""
     df = tx.with_gates(corpus.content(spark, d))
-    source = sp.match_spans("content", _MODEL_SPANS, "name", 0.9, "person name")
+    source = sp.match_spans("content", [sp.Rule(_MODEL_SPANS, "name", 0.9, "person name")])
     merged = df.select("content_id", F.explode(pii.detect(engine="hybrid", model=source)).alias("e"))
     return merged.groupBy("content_id", F.coalesce("e.label", "e.type").alias("label")).agg(F.count("*").alias("n"))
 
