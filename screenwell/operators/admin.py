@@ -103,8 +103,8 @@ def exact_median(df: DataFrame, by: str, value: str, width: float = 10.0) -> Dat
     """Exact median per group, with no group held in one place.
 
     Values are counted first.  Running counts over coarse buckets of the value
-    tell which bucket holds a middle rank, and only values of such buckets are
-    ranked.
+    tell which bucket holds a middle rank, and only the distinct values of such
+    buckets are ranked (latencies are stored with two decimals, so those are few).
     """
     fine = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")).withColumn(
         "_b", F.floor(F.col(value) / F.lit(width)))

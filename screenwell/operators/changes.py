@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from screenwell.functions import fields
 
+SALTS = 16
 POLICY_FIELDS = ("name", "policy_type", "rules_json", "tags_json", "enabled")
 
 
@@ -33,14 +34,19 @@ def apply_policy_changes(base: DataFrame, changes: DataFrame, key: str = "policy
         F.count_if(F.col("op") == "update").alias("n_updates"),
         F.max(F.when(written, F.col("seq"))).alias("write_seq"),
         F.max_by(F.when(written, state), F.when(written, F.col("seq"))).alias("w"),
+        F.count_if(F.col("op") == "toggle").alias("n_toggles"),
         F.bool_or(F.col("op") == "create").alias("created"),
         F.bool_or(F.col("op") == "delete").alias("deleted"),
         F.max("changed_at").alias("changed_at"))
-    toggles = changes.filter(F.col("op") == "toggle").groupBy(key, "seq").agg(F.count("*").alias("n"))
-    after = (toggles.join(folded.select(key, "write_seq"), key)
-             .filter(F.col("write_seq").isNull() | (F.col("seq") > F.col("write_seq")))
-             .groupBy(key).agg(F.sum("n").alias("flips")))
-    net = folded.join(after, key, "left")
+    # toggles before the last write are void; a busy key meets its write in SALTS parts
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    writes = folded.filter(F.col("write_seq").isNotNull() & (F.col("n_toggles") > 0)).select(
+        key, "write_seq", F.explode(salts).alias("_salt"))
+    toggles = changes.filter(F.col("op") == "toggle").select(
+        key, "seq", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("_salt"))
+    void = (toggles.join(writes, [key, "_salt"]).filter(F.col("seq") < F.col("write_seq"))
+            .groupBy(key, "_salt").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("n_void")))
+    net = folded.join(void, key, "left").withColumn("flips", F.col("n_toggles") - F.coalesce("n_void", F.lit(0)))
     joined = base.join(net, key, "full_outer")
     live = ~F.coalesce("deleted", F.lit(False)) & (F.coalesce(F.col("version"), F.lit(0)).cast("boolean") | F.coalesce("created", F.lit(False)))
     current = {c: F.coalesce(F.col("w")[c], F.col(c)) for c in (*POLICY_FIELDS, "user_id")}

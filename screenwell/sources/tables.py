@@ -30,7 +30,8 @@ def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """
     df = table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b").rstrip("b"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
     return df.repartition(cores) if plan_bytes(df) < split * cores // 8 else df
 
 
