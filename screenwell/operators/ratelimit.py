@@ -43,6 +43,11 @@ def limited(path: Column) -> Column:
     return F.coalesce(~path.isin(*cat.RATE_EXEMPT_PATHS), F.lit(True))
 
 
+def by_path(df: DataFrame, path: str = "endpoint") -> DataFrame:
+    """Requests subject to limits, with the column `oauth` that tells which ones apply."""
+    return df.filter(limited(F.col(path))).withColumn("oauth", F.coalesce(is_oauth(F.col(path)), F.lit(False)))
+
+
 def attempt_rate(df: DataFrame, client: str = "client", micros: str = "us", id_: str = "id") -> DataFrame:
     """Attempts in the trailing minute and hour of every attempt, itself included.
 

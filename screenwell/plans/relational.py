@@ -78,13 +78,13 @@ def _ip():
 _IP = "coalesce(CASE WHEN x_forwarded_for <> '' THEN trim(split_part(x_forwarded_for, ',', 1)) END, nullif(x_real_ip, ''), peer, 'unknown')"
 
 
-@query("sink_audit", k.with_(k.AUDIT) + f"""SELECT CASE WHEN id % 50 = 0 THEN 'rejected' ELSE 'stored' END AS side, count(*) AS rows,
+@query("sink_audit", k.with_(k.AUDIT) + f"""SELECT CASE WHEN endpoint = '/health' THEN 'rejected' ELSE 'stored' END AS side, count(*) AS rows,
 count(DISTINCT {_IP}) AS clients FROM audit GROUP BY 1""")
 def sink_audit(spark, d):
     """Audit rows appended; rows without endpoint land in the side table."""
     root = tb.scratch(spark, "audit")
     df = corpus.audit_log(spark, d).withColumn("ip_address", _ip()).withColumn(
-        "endpoint", F.when(F.col("id") % 50 != 0, F.col("endpoint")))
+        "endpoint", F.when(F.col("endpoint") != "/health", F.col("endpoint")))
     tb.write_audit(df, f"{root}/ok", f"{root}/rejected")
 
     def side(name, path):
@@ -133,18 +133,18 @@ def merge_defaults(spark, d):
 
 
 _CHG = """chg AS (SELECT o_custkey AS policy_id, o_orderkey AS seq, CASE WHEN o_orderkey % 13 = 0 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'update' ELSE 'toggle' END AS op,
-  'upd-' || o_orderkey AS name, o_orderkey % 2 = 0 AS enabled FROM orders WHERE o_custkey % 5 <> 0
-  UNION ALL SELECT 10000000 + c_custkey, -1, 'create', 'new-' || c_custkey, c_acctbal >= 0 FROM customer WHERE c_custkey % 5 = 0)"""
+  'upd-' || o_orderkey AS name, o_orderkey % 2 = 0 AS enabled FROM orders
+  UNION ALL SELECT 10000000 + c_custkey, -1, 'create', 'new-' || c_custkey, c_acctbal >= 0 FROM customer)"""
 
 
 def _changes(spark, d):
-    o = tb.table(spark, d, "orders").filter(F.col("o_custkey") % 5 != 0).select(
+    o = tb.table(spark, d, "orders").select(
         F.col("o_custkey").alias("policy_id"), F.col("o_orderkey").alias("seq"),
         F.when(F.col("o_orderkey") % 13 == 0, F.lit("delete")).when(F.col("o_orderkey") % 3 == 0, F.lit("update"))
         .otherwise(F.lit("toggle")).alias("op"),
         F.concat(F.lit("upd-"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 2 == 0).alias("enabled"),
         F.col("o_orderdate").alias("changed_at"))
-    c = tb.table(spark, d, "customer").filter(F.col("c_custkey") % 5 == 0).select(
+    c = tb.table(spark, d, "customer").select(
         (F.col("c_custkey") + 10000000).alias("policy_id"), F.lit(-1).cast("bigint").alias("seq"), F.lit("create").alias("op"),
         F.concat(F.lit("new-"), F.col("c_custkey").cast("string")).alias("name"), (F.col("c_acctbal") >= 0).alias("enabled"),
         fields.ntz(U).alias("changed_at"))
@@ -169,12 +169,12 @@ def last_policy_change(spark, d):
     return changes.last_change(_changes(spark, d), "policy_id").select("policy_id", "seq", "op", "name")
 
 
-@query("soft_delete_keys", k.with_(k.KEYS) + "SELECT id, user_id, is_active AND id % 4 <> 0 AS is_active FROM keys_t")
+@query("soft_delete_keys", k.with_(k.KEYS) + f"SELECT id, user_id, is_active AND NOT coalesce(expires_at < TIMESTAMP '{U}', false) AS is_active FROM keys_t")
 def soft_delete_keys(spark, d):
-    """Removal requests name key and owner; those of another owner have no effect."""
+    """Expired keys removed by their owner; removals asked for by another user have no effect."""
     keys = corpus.api_keys(spark, d)
-    own = keys.filter(F.col("id") % 4 == 0).select("id", "user_id")
-    wrong = keys.filter(F.col("id") % 4 == 1).select("id", (F.col("user_id") + 1).alias("user_id"))
+    own = keys.filter(fields.is_expired(F.col("expires_at"), fields.ntz(U))).select("id", "user_id")
+    wrong = keys.filter(F.col("expires_at").isNull()).select("id", (F.col("user_id") + 1).alias("user_id"))
     return changes.deactivate_keys(keys, own.unionByName(wrong)).select("id", "user_id", "is_active")
 
 
@@ -536,27 +536,27 @@ def round_n(spark, d):
 # -- patches, windows, ciphers --------------------------------------------------------------------
 
 
-_PATCH = """b AS (SELECT conv_id * 100 + turn AS span_id, turn, 'active' AS status, CASE WHEN turn % 2 = 0 THEN 5 END AS tokens FROM conversations)"""
+_PATCH = """b AS (SELECT conv_id * 100 + turn AS span_id, turn, role = 'assistant' AS up, 'active' AS status, CASE WHEN turn % 2 = 0 THEN 5 END AS tokens FROM conversations)"""
 
 
 def _patched(spark, d):
-    c = tb.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("span_id"), "turn")
+    c = tb.table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("span_id"), "turn", "role")
     base = c.select("span_id", F.lit("active").alias("status"), F.when(F.col("turn") % 2 == 0, F.lit(5)).alias("tokens"),
                     F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old")).alias("metadata"))
-    up = c.filter(F.col("turn") != 3).select(
+    up = c.filter(F.col("role") == "assistant").select(
         "span_id", F.when(F.col("turn") > 0, F.lit("completed")).alias("status"), F.when(F.col("turn") % 3 == 0, F.lit(9)).alias("tokens"),
         F.when(F.col("turn") % 2 == 1, F.create_map(F.lit("b"), F.lit("new"), F.lit("c"), F.lit("new"))).alias("metadata"))
     return traces.patch(base, up, ["status", "tokens"])
 
 
-@query("patch_non_null", k.with_(_PATCH) + """SELECT span_id, CASE WHEN turn > 0 AND turn <> 3 THEN 'completed' ELSE status END AS status,
-CASE WHEN turn % 3 = 0 AND turn <> 3 THEN 9 ELSE tokens END AS tokens FROM b""")
+@query("patch_non_null", k.with_(_PATCH) + """SELECT span_id, CASE WHEN turn > 0 AND up THEN 'completed' ELSE status END AS status,
+CASE WHEN turn % 3 = 0 AND up THEN 9 ELSE tokens END AS tokens FROM b""")
 def patch_non_null(spark, d):
     return _patched(spark, d).select("span_id", "status", "tokens")
 
 
-@query("metadata_merge", k.with_(_PATCH) + """SELECT span_id, 'old' AS a, CASE WHEN turn % 2 = 1 AND turn <> 3 THEN 'new' ELSE 'old' END AS b,
-CASE WHEN turn % 2 = 1 AND turn <> 3 THEN 'new' END AS c FROM b""")
+@query("metadata_merge", k.with_(_PATCH) + """SELECT span_id, 'old' AS a, CASE WHEN turn % 2 = 1 AND up THEN 'new' ELSE 'old' END AS b,
+CASE WHEN turn % 2 = 1 AND up THEN 'new' END AS c FROM b""")
 def metadata_merge(spark, d):
     return _patched(spark, d).select("span_id", *[F.col("metadata")[n].alias(n) for n in "abc"])
 
@@ -574,12 +574,14 @@ def attempt_rate(spark, d):
     return ratelimit.attempt_rate(_attempts(spark, d)).select("id", "client", "attempts_minute", "attempts_hour")
 
 
-@query("rate_limit", k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, event_type = 'signup' AS oauth FROM events)",
+@query("rate_limit", k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, event_type = 'signup' AS oauth FROM events WHERE event_type <> 'error')",
                             k.limiter("a", "1", "CASE WHEN oauth THEN 1 ELSE 3 END")) +
        "SELECT dec.*, us FROM dec JOIN a USING (id)")
 def rate_limit(spark, d):
-    """Batch decisions under small limits, OAuth requests counted apart."""
-    return ratelimit.decide(_attempts(spark, d), 1, 3, 1, 1)
+    """Batch decisions under small limits: OAuth paths counted apart, exempt paths not at all."""
+    paths = ratelimit.by_path(corpus.audit_log(spark, d), "endpoint").select(
+        "id", (F.col("user_id") % 5).alias("client"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"), "oauth")
+    return ratelimit.decide(paths, 1, 3, 1, 1)
 
 
 @query("encrypt_column", k.with_(k.KEYS) + "SELECT id, full_key AS plain, right(full_key, 4) AS last_4, 4 * ceil((length(full_key) + 28) / 3.0)::INTEGER AS stored_chars FROM keys_t")

@@ -75,8 +75,9 @@ def audit_stream(requests: DataFrame) -> DataFrame:
 
 
 def rate_limit(requests: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_hour: int = cat.RATE_PER_HOUR,
-               client: str = "client", ts: str = "ts", id_: str = "id") -> DataFrame:
-    """Online decisions with per-client state.
+               oauth_per_minute: int = cat.OAUTH_PER_MINUTE, oauth_per_hour: int = cat.OAUTH_PER_HOUR,
+               client: str = "client", ts: str = "ts", id_: str = "id", oauth: str | None = None) -> DataFrame:
+    """Online decisions with per-client state; with `oauth` (a boolean column) two counters per client.
 
     State is the admitted times of the last hour, at most the hourly limit; an
     idle client's state times out an hour after its last request.  A client's
@@ -85,13 +86,15 @@ def rate_limit(requests: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_h
     """
     state_schema = "times array<bigint>"
     kinds = dict(requests.dtypes)
-    out_schema = f"{client} {kinds[client]}, {id_} {kinds[id_]}, admitted boolean, retry_after int"
+    key = [client] if oauth is None else [client, oauth]
+    out_schema = ", ".join(f"{c} {kinds[c]}" for c in (*key, id_)) + ", admitted boolean, retry_after int"
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(values, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        lim = ratelimit.Limiter(per_minute, per_hour)
+        minute, hour = (oauth_per_minute, oauth_per_hour) if oauth and values[1] else (per_minute, per_hour)
+        lim = ratelimit.Limiter(minute, hour)
         if state.exists:
             for t in state.get[0]:
                 lim.hour_q.append((t, 1))
@@ -103,15 +106,15 @@ def rate_limit(requests: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_h
         for now in rows["_us"]:
             k, minute_used, _ = lim.attempt(int(now))
             admitted.append(bool(k))
-            retry.append(None if k else 60 if minute_used >= per_minute else 3600)
-        yield pd.DataFrame({client: key[0], id_: rows[id_].to_numpy(), "admitted": admitted,
+            retry.append(None if k else 60 if minute_used >= minute else 3600)
+        yield pd.DataFrame({**dict(zip(key, values)), id_: rows[id_].to_numpy(), "admitted": admitted,
                             "retry_after": pd.array(retry, dtype="Int32")})
         latest = int(rows["_us"].iloc[-1])
         state.update(([t for t, k in lim.hour_q for _ in range(k)],))
         state.setTimeoutTimestamp(max(latest // 1000 + 3_600_000, state.getCurrentWatermarkMs() + 1))
 
     timed = event_time(requests, ts).withColumn("_us", F.unix_micros(ts))
-    return timed.groupBy(client).applyInPandasWithState(
+    return timed.groupBy(*key).applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -75,14 +75,15 @@ def test_paths(spark):
 
 
 def test_stream_keeps_state_between_batches(spark, tmp_path):
-    rows = [(i, c, us, False) for i, c, us, _ in traffic(12, 400, MINUTE // 3)]
-    rows.sort(key=lambda r: r[2])
+    rows = sorted(traffic(12, 400, MINUTE // 3), key=lambda r: r[2])
     src = str(tmp_path / "in")
     for part in range(4):
-        piece = rows[part * 100:(part + 1) * 100]
-        df = spark.createDataFrame(piece, SCHEMA).select("id", "client", F.timestamp_micros("us").alias("ts"))
-        df.coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema("id bigint, client bigint, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
-    got = jobs.run_append(jobs.rate_limit(stream, 2, 8), str(tmp_path / "out")).collect()
-    want = simulate(rows, {False: (2, 8)})
-    assert {r["id"]: (r["admitted"], r["retry_after"]) for r in got} == {k: v[:2] for k, v in want.items()}
+        df = spark.createDataFrame(rows[part * 100:(part + 1) * 100], SCHEMA)
+        df.select("id", "client", F.timestamp_micros("us").alias("ts"), "oauth").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("id bigint, client bigint, ts timestamp, oauth boolean").option("maxFilesPerTrigger", 1).parquet(src)
+    plain = jobs.run_append(jobs.rate_limit(stream, 2, 8), str(tmp_path / "out")).collect()
+    want = simulate([(i, c, us, False) for i, c, us, _ in rows], {False: (2, 8)})
+    assert {r["id"]: (r["admitted"], r["retry_after"]) for r in plain} == {k: v[:2] for k, v in want.items()}
+    apart = jobs.run_append(jobs.rate_limit(stream, 2, 8, 1, 3, oauth="oauth"), str(tmp_path / "out2")).collect()
+    want = simulate(rows, {False: (2, 8), True: (1, 3)})
+    assert {r["id"]: (r["admitted"], r["retry_after"]) for r in apart} == {k: v[:2] for k, v in want.items()}
