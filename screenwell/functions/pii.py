@@ -12,9 +12,6 @@ from screenwell import catalog as cat
 from screenwell.functions import spans as sp
 from screenwell.functions import text as tx
 
-_BY_NAME = {p.name: p for p in cat.PII}
-
-
 def _digits(text: Column | str) -> Column:
     """Three digits in a row: needed by phone, SSN and card numbers alike."""
     return tx.matches(text, r"\d{3}")

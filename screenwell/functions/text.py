@@ -37,10 +37,6 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def with_gates(df: DataFrame, text: str = "content") -> DataFrame:
     """Add the two helper columns the gated predicates read.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenwell import catalog as cat
 from screenwell.functions import fields
 
 SALTS = 16
@@ -59,6 +60,13 @@ def apply_policy_changes(base: DataFrame, changes: DataFrame, key: str = "policy
         F.coalesce("created_at", "changed_at").alias("created_at"))
 
 
+def set_incident_status(incidents: DataFrame, updates: DataFrame, key: str = "content_id", seq: str = "seq") -> DataFrame:
+    """Incidents after status updates; the last valid status of an incident counts, unknown ones are refused."""
+    valid = updates.filter(F.col("status").isin(*cat.INCIDENT_STATUSES)).groupBy(key).agg(
+        F.max_by("status", seq).alias("_status"))
+    return incidents.join(valid, key, "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+
+
 def upsert_defaults(writes: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """Key/map store after partial writes: per entry the newest non-null value stays."""
     entries = writes.select(key, seq, F.explode("value").alias("name", "v")).filter(F.col("v").isNotNull())

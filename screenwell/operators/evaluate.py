@@ -13,7 +13,6 @@ from screenwell.functions import text as tx
 from screenwell.operators import scan
 
 ANALYSED = ("prompt_injection", "jailbreak", "data_exfiltration", "credential_exfiltration")
-SCENARIO_COLUMNS = ("id", "name", "category", "test_input", "expected_threat", "expected_severity", "should_block", "context_type")
 
 
 def scenarios(spark: SparkSession) -> DataFrame:

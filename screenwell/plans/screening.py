@@ -8,7 +8,7 @@ from screenwell import catalog as cat
 from screenwell.functions import exfil, injection, pii
 from screenwell.functions import policy as pf
 from screenwell.functions import text as tx
-from screenwell.operators import conversation, evaluate, models, policy, scan, stats, toxicity
+from screenwell.operators import changes, conversation, evaluate, models, policy, scan, stats, toxicity
 from screenwell.plans import sqlkit as k
 from screenwell.plans.registry import query
 from screenwell.sources import corpus
@@ -350,6 +350,16 @@ def list_incidents(spark, d):
         "content_id", "threat_type", "severity")
 
 
+@query("incident_status", _INC + """SELECT content_id, threat_type, CASE WHEN toxic = 1 THEN 'resolved' WHEN quality = 0 THEN 'false_positive'
+ELSE 'open' END AS status FROM inc LEFT JOIN labels ON doc_id = content_id""")
+def incident_status(spark, d):
+    """Incidents reviewed with the labels; a status nobody knows changes nothing."""
+    lab = tb.table(spark, d, "labels").select(
+        F.col("doc_id").alias("content_id"), F.lit(1).alias("seq"), F.when(F.col("toxic") == 1, F.lit("resolved"))
+        .when(F.col("quality") == 0, F.lit("false_positive")).otherwise(F.lit("looks fine")).alias("status"))
+    return changes.set_incident_status(_incidents(spark, d), lab).select("content_id", "threat_type", "status")
+
+
 @query("security_stats", _ANA + """SELECT count(*) AS total_analyses, count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE) AS total_incidents,
 count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE AND inj_hit) AS n_prompt_injection,
 count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE AND NOT inj_hit AND n_jb > 0) AS n_jailbreak,

@@ -85,3 +85,16 @@ def test_templates_and_packs():
 def test_pick_in_request_order(spark):
     ps = make(spark, *[(i, 1, f"P{i}", [("a", "flag", 1)], i != 2, 1) for i in range(5)])
     assert [r["policy_id"] for r in policy.pick(ps, [3, 2, 0]).collect()] == [3, 0]
+
+
+def test_templates_become_policies(spark):
+    ps = {r["template"]: r for r in policy.from_templates(spark).collect()}
+    assert [r["action"] for r in ps["pci_dss"]["rules"]] == ["block", "block", "redact", "flag"]
+    assert ps["gdpr"]["tags"] == ["gdpr", "compliance", "eu"]
+
+
+def test_compliance_needs_context(spark):
+    df = content(spark, (1, 1, "calm words")).withColumn("ctx", F.expr("map('unauthorized_access', true)"))
+    row = policy.compliance_evaluate(df, context="ctx", templates=("hipaa", "gdpr")).first()
+    assert [(v["policy_id"], v["condition"]) for v in row["violations"]] == [("hipaa", "unauthorized_access")]
+    assert not row["allowed"]
