@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenwell.llm import bpe_cuts, decontaminate, license_scan, token_codes
+from screenwell.llm import bpe_cuts, decontaminate, license_scan, quality_rules, secret_ledger, token_codes
 from screenwell.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,78 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.report(table(spark, sf_dir, "documents"), secret_ledger.fresh_ledger(spark))
+
+
+def _secret_sql() -> str:
+    """Every rule's matches, placed by sums of the match and gap lengths before them."""
+    parts = []
+    for at, r in enumerate(secret_ledger.RULES):
+        regex = r.regex.replace("'", "''")
+        if r.kind == "assign":   # letters in either case without Unicode folding
+            key = "password|passwd|secret|token|api_?key"
+            either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in key)
+            regex = regex.replace("(?i)", "").replace(key, either)
+        parts.append(f"""
+  SELECT doc_id, {at} AS rule, '{r.kind}' AS kind, unnest(list_transform(generate_series(1, len(m)), lambda i: {{
+    'e': list_sum(list_transform(m[1:i], lambda x: length(x))) + list_sum(list_transform(gap[1:i], lambda x: length(x))),
+    'n': length(m[i]), 'g': length(g[i])}})) AS p, {r.least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(t, '{regex}', 0) AS m, regexp_extract_all(t, '{regex}', {r.group}) AS g,
+    regexp_split_to_array(t, '{regex}') AS gap FROM doc)""")
+    counts = ", ".join(f"count(*) FILTER (rule = {i}) AS n_{r.kind}" for i, r in enumerate(secret_ledger.RULES[:3]))
+    names = ", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in secret_ledger.RULES[:3])
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+span AS ({" UNION ALL ".join(parts)}),
+ok AS (SELECT doc_id, rule, CAST(p.e - p.n AS BIGINT) AS s,
+    kind || ':' || CAST(p.e - p.n AS BIGINT) || ':' || CAST(p.e AS BIGINT) AS x FROM span WHERE p.g >= least),
+one AS (SELECT doc_id, {counts}, string_agg(x, ',' ORDER BY s, rule) FILTER (rule < 3) AS base,
+    string_agg(x, ',' ORDER BY s, rule) AS spans FROM ok GROUP BY doc_id)
+SELECT doc.doc_id, {names}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN one USING (doc_id)
+"""
+
+
+CHECKS["op2_secret_scan"] = _secret_sql()
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
+def _quality_sql() -> str:
+    """The counts by lists in a row, repeated windows by grouping, the thresholds as written."""
+    blank = r"[ \t-\r]".replace("\\\\", "\\")
+    stops = ", ".join(f"'{w}'" for s in quality_rules.STOPS for w in (s, s.capitalize()))
+    limits = " AND ".join(f"{r.part} * 1000 >= {round(r.low * 1000)} * {r.whole} AND "
+                          f"{r.part} * 1000 <= {round(r.high * 1000)} * {r.whole}" for r in quality_rules.RULES)
+    failed = (f"(n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT} * n_words)")
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{blank}+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines
+  FROM documents),
+win AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 2)) AS i, ws FROM doc WHERE len(ws) > 2),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM win),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM
+  (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice WHERE n > 1) GROUP BY doc_id),
+counts AS (SELECT doc.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len(list_filter(ws, lambda x: x IN ({stops}))) AS BIGINT) AS n_stops,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM doc LEFT JOIN rep USING (doc_id))
+SELECT *, {failed} AS base_failed, NOT {failed} AND {limits} AS kept FROM counts
+"""
+
+
+CHECKS["op4_quality_rules"] = _quality_sql()
+
+
 @query
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-codes")
