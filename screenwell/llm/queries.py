@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenwell.llm import bpe_cuts, decontaminate, license_scan, quality_rules, secret_ledger, token_codes
+from screenwell.llm import bpe_cuts, decontaminate, license_scan, quality_rules, secret_ledger, simhash_trie, token_codes
 from screenwell.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,11 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.digests(spark, path)
 
 
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
