@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenwell.llm import bpe_cuts, decontaminate, license_scan, quality_rules, secret_ledger, simhash_trie, token_codes
+from screenwell.llm import bpe_cuts, decontaminate, license_scan, quality_rules, secret_ledger, simhash_trie, token_codes, toxicity_gru, url_filter
 from screenwell.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,11 @@ SELECT *, {failed} AS base_failed, NOT {failed} AND {limits} AS kept FROM counts
 CHECKS["op4_quality_rules"] = _quality_sql()
 
 
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-codes")
@@ -110,6 +115,11 @@ def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.digests(spark, path)
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gru.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.report(table(spark, sf_dir, "documents"))
