@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenwell.llm import bpe_cuts, decontaminate, license_scan, quality_rules, secret_ledger, simhash_trie, token_codes, toxicity_gru, url_filter
+from screenwell.llm import bpe_cuts, decontaminate, license_scan, lm_score, quality_rules, secret_ledger, simhash_trie, token_codes, toxicity_gru, url_filter
 from screenwell.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ FROM doc LEFT JOIN one USING (doc_id)
 CHECKS["op2_secret_scan"] = _secret_sql()
 
 
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
