@@ -32,3 +32,23 @@ class Cache(dict):
                 self.clear()
             self[piece] = value
         return value
+
+
+class Known(dict):
+    """What was looked up lately: when `most` entries are in, they become the older half and new ones are gathered."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys known to neither half; those of the older one are taken over."""
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        out = keys.difference(self)
+        if self.older:
+            again = out.intersection(self.older)
+            self.update((k, self.older[k]) for k in again)
+            out -= again
+        return out

@@ -9,8 +9,8 @@ Segment, little-endian: magic `DAC1`, number of ids n (u64), levels L (u32); the
 m chunk bytes, and, but for the last, the bitmap (ceil(m / 8) bytes, lowest bit first) and the directory
 (ceil(m / BLOCK) + 1 u64).
 
-Files.  `write` makes a Parquet folder with one row per segment: part and seq (their order is that of the keys), the
-keys and lengths of the segment's documents, and the code.  Segments hold whole documents and are closed at
+Files.  `write` makes a Parquet folder with one row per segment: part and before (ids of the part in front of it;
+their order is that of the keys), the keys and lengths of the segment's documents, and the code.  Segments hold whole documents and are closed at
 `SEGMENT` ids, which bounds what a task holds (a longer document makes a longer segment).
 
 Edge cases.  Null and empty texts are the end id alone.  Null keys come first, as Spark sorts them.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenwell.llm.chunks import lone_blanks
+from screenwell.llm.chunks import Known
 from screenwell.llm.common import sliced
 
 BITS = 8
@@ -133,24 +133,22 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]+)\\Z")
 
 
 class Encoder:
-    """The tokenizers library over pieces between lone blanks, which its rules treat alone.
+    """The tokenizers library over pieces between blanks, which its rules drop and never match across.
 
     Pieces repeat, and the words in them (a word and the stops behind it are encoded alone, too) repeat more.  So
-    both are kept, `most` of each, and the library sees a batch's new words at once.
+    both are kept for a while, and the library sees a batch's new words at once.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # the task's cores are Spark's to share out
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if len(self._encode(["a  b\nc"])[0]) > len(self._encode(["a b c"])[0]):
+        if len(self._encode(["a  b\nc"])[0]) > len(self._encode(["a b c"])[0]) or self._encode([" "]) != [b""]:
             raise ValueError(f"{path} keeps white space in its tokens")
-        self.most = most
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Known(most), Known(most // 2)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -162,17 +160,16 @@ class Encoder:
         for text in texts:
             if text and text.isascii() and "<" not in text:   # the file lower-cases, but not special tokens
                 text = text.lower()
-            cut.append(lone_blanks(text.replace("\n", " ")) if text else [])
-        if len(self.pieces) > self.most or len(self.words) > self.most:
-            self.pieces, self.words = {}, {}
+            cut.append(text.replace("\n", " ").split(" ") if text else [])
         fresh = {}
-        for piece in set().union(*cut).difference(self.pieces):
+        for piece in self.pieces.missing(set().union(*cut)):
             plain = _PLAIN.match(piece)
             fresh[piece] = plain.groups() if plain else (piece,)
-        new = list({w for parts in fresh.values() for w in parts}.difference(self.words))
+        new = list(self.words.missing({w for parts in fresh.values() for w in parts}))
         self.words.update(zip(new, self._encode(new)))
-        for piece, parts in fresh.items():
-            self.pieces[piece] = b"".join([self.words[w] for w in parts])
+        word = self.words.__getitem__
+        self.pieces.update((piece, b"".join(map(word, parts)) if len(parts) > 1 else word(parts[0]))
+                           for piece, parts in fresh.items())
         of = self.pieces.__getitem__
         return [b"".join(map(of, pieces)) for pieces in cut]
 
@@ -192,12 +189,12 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end: bytes, tar
     keys: list = []
     lengths: list[int] = []
     held: list[bytes] = []
-    seq = size = 0
+    before = size = 0
 
     def close() -> pa.RecordBatch:
         code = pack(np.frombuffer(b"".join(held), "<u4"))
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
-            (part, seq, size, list(keys), list(lengths), code), schema)], schema=schema)
+            (part, before, size, list(keys), list(lengths), code), schema)], schema=schema)
 
     for batch in batches:
         for piece in sliced(batch, 4 << 20):
@@ -209,7 +206,7 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end: bytes, tar
                 size += lengths[-1]
                 if size >= target:
                     yield close()
-                    keys, lengths, held, seq, size = [], [], [], seq + 1, 0
+                    keys, lengths, held, before, size = [], [], [], before + size, 0
     if keys:
         yield close()
 
@@ -221,7 +218,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
     df = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([
-        T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
+        T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()),
         T.StructField("n_ids", T.LongType()), T.StructField("keys", T.ArrayType(df.schema["key"].dataType)),
         T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("code", T.BinaryType())])
     end = int(end_id).to_bytes(4, "little")
@@ -235,20 +232,14 @@ def write(documents: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
      .write.parquet(path))
 
 
-def starts(spark: SparkSession, path: str) -> DataFrame:
-    """part, seq and the number of ids before each segment; sums per part first, then within."""
-    from pyspark.sql import Window
-
-    rows = spark.read.parquet(path).select("part", "seq", "n_ids")
-    totals = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
-    base, table = 0, []
-    for part in sorted(totals):   # as many entries as files were written
-        table.append((part, base))
-        base += totals[part]
-    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = spark.createDataFrame(table, "part int, base long")
-    return rows.join(bases, "part").select(
-        "part", "seq", (F.col("base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0))).alias("start"))
+def part_starts(spark: SparkSession, path: str) -> dict[int, int]:
+    """Ids before each part; as many entries as tasks have written."""
+    rows = spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    base, out = 0, {}
+    for row in sorted(rows):
+        out[row["part"]] = base
+        base += row["n"]
+    return out
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -257,7 +248,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def _documents(spark, path, key, field, make) -> DataFrame:
-    segments = spark.read.parquet(path).join(starts(spark, path), ["part", "seq"])
+    segments, base = spark.read.parquet(path), part_starts(spark, path)
     kind = segments.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField(key, kind), T.StructField("start", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), field])
@@ -268,15 +259,16 @@ def _documents(spark, path, key, field, make) -> DataFrame:
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = Codes(batch.column(3)[i].as_buffer().to_pybytes())
-                lengths = batch.column(2)[i].values.to_numpy()
+                codes = Codes(batch.column(4)[i].as_buffer().to_pybytes())
+                lengths = batch.column(3)[i].values.to_numpy()
+                start = base[batch.column(0)[i].as_py()] + batch.column(1)[i].as_py()
                 ends = np.cumsum(lengths)
                 values = [make(codes.between(int(e - n), int(e))) for e, n in zip(ends, lengths)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1)[i].values.cast(arrow[0].type), pa.array(batch.column(0)[i].as_py() + ends - lengths),
+                    [batch.column(2)[i].values.cast(arrow[0].type), pa.array(start + ends - lengths),
                      pa.array(lengths), pa.array(values, arrow[3].type)], schema=arrow)
 
-    return segments.select("start", "keys", "lengths", "code").mapInArrow(run, schema)
+    return segments.select("part", "before", "keys", "lengths", "code").mapInArrow(run, schema)
 
 
 def digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
