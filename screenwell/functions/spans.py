@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
 from screenwell.functions import text as tx
+from screenwell.functions.arrays import bind, blocks, cut, running, running_sum
 
 SPAN = "struct<type:string,value:string,start:int,end:int,confidence:double,label:string>"
 SPANS = f"array<{SPAN}>"
@@ -38,8 +39,8 @@ class Rule(NamedTuple):
 def match_spans(text: Column | str, rules: Iterable[Rule]) -> Column:
     """All matches of the rules, in rule order, as an array of spans.
 
-    Matches and gaps of every rule are gathered first, then one fold over each
-    pair of lists places them.
+    Matches and gaps of every rule are gathered first, then running sums of their
+    lengths place them.
     """
     c = tx.col(text)
 
@@ -51,16 +52,11 @@ def match_spans(text: Column | str, rules: Iterable[Rule]) -> Column:
 
     def place(rule: Column) -> Column:
         m, g = rule["hit"]["m"], rule["hit"]["g"]
-        start = F.struct(F.lit(0).alias("pos"), no_spans().alias("out"))
-
-        def step(acc, pair):
-            at = acc["pos"] + F.char_length(pair["gap"])
-            end = at + F.char_length(pair["m"])
-            span = F.struct(rule["type"], pair["m"], at, end, rule["confidence"], rule["label"]).cast(SPAN)
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        pairs = F.arrays_zip(m.alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("gap"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        lengths = F.zip_with(m, F.slice(g, F.lit(1), F.size(m)),
+                             lambda value, gap: (F.char_length(value) + F.char_length(gap)).cast("long"))
+        return bind(running_sum(lengths), lambda ends: F.transform(m, lambda value, i: F.struct(
+            rule["type"], value, F.get(ends, i) - F.char_length(value), F.get(ends, i), rule["confidence"],
+            rule["label"]).cast(SPAN)))
 
     present = F.filter(F.array(*map(found, rules)), lambda r: r["hit"].isNotNull())
     return F.flatten(F.transform(present, place))
@@ -76,7 +72,8 @@ def sort_spans(spans: Column) -> Column:
 def dedup(spans: Column) -> Column:
     """Drop overlapping spans, keeping the more confident (the earlier on ties).
 
-    With spans sorted by start the kept ones never overlap, so a new span can
+    Sorted spans fall into runs that no span reaches out of, and runs do not bear
+    on each other.  Within a run the kept ones never overlap, so a new span can
     only collide with the last kept one.
     """
     def step(acc, s):
@@ -87,23 +84,44 @@ def dedup(spans: Column) -> Column:
                       F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(s)))
                 .otherwise(acc))
 
-    return F.aggregate(sort_spans(spans), no_spans(), step)
+    def best(run):
+        return F.when(F.size(run) == 1, run).otherwise(F.aggregate(run, no_spans(), step))
+
+    return bind(sort_spans(spans), lambda s: F.flatten(F.transform(runs(s), best)))
+
+
+def runs(spans: Column) -> Column:
+    """Sorted spans as an array of arrays, cut where a span starts behind the end of all before."""
+    reach = running(F.transform(spans, lambda s: s["end"].cast("long")), lambda a, b: F.greatest(a, b))
+
+    def cut_at(ends):
+        opens = F.array_compact(F.transform(spans, lambda s, i: F.when(
+            (i == 0) | (s["start"] >= F.get(ends, i - 1)), i)))
+        return bind(opens, lambda o: F.transform(o, lambda i, k: F.slice(
+            spans, i + 1, F.coalesce(F.get(o, k + 1), F.size(spans)) - i)))
+
+    return bind(reach, cut_at)
 
 
 def redact(text: Column | str, spans: Column, token=None) -> Column:
-    """Replace disjoint, sorted spans.  `token` maps a span to its replacement."""
+    """Replace disjoint, sorted spans.  `token` maps a span to its replacement.
+
+    Pieces between spans come from blocks of the text, so it is not walked from its
+    start for each.
+    """
     c = tx.col(text)
     token = token or typed_token
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        kept = F.substring(c, acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.struct(s["end"].alias("pos"), F.concat(acc["out"], kept, token(s)).alias("out"))
+    def pieces(parts, m):
+        def before(s, i):
+            done = F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+            return F.concat(cut(parts, done, s["start"] - done), token(s))
 
-    def finish(acc):
-        return F.concat(acc["out"], F.substring(c, acc["pos"] + 1, F.char_length(c)))
+        done = F.try_element_at(m, F.lit(-1))["end"]
+        return F.concat(F.array_join(F.transform(m, before), ""), cut(parts, done, F.char_length(c) - done))
 
-    return F.when(F.size(spans) == 0, c).otherwise(F.aggregate(spans, start, step, finish))
+    return F.when(F.size(spans) == 0, c).otherwise(
+        bind(blocks(c), lambda parts: bind(spans, lambda m: pieces(parts, m))))
 
 
 def typed_token(span: Column) -> Column:
