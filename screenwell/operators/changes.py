@@ -10,51 +10,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
-from screenwell.functions import fields
 
 SALTS = 16
 POLICY_FIELDS = ("name", "policy_type", "rules_json", "tags_json", "enabled")
 
 
 def last_change(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """Newest change of every key."""
-    rest = [c for c in changes.columns if c != key]
-    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r")).select(key, "_r.*")
+    """Newest change of every key; numbers of changes are unique within a key."""
+    rest = [c for c in changes.columns if c not in (key, seq)]
+    return changes.groupBy(key).agg(F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in rest])
 
 
 def apply_policy_changes(base: DataFrame, changes: DataFrame, key: str = "policy_id") -> DataFrame:
     """Base table after creates, updates, toggles and deletes.
 
-    `changes`: key, seq, op, and the policy fields (used by create and update).
+    `changes`: key, user_id, seq, op, and the policy fields (used by create and update).
+    A change reaches its own user's policies only; another user's changes of the same id are void.
     Every update raises the version by one; a toggle flips `enabled` without
     that; a delete removes the row and makes later changes of it void.
     """
-    written = F.col("op").isin("create", "update")
-    state = F.struct(*POLICY_FIELDS, "user_id")
-    folded = changes.groupBy(key).agg(
-        F.count_if(F.col("op") == "update").alias("n_updates"),
-        F.max(F.when(written, F.col("seq"))).alias("write_seq"),
-        F.max_by(F.when(written, state), F.when(written, F.col("seq"))).alias("w"),
+    ids = [key, "user_id"]
+    others = base.select(key, F.col("user_id").alias("_owner"))
+    # a create of an id that somebody else owns is void, too
+    own = changes.join(others, key, "left").filter(F.col("_owner").isNull() | F.col("_owner").eqNullSafe(F.col("user_id"))).drop("_owner")
+    is_write = F.col("op").isin("create", "update")
+    seq_of_write = F.when(is_write, F.col("seq"))
+    folded = own.groupBy(*ids).agg(
+        F.count_if(F.col("op") == "update").alias("n_updates"), F.max(seq_of_write).alias("write_seq"),
+        *[F.max_by(c, seq_of_write).alias(f"w_{c}") for c in POLICY_FIELDS],
         F.count_if(F.col("op") == "toggle").alias("n_toggles"),
-        F.bool_or(F.col("op") == "create").alias("created"),
-        F.bool_or(F.col("op") == "delete").alias("deleted"),
+        F.bool_or(F.col("op") == "create").alias("created"), F.bool_or(F.col("op") == "delete").alias("deleted"),
         F.max("changed_at").alias("changed_at"))
     # toggles before the last write are void; a busy key meets its write in SALTS parts
     salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     writes = folded.filter(F.col("write_seq").isNotNull() & (F.col("n_toggles") > 0)).select(
-        key, "write_seq", F.explode(salts).alias("_salt"))
-    toggles = changes.filter(F.col("op") == "toggle").select(
-        key, "seq", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("_salt"))
-    void = (toggles.join(writes, [key, "_salt"]).filter(F.col("seq") < F.col("write_seq"))
-            .groupBy(key, "_salt").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("n_void")))
-    net = folded.join(void, key, "left").withColumn("flips", F.col("n_toggles") - F.coalesce("n_void", F.lit(0)))
-    joined = base.join(net, key, "full_outer")
-    live = ~F.coalesce("deleted", F.lit(False)) & (F.coalesce(F.col("version"), F.lit(0)).cast("boolean") | F.coalesce("created", F.lit(False)))
-    current = {c: F.coalesce(F.col("w")[c], F.col(c)) for c in (*POLICY_FIELDS, "user_id")}
+        *ids, "write_seq", F.explode(salts).alias("_salt"))
+    toggles = own.filter(F.col("op") == "toggle").select(
+        *ids, "seq", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("_salt"))
+    void = (toggles.join(writes, [*ids, "_salt"]).filter(F.col("seq") < F.col("write_seq"))
+            .groupBy(*ids, "_salt").agg(F.count("*").alias("n")).groupBy(*ids).agg(F.sum("n").alias("n_void")))
+    net = folded.join(void, ids, "left").withColumn("flips", F.col("n_toggles") - F.coalesce("n_void", F.lit(0)))
+    joined = base.withColumn("_stored", F.lit(True)).join(net, ids, "full_outer")
+    stored, created = F.coalesce("_stored", F.lit(False)), F.coalesce("created", F.lit(False))
+    live = ~F.coalesce("deleted", F.lit(False)) & (stored | created)
+    was_written = F.col("write_seq").isNotNull()
+    current = {c: F.when(was_written, F.coalesce(f"w_{c}", c)).otherwise(F.col(c)) for c in POLICY_FIELDS}
     flip = (F.coalesce("flips", F.lit(0)) % 2) == 1
     return joined.filter(live).select(
-        key, current["user_id"].alias("user_id"),
-        *[current[c].alias(c) for c in POLICY_FIELDS if c != "enabled"],
+        *ids, *[current[c].alias(c) for c in POLICY_FIELDS if c != "enabled"],
         F.when(flip, ~current["enabled"]).otherwise(current["enabled"]).alias("enabled"),
         (F.coalesce("version", F.lit(1)) + F.coalesce("n_updates", F.lit(0))).cast("int").alias("version"),
         F.coalesce("created_at", "changed_at").alias("created_at"))
@@ -84,9 +87,4 @@ def latest_provider_key(writes: DataFrame) -> DataFrame:
     """One stored key per user and provider; the newest write wins, the first sets created_at."""
     rest = [c for c in writes.columns if c not in ("user_id", "provider", "seq")]
     return writes.groupBy("user_id", "provider").agg(
-        F.max_by(F.struct(*rest), F.col("seq")).alias("_r"), F.min("written_at").alias("created_at")).select(
-        "user_id", "provider", "_r.*", "created_at")
-
-
-def merge_patterns(pack: str, request: str):
-    return fields.overlay(F.col(pack), F.col(request))
+        *[F.max_by(c, "seq").alias(c) for c in rest], F.min("written_at").alias("created_at"))

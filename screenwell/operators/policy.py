@@ -12,8 +12,6 @@ from screenwell.functions import policy as pf
 from screenwell.functions import text as tx
 from screenwell.sources import tables as tb
 
-POLICIES_PER_USER = 200   # a caller's evaluation looks at that many newest policies
-
 
 def decode(policies: DataFrame) -> DataFrame:
     """Stored policies with their JSON rules and tags decoded."""
@@ -29,15 +27,15 @@ def rule_rank(policies: DataFrame) -> DataFrame:
     return policies.select("policy_id", F.inline(pf.ranked_rules(F.col("rules"))))
 
 
-def rules_by_user(policies: DataFrame, limit: int = POLICIES_PER_USER) -> DataFrame:
-    """Per user the rules of the newest enabled policies, in evaluation order.
+def rules_by_user(policies: DataFrame) -> DataFrame:
+    """Per user the rules of all enabled policies, in evaluation order: the newest policy first.
 
-    The rank filter trims every user's policies before the shuffle, so the
-    collected list is bounded by the limit.
+    A column `request_ord`, where there is one, sets the order of policies instead.
+    The list is one owner's own policies, as every evaluation of that owner needs them.
     """
-    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("policy_id"))
-    kept = (policies.filter("enabled").withColumn("policy_ord", F.row_number().over(newest))
-            .filter(F.col("policy_ord") <= limit))
+    order = [F.col("request_ord")] if "request_ord" in policies.columns else [F.desc("created_at"), F.desc("policy_id")]
+    newest = Window.partitionBy("user_id").orderBy(*order)
+    kept = policies.filter("enabled").withColumn("policy_ord", F.row_number().over(newest))
     ranked = F.transform(pf.ranked_rules(F.col("rules")), lambda r: F.struct(
         F.col("policy_ord").alias("policy_ord"), r["rule_index"].alias("rule_index"),
         F.col("policy_id").alias("policy_id"), F.col("name").alias("policy_name"),
@@ -108,8 +106,11 @@ def pick(policies: DataFrame, ids: Sequence[int], user_id: int | None = None) ->
 
 
 def pick_from(policies: DataFrame, requested: DataFrame) -> DataFrame:
-    """Requested policies where requests come as a table (policy_id, request_ord)."""
-    return policies.filter("enabled").join(requested, "policy_id")
+    """Enabled policies that their own user requests, where requests come as a table (user_id, policy_id, request_ord).
+
+    What is requested by another user is left out.  `evaluate` takes the result: it follows `request_ord`.
+    """
+    return policies.filter("enabled").join(requested, ["user_id", "policy_id"])
 
 
 def from_templates(spark: SparkSession) -> DataFrame:

@@ -133,8 +133,13 @@ def merge_defaults(spark, d):
 
 
 _CHG = """chg AS (SELECT o_custkey AS policy_id, o_orderkey AS seq, CASE WHEN o_orderkey % 13 = 0 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'update' ELSE 'toggle' END AS op,
-  'upd-' || o_orderkey AS name, o_orderkey % 2 = 0 AS enabled FROM orders
-  UNION ALL SELECT 10000000 + c_custkey, -1, 'create', 'new-' || c_custkey, c_acctbal >= 0 FROM customer)"""
+  'upd-' || o_orderkey AS name, o_orderkey % 2 = 0 AS enabled, o_custkey // 6 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS user_id FROM orders
+  UNION ALL SELECT 10000000 + c_custkey, -1, 'create', 'new-' || c_custkey, c_acctbal >= 0, c_custkey // 6 FROM customer)"""
+
+
+def _asker():
+    """User who asks for a policy: its owner, but for every seventh order somebody else."""
+    return F.call_function("div", F.col("o_custkey"), F.lit(6)) + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)
 
 
 def _changes(spark, d):
@@ -143,25 +148,30 @@ def _changes(spark, d):
         F.when(F.col("o_orderkey") % 13 == 0, F.lit("delete")).when(F.col("o_orderkey") % 3 == 0, F.lit("update"))
         .otherwise(F.lit("toggle")).alias("op"),
         F.concat(F.lit("upd-"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 2 == 0).alias("enabled"),
+        _asker().alias("user_id"),
         F.col("o_orderdate").alias("changed_at"))
     c = tb.table(spark, d, "customer").select(
         (F.col("c_custkey") + 10000000).alias("policy_id"), F.lit(-1).cast("bigint").alias("seq"), F.lit("create").alias("op"),
         F.concat(F.lit("new-"), F.col("c_custkey").cast("string")).alias("name"), (F.col("c_acctbal") >= 0).alias("enabled"),
-        fields.ntz(U).alias("changed_at"))
+        F.call_function("div", F.col("c_custkey"), F.lit(6)).alias("user_id"), fields.ntz(U).alias("changed_at"))
     return o.unionByName(c).select("*", F.lit("compliance").alias("policy_type"), F.lit("[]").alias("rules_json"),
-                                   F.lit("[]").alias("tags_json"), F.lit(1).cast("bigint").alias("user_id"))
+                                   F.lit("[]").alias("tags_json"))
 
 
-@query("apply_policy_changes", k.with_(k.POLICIES, _CHG, """f AS (SELECT policy_id, count(*) FILTER (WHERE op = 'update') AS ups,
+@query("apply_policy_changes", k.with_(k.POLICIES, _CHG.replace("chg AS", "asked AS"),
+                                       """chg AS (SELECT a.* FROM asked a LEFT JOIN policies_t p USING (policy_id)
+  WHERE p.policy_id IS NULL OR p.user_id = a.user_id),
+f AS (SELECT policy_id, any_value(user_id) AS user_id, count(*) FILTER (WHERE op = 'update') AS ups,
   max(seq) FILTER (WHERE op IN ('update', 'create')) AS wseq, bool_or(op = 'delete') AS deleted, bool_or(op = 'create') AS created FROM chg GROUP BY 1),
 t AS (SELECT policy_id, count(*) FILTER (WHERE op = 'toggle' AND (wseq IS NULL OR seq > wseq)) % 2 = 1 AS flip, max(name) FILTER (WHERE seq = wseq) AS wname,
   bool_or(enabled) FILTER (WHERE seq = wseq) AS wen FROM chg JOIN f USING (policy_id) GROUP BY 1)""") + """
-SELECT coalesce(p.policy_id, f.policy_id) AS policy_id, coalesce(wname, p.name) AS name,
+SELECT coalesce(p.policy_id, f.policy_id) AS policy_id, coalesce(p.user_id, f.user_id) AS user_id, coalesce(wname, p.name) AS name,
 CASE WHEN coalesce(flip, false) THEN NOT coalesce(wen, p.enabled) ELSE coalesce(wen, p.enabled) END AS enabled,
 coalesce(p.version, 1) + coalesce(ups, 0) AS version FROM policies_t p FULL JOIN f ON p.policy_id = f.policy_id LEFT JOIN t ON t.policy_id = f.policy_id
 WHERE NOT coalesce(deleted, false) AND (p.policy_id IS NOT NULL OR created)""")
 def apply_policy_changes(spark, d):
-    return changes.apply_policy_changes(corpus.policies(spark, d), _changes(spark, d)).select("policy_id", "name", "enabled", "version")
+    return changes.apply_policy_changes(corpus.policies(spark, d), _changes(spark, d)).select(
+        "policy_id", "user_id", "name", "enabled", "version")
 
 
 @query("last_policy_change", k.with_(_CHG) + "SELECT policy_id, seq, op, name FROM chg QUALIFY row_number() OVER (PARTITION BY policy_id ORDER BY seq DESC) = 1")
@@ -379,12 +389,13 @@ def join_pack_config(spark, d):
         F.col("pack_analyzer").alias("analyzer"), F.col("pack_template").alias("template"))
 
 
-@query("policies_by_ids", k.with_(k.POLICIES) + """SELECT o_orderkey AS request_id, policy_id, name FROM policies_t
-JOIN orders ON policy_id = o_custkey WHERE enabled""")
+@query("policies_by_ids", k.with_(k.POLICIES) + """SELECT o_orderkey AS request_ord, user_id, policy_id, name FROM policies_t
+JOIN orders ON policy_id = o_custkey WHERE enabled AND o_orderkey % 7 <> 0""")
 def policies_by_ids(spark, d):
-    """Requested policies, the requests coming as a table."""
-    wanted = tb.table(spark, d, "orders").select(F.col("o_custkey").alias("policy_id"), F.col("o_orderkey").alias("request_id"))
-    return policy.pick_from(corpus.policies(spark, d), wanted).select("request_id", "policy_id", "name")
+    """Requested policies, the requests coming as a table; every seventh asks for somebody else's."""
+    wanted = tb.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("policy_id"), _asker().alias("user_id"), F.col("o_orderkey").alias("request_ord"))
+    return policy.pick_from(corpus.policies(spark, d), wanted).select("request_ord", "user_id", "policy_id", "name")
 
 
 def _some_traces(spark, d):
