@@ -83,7 +83,7 @@ def list_policies(policies: DataFrame, user_id: int | None = None, policy_type:
     for name, value in (("user_id", user_id), ("policy_type", policy_type), ("enabled", enabled)):
         if value is not None:
             policies = policies.filter(F.col(name) == value)
-    return page(policies, "created_at", "policy_id", min(limit, 200), offset)
+    return page(policies, "created_at", "policy_id", limit, offset)
 
 
 def histogram(df: DataFrame, value: Column, bounds=cat.LATENCY_BUCKETS) -> DataFrame:

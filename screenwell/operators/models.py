@@ -28,7 +28,7 @@ def keyword_scorer(words: Sequence[str]) -> Callable[[], Scorer]:
     return load
 
 
-def as_udf(load: Callable[[], Scorer], max_chars: int | None = None, batch: int | None = None) -> Callable[[Column], Column]:
+def as_udf(load: Callable[[], Scorer], batch: int | None = None) -> Callable[[Column], Column]:
     """Wrap a model loader as an iterator UDF: one load per task, null texts skipped.
 
     Rows that need no model pass a null, so a cheap filter in front costs no
@@ -40,17 +40,49 @@ def as_udf(load: Callable[[], Scorer], max_chars: int | None = None, batch: int
         for s in texts:
             out = pd.Series(float("nan"), index=s.index, dtype="float64")
             todo = s[s.notna()]
-            if max_chars is not None:
-                todo = todo.str.slice(0, max_chars)
-            step = batch or max(len(todo), 1)
-            for i in range(0, len(todo), step):
-                part = todo.iloc[i:i + step]
-                out.loc[part.index] = model(part)
+            out.loc[todo.index] = _in_batches(model, todo, batch)
             yield out
 
     return lambda c: F.nanvl(run(c), F.lit(None).cast("double"))
 
 
+def _in_batches(model: Scorer, texts: pd.Series, batch: int | None) -> pd.Series:
+    step = batch or max(len(texts), 1)
+    parts = [model(texts.iloc[i:i + step]) for i in range(0, len(texts), step)]
+    return pd.concat(parts) if parts else pd.Series([], dtype="float64")
+
+
+def worst_chunk(load: Callable[[], Scorer], batch: int | None = None, size: int = cat.CHUNK_SIZE,
+                overlap: int = cat.CHUNK_OVERLAP) -> Callable[[Column], Column]:
+    """Like `as_udf`, over the chunks of every whole text: a struct of the worst score and the first chunk that has it.
+
+    Chunks of all texts of an Arrow batch are scored together and never leave the
+    row, so nothing is shuffled.
+    """
+    @F.pandas_udf("p double, chunk_no int")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for s in texts:
+            parts = [(row, n, t[at:at + size]) for row, t in enumerate(s) if t is not None
+                     for n, at in enumerate(range(0, len(t) if len(t) > size else 1, size - overlap))]
+            scores = _in_batches(model, pd.Series([x[2] for x in parts], dtype=object), batch)
+            best: dict[int, tuple[float, int]] = {}
+            for (row, n, _), p in zip(parts, scores):
+                if row not in best or p > best[row][0]:
+                    best[row] = (p, n)
+            yield pd.DataFrame([best.get(row, (None, None)) for row in range(len(s))],
+                               columns=["p", "chunk_no"]).astype({"p": "Float64", "chunk_no": "Int32"})
+
+    return run
+
+
+def n_chunks(text: Column | str) -> Column:
+    """How many chunks `worst_chunk` reads."""
+    n = F.char_length(tx.col(text))
+    step = cat.CHUNK_SIZE - cat.CHUNK_OVERLAP
+    return F.when(n <= cat.CHUNK_SIZE, F.lit(1)).otherwise(F.ceil(n / step)).cast("bigint")
+
+
 def flip(label: Column, score: Column) -> Column:
     """Injection probability from a top label and its score."""
     return F.when(label == "INJECTION", score).otherwise(F.lit(1.0) - score)
@@ -69,15 +101,10 @@ def chunks(df: DataFrame, text: str = "content") -> DataFrame:
 
 
 def chunk_max(df: DataFrame, load: Callable[[], Scorer], text: str = "content", keys: Sequence[str] = ("content_id",)) -> DataFrame:
-    """Worst chunk score of every document and the number of chunks.
-
-    Only scores are shuffled, and they combine before the shuffle.
-    """
-    scored = chunks(df.select(*keys, text), text).select(
-        *keys, "chunk_no", as_udf(load, cat.MODEL_MAX_CHARS)(F.col("chunk")).alias("p"))
-    best = F.max(F.struct("p", (-F.col("chunk_no")).alias("first")))
-    return (scored.groupBy(*keys).agg(best.alias("_b"), F.count("*").alias("chunks_scanned"))
-            .select(*keys, F.col("_b.p").alias("model_score"), (-F.col("_b.first")).alias("worst_chunk"), "chunks_scanned"))
+    """Worst chunk score of every document, the first chunk that has it, and the number of chunks."""
+    return df.filter(F.col(text).isNotNull()).select(*keys, text, worst_chunk(load)(F.col(text)).alias("_b")).select(
+        *keys, F.col("_b.p").alias("model_score"), F.col("_b.chunk_no").alias("worst_chunk"),
+        n_chunks(text).alias("chunks_scanned"))
 
 
 def injection_hybrid(df: DataFrame, load: Callable[[], Scorer] | None, text: str = "content",
@@ -104,10 +131,10 @@ def _merged(df: DataFrame, key: str) -> DataFrame:
 
 def injection_batch(df: DataFrame, load: Callable[[], Scorer], text: str = "content", key: str = "content_id",
                     threshold: float = cat.CASCADE_THRESHOLD) -> DataFrame:
-    """Cascade: the model sees only texts the regexes score at or above the threshold."""
+    """Cascade: the model sees only texts the regexes score at or above the threshold, and all of each, in chunks."""
     regex = scan.injection_scan(df.select(key, text), text)
     suspicious = F.col("risk_score") >= F.lit(threshold)
-    p = as_udf(load, cat.MODEL_MAX_CHARS, batch=8)(F.when(suspicious, F.col(text)))
+    p = worst_chunk(load, batch=8)(F.when(suspicious, F.col(text)))["p"]
     out = regex.select(key, F.col("risk_score").alias("regex_score"), "is_injection", "recommendation", p.alias("model_score"))
     used = F.col("model_score").isNotNull()
     combined = hybrid_merge(F.col("model_score"), F.col("regex_score"))
@@ -136,7 +163,8 @@ def chunk_words(df: DataFrame, key: str, text: str, size: int = cat.WORD_CHUNK_S
                     for n, (off, part) in enumerate(split_words(t, size, overlap))]
             yield pd.DataFrame(rows, columns=[key, "chunk_no", "offset", "chunk"])
 
-    return df.select(key, text).mapInPandas(cut, f"{key} bigint, chunk_no int, offset int, chunk string")
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInPandas(cut, f"{key} {kind}, chunk_no int, offset int, chunk string")
 
 
 def split_words(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
@@ -159,7 +187,7 @@ def entities(df: DataFrame, load: Callable[[], Callable[[str, Sequence[str], flo
     """One row per entity an entity model finds in the word chunks of every text.
 
     The model returns (label, text, start, end, score) per chunk.  Overlapping
-    chunks report an entity twice; label, text and position identify it.
+    chunks report an entity twice; label, text and position identify it, and the surer report counts.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -171,8 +199,9 @@ def entities(df: DataFrame, load: Callable[[], Callable[[str, Sequence[str], flo
             yield pd.DataFrame(rows, columns=[key, "label", "value", "start", "end", "confidence"])
 
     found = df.select(key, text).mapInPandas(
-        run, f"{key} bigint, label string, value string, start int, end int, confidence double")
-    return found.dropDuplicates([key, "label", "value", "start"]).withColumn("type", pii.label_to_type(F.col("label")))
+        run, f"{key} {df.schema[key].dataType.simpleString()}, label string, value string, start int, end int, confidence double")
+    best = found.groupBy(key, "label", "value", "start", "end").agg(F.max("confidence").alias("confidence"))
+    return best.withColumn("type", pii.label_to_type(F.col("label")))
 
 
 def spans_table(df: DataFrame, key: str = "content_id", text: str = "content") -> DataFrame:

@@ -36,7 +36,7 @@ def filter_stats(filtered: DataFrame) -> DataFrame:
     return filtered.agg(
         F.count("*").alias("total_filtered"), F.sum("n_pii").alias("total_pii"),
         F.count_if(~F.col("is_safe")).alias("unsafe_count"),
-        *[F.sum(of_type(t)).alias(f"n_{t}") for t in cat.FILTER_PII_TYPES[:6]],
+        *[F.sum(of_type(t)).alias(f"n_{t}") for t in cat.FILTER_PII_TYPES],
         F.coalesce(F.round(F.avg("toxicity"), 3), F.lit(0.0)).alias("average_toxicity"))
 
 

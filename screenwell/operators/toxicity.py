@@ -1,15 +1,15 @@
-"""Toxicity by a Spark ML text classifier trained from labels, or by any plugged-in scorer."""
+"""Toxicity by naive Bayes over the words of whole texts, trained from labels, or by any plugged-in scorer."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
+from screenwell.functions import text as tx
+
+#: Log odds are kept as whole millionths, so that sums do not depend on their order.
+UNIT = 1_000_000
 
 
 def toxicity_label(score: Column, threshold: Column | float = cat.DEFAULT_TOXICITY) -> Column:
@@ -20,25 +20,34 @@ def toxicity_label(score: Column, threshold: Column | float = cat.DEFAULT_TOXICI
                     (s > bar).alias("is_toxic"))
 
 
-def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-          label: str = "toxic", features: int = 1 << 14) -> PipelineModel:
-    """Bag-of-words logistic regression on the leading characters the scorer sees."""
-    rows = texts.join(labels, key).select(head(text).alias("head"), F.col(label).cast("double").alias("label"))
-    stages = [RegexTokenizer(inputCol="head", outputCol="words", pattern=r"\W+", minTokenLength=2),
-              HashingTF(inputCol="words", outputCol="features", numFeatures=features),
-              LogisticRegression(maxIter=15, regParam=0.01)]
-    return Pipeline(stages=stages).fit(rows)
-
+def _odds(hit: Column, of: Column, base: Column, base_of: Column) -> Column:
+    return F.round(F.log((hit + 1.0) / (of + 2.0)) * UNIT - F.log((base + 1.0) / (base_of + 2.0)) * UNIT).cast("long")
 
-def head(text: str) -> Column:
-    """The model is defined on the first 512 characters."""
-    return F.substring(text, 1, cat.TOXICITY_MAX_CHARS)
 
-
-def score(model: PipelineModel | None, df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `toxicity`; zero where no model is at hand."""
+def train(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+          label: str = "toxic") -> DataFrame:
+    """Log odds of every word that occurs in labelled texts: word, odds, prior.
+
+    A word counts once per text.  Labels meet the texts before words are made, and
+    counts combine before the shuffle.
+    """
+    known = labels.select(key, (F.col(label) == 1).alias("y"))
+    n1, n0 = known.join(texts.select(key), key, "left_semi").agg(F.count_if("y"), F.count_if(~F.col("y"))).first()
+    words = texts.select(key, text).join(known, key).select("y", F.explode(tx.word_tokens(text)).alias("word"))
+    counts = words.groupBy("word").agg(F.count_if("y").alias("w1"), F.count_if(~F.col("y")).alias("w0"))
+    prior = F.round(F.log(F.lit((n1 + 1.0) / (n0 + 1.0))) * UNIT).cast("long")
+    return counts.select("word", _odds(F.col("w1"), F.lit(n1), F.col("w0"), F.lit(n0)).alias("odds"), prior.alias("prior"))
+
+
+def score(model: DataFrame | None, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and `toxicity`; zero where no model is at hand or no word is known.
+
+    Only words travel.  A frequent word is one row of the model, so the join splits
+    its side of the texts.
+    """
     if model is None:
-        return df.withColumn("toxicity", F.lit(0.0))
-    out = model.transform(df.withColumn("head", head(text)))
-    return out.withColumn("toxicity", F.round(vector_to_array("probability")[1], 4)).drop(
-        "head", "words", "features", "rawPrediction", "probability", "prediction")
+        return df.select(key, F.lit(0.0).alias("toxicity"))
+    words = df.select(key, F.explode(tx.word_tokens(text)).alias("word"))
+    sums = words.join(model, "word").groupBy(key).agg(F.sum("odds").alias("odds"), F.max("prior").alias("prior"))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("odds") + F.col("prior")) / UNIT))
+    return df.select(key).join(sums, key, "left").select(key, F.coalesce(p, F.lit(0.0)).alias("toxicity"))

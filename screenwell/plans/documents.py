@@ -94,7 +94,7 @@ _redaction("pii_redact_typed", k.TYPED, lambda: sp.redact("content", F.col("ents
 _redaction("pii_redact_fixed", "'[REDACTED]'", lambda: sp.redact_fixed("content", F.col("ents"), types=["email", "ssn"]),
            pick="list_filter(ents, lambda e: e.type IN ('email', 'ssn'))")
 
-CUSTOM = {"order_id": r"ORD-[A-Z]{3}-\d{5}", "icd_code": r"\b[A-Z]\d{2}\.\d\b", "exp_date": r"\b\d{2}/\d{2}\b", "broken": "("}
+CUSTOM = {"parcel": r"\bPX\d{4}[A-Z]{2}\b", "icd_code": r"\b[A-Z]\d{2}\.\d\b", "exp_date": r"\b\d{2}/\d{2}\b", "broken": "("}
 _CUSTOM_PARTS = k.PII_PARTS + [(v, "name", 0.75, n) for n, v in CUSTOM.items() if n != "broken"]
 
 
@@ -163,7 +163,7 @@ def spans_table(spark, d):
 @query("chunk_words", k.with_(k.word_chunks("documents", "doc_id", "text")) +
        'SELECT doc_id, chunk_no, "offset", length(chunk) AS n_chars, substr(sha256(chunk), 1, 16) AS chunk_hash FROM wc')
 def chunk_words(spark, d):
-    parts = models.chunk_words(tb.text_table(spark, d, "documents"), "doc_id", "text")
+    parts = models.chunk_words(tb.table(spark, d, "documents"), "doc_id", "text")
     return parts.select("doc_id", "chunk_no", "offset", F.char_length("chunk").alias("n_chars"),
                         tx.content_hash("chunk").alias("chunk_hash"))
 

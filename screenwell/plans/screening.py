@@ -113,11 +113,11 @@ def scorer_interface(spark, d):
     return corpus.content(spark, d).select("content_id", models.as_udf(LOADER)(F.col("content")).alias("p"))
 
 
-@query("batch_scorer", k.with_(k.CONTENT) + f"""SELECT content_id, {_model('substr(content, 1, 2048)')} AS p,
-{_model('substr(content, 1, 2048)')} >= 0.75::DOUBLE AS is_injection FROM content""")
+@query("batch_scorer", k.with_(k.CONTENT) + f"""SELECT content_id, {_model('content')} AS p,
+{_model('content')} >= 0.75::DOUBLE AS is_injection FROM content""")
 def batch_scorer(spark, d):
     out = corpus.content(spark, d).select(
-        "content_id", models.as_udf(LOADER, cat.MODEL_MAX_CHARS, batch=8)(F.col("content")).alias("p"))
+        "content_id", models.as_udf(LOADER, batch=8)(F.col("content")).alias("p"))
     return out.withColumn("is_injection", models.verdict(F.col("p")))
 
 
@@ -144,8 +144,9 @@ def rec_hybrid(spark, d):
     return models.injection_hybrid(corpus.content(spark, d), LOADER).groupBy("recommendation").agg(F.count("*").alias("n"))
 
 
-@query("injection_scan_batch", k.with_(k.CONTENT, k.injection("content"), f"""b AS (SELECT content_id, risk_score AS regex_score,
-  is_injection, recommendation, CASE WHEN risk_score >= 0.3::DOUBLE THEN {_model('substr(content, 1, 2048)')} END AS model_score FROM inj)""",
+@query("injection_scan_batch", k.with_(k.CONTENT, k.injection("content"), _CHUNKS.format(src="(SELECT content_id, content FROM content)"),
+  f"md AS (SELECT content_id, max({_model('chunk')}) AS worst FROM chunks GROUP BY 1)", """b AS (SELECT content_id, risk_score AS regex_score,
+  is_injection, recommendation, CASE WHEN risk_score >= 0.3::DOUBLE THEN worst END AS model_score FROM inj JOIN md USING (content_id))""",
   "c AS (SELECT *, model_score * 0.7::DOUBLE + regex_score * 0.3::DOUBLE AS combined FROM b)") + f"""
 SELECT content_id, regex_score, model_score, coalesce(combined, regex_score) AS risk_score,
 coalesce(model_score >= 0.75::DOUBLE, is_injection) AS is_injection,
@@ -395,7 +396,7 @@ def content_filter(spark, d):
 
 
 @query("filter_stats", _FILT + "SELECT count(*) AS total_filtered, sum(n_pii)::BIGINT AS total_pii, count(*) FILTER (WHERE NOT is_safe) AS unsafe_count, " + ", ".join(
-    f"sum(len(list_filter(ents, lambda e: e.type = '{t}')))::BIGINT AS n_{t}" for t in cat.FILTER_PII_TYPES[:6]) + ", 0.0::DOUBLE AS average_toxicity FROM fil")
+    f"sum(len(list_filter(ents, lambda e: e.type = '{t}')))::BIGINT AS n_{t}" for t in cat.FILTER_PII_TYPES) + ", 0.0::DOUBLE AS average_toxicity FROM fil")
 def filter_stats(spark, d):
     return stats.filter_stats(_filtered(spark, d))
 
@@ -505,7 +506,7 @@ def cond_always(spark, d):
 
 _POL = k.with_(k.CONTENT, k.condition_rows("content", **_CTX), k.POLICIES, k.RULES,
                """pol AS (SELECT policy_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, policy_id DESC) AS INTEGER)
-  AS policy_ord FROM policies_t WHERE enabled QUALIFY policy_ord <= 200)""",
+  AS policy_ord FROM policies_t WHERE enabled)""",
                """viol AS (SELECT content_id, policy_id, name AS policy_name, policy_ord, rule_index, condition, action
   FROM content JOIN pol USING (user_id) JOIN rules_t USING (policy_id) JOIN conds USING (content_id, condition))""")
 _VERDICT = """SELECT content_id, coalesce(n, 0) AS n_violations, coalesce(allowed, true) AS allowed, modified_content, coalesce(actions, '') AS actions FROM content LEFT JOIN (
@@ -668,20 +669,31 @@ def label_evaluate(spark, d):
                                    F.col("is_injection"), F.col("toxic") == 1)
 
 
-@query("toxicity_score")
+_HELD = "doc_id % 4 <> 0"   # every fourth document's label is kept from training
+
+
+@query("toxicity_score", f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents),
+l AS (SELECT doc_id, toxic = 1 AS y FROM labels SEMI JOIN documents USING (doc_id) WHERE {_HELD}),
+t AS (SELECT count(*) FILTER (WHERE y) AS n1, count(*) FILTER (WHERE NOT y) AS n0 FROM l),
+m AS (SELECT word, count(*) FILTER (WHERE y) AS w1, count(*) FILTER (WHERE NOT y) AS w0 FROM w JOIN l USING (doc_id) GROUP BY 1),
+o AS (SELECT word, CAST(round(ln((w1 + 1.0::DOUBLE) / (n1 + 2.0::DOUBLE)) * 1000000 - ln((w0 + 1.0::DOUBLE) / (n0 + 2.0::DOUBLE)) * 1000000) AS BIGINT) AS odds FROM m, t),
+s AS (SELECT doc_id, sum(odds) AS odds FROM w JOIN o USING (word) GROUP BY 1),
+p AS (SELECT d.doc_id, CASE WHEN s.odds IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / (1.0::DOUBLE + exp(-(s.odds
+  + CAST(round(ln((n1 + 1.0::DOUBLE) / (n0 + 1.0::DOUBLE)) * 1000000) AS BIGINT)) / 1000000.0::DOUBLE)) END AS s FROM documents d LEFT JOIN s USING (doc_id), t)
+SELECT doc_id, round(s, 4) AS toxicity, CASE WHEN s > 0.5 THEN 'toxic' ELSE 'not_toxic' END AS label, round(s, 4) > {cat.DEFAULT_TOXICITY}::DOUBLE AS is_toxic FROM p""")
 def toxicity_score(spark, d):
-    """Classifier trained on the labelled documents, then applied to all."""
-    texts = tb.text_table(spark, d, "documents").select("doc_id", "text")
-    model = toxicity.train(texts, tb.table(spark, d, "labels"))
+    """Naive Bayes trained on the labelled documents but every fourth, applied to all."""
+    texts = tb.table(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.train(texts, tb.table(spark, d, "labels").filter(_HELD))
     out = toxicity.score(model, texts)
     return out.select("doc_id", toxicity.toxicity_label(F.col("toxicity")).alias("t")).select("doc_id", "t.*")
 
 
-@query("toxicity_label", f"SELECT doc_id, round(s, 4) AS toxicity, CASE WHEN s > 0.5::DOUBLE THEN 'toxic' ELSE 'not_toxic' END AS label, round(s, 4) > 0.6::DOUBLE AS is_toxic FROM (SELECT doc_id, {_model('substr(text, 1, 512)')} AS s FROM documents)")
+@query("toxicity_label", f"SELECT doc_id, round(s, 4) AS toxicity, CASE WHEN s > 0.5::DOUBLE THEN 'toxic' ELSE 'not_toxic' END AS label, round(s, 4) > 0.6::DOUBLE AS is_toxic FROM (SELECT doc_id, {_model('text')} AS s FROM documents)")
 def toxicity_label(spark, d):
-    """Score, label and verdict from a plugged-in scorer on the first 512 characters."""
-    df = tb.text_table(spark, d, "documents").select(
-        "doc_id", models.as_udf(LOADER, cat.TOXICITY_MAX_CHARS)(F.col("text")).alias("s"))
+    """Score, label and verdict from a plugged-in scorer."""
+    df = tb.table(spark, d, "documents").select(
+        "doc_id", models.as_udf(LOADER)(F.col("text")).alias("s"))
     return df.select("doc_id", toxicity.toxicity_label(F.col("s"), 0.6).alias("t")).select("doc_id", "t.*")
 
 

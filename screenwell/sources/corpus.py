@@ -89,7 +89,7 @@ def planted(text: Column, id_: Column) -> Column:
 
 def content(spark: SparkSession, d: str) -> DataFrame:
     """Documents as content rows; the context type follows the id."""
-    df = tb.text_table(spark, d, "documents")
+    df = tb.table(spark, d, "documents")
     kind = F.element_at(F.array(F.lit("input"), F.lit("output"), F.lit("system_prompt")),
                         (F.col("doc_id") % 3 + 1).cast("int"))
     return df.select(
@@ -99,13 +99,13 @@ def content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    df = tb.text_table(spark, d, "pages")
+    df = tb.table(spark, d, "pages")
     return df.select(F.col("page_id").alias("content_id"), "url",
                      planted(F.col("html"), F.col("page_id")).alias("content"))
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    df = tb.text_table(spark, d, "conversations")
+    df = tb.table(spark, d, "conversations")
     n = F.col("conv_id") * 7 + F.col("turn")
     return df.select("conv_id", "turn", "role", planted(F.col("text"), n).alias("text"))
 

@@ -22,24 +22,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A text table, spread over the cores when it has fewer splits than they number.
-
-    Scans of text are bound by CPU.  A large table arrives in many splits and is
-    left alone; only a small one, which would run on a single core, is shuffled.
-    """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
-    return df.repartition(cores) if plan_bytes(df) < split * cores // 8 else df
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, in bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def read_content(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Content rows in the layout of `CONTENT_SCHEMA`; missing columns become null."""
     reader = spark.read.schema(CONTENT_SCHEMA)
@@ -85,11 +67,10 @@ def json_tags(c: Column) -> Column:
 def write_results(df: DataFrame, path: str, date_col: str = "date", mode: str = "append") -> None:
     """Result rows as Parquet, one folder per day.
 
-    Rows are clustered by day and a spread of further buckets, so one busy day is
-    written by many tasks and a quiet one into few files.
+    Rows are clustered by day and dealt out by size, so a busy day is written by as
+    many tasks as it fills and a quiet one into one file.
     """
-    (df.withColumn("_b", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(64)))
-     .repartition(date_col, "_b").drop("_b").write.mode(mode).partitionBy(date_col).parquet(path))
+    df.hint("rebalance", F.col(date_col)).write.mode(mode).partitionBy(date_col).parquet(path)
 
 
 def write_incidents(df: DataFrame, path: str) -> None:
@@ -104,9 +85,11 @@ def write_audit(df: DataFrame, path: str, rejected_path: str) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set."""
+    """The shared folder the cluster names; a private one only where driver and executor are one process."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", name)
     return name

@@ -11,7 +11,7 @@ from screenwell.functions import spans as sp
 from screenwell.functions import text as tx
 from screenwell.operators import models, scan
 
-TOKENS = ["a@b.co", "é😀", "555-867-5309", "123-45-6789", "4111-1111-1111-1111", "10.20.30.40", "x", "ORD-ABC-12345",
+TOKENS = ["a@b.co", "é😀", "555-867-5309", "123-45-6789", "4111-1111-1111-1111", "10.20.30.40", "x", "PX4411QZ",
           "1234-5678-9012-3456", "555.123.4567.89", "\n", "１２３", "-", "😀a@b.cd😀"]
 
 
@@ -49,7 +49,7 @@ def frame(spark, values):
 
 
 def test_spans_dedup_and_redaction(spark):
-    values, custom = random_texts(3, 400), {"order_id": r"ORD-[A-Z]{3}-\d{5}", "pair": r"\d{4}-\d{4}", "bad": "("}
+    values, custom = random_texts(3, 400), {"parcel": r"\bPX\d{4}[A-Z]{2}\b", "pair": r"\d{4}-\d{4}", "bad": "("}
     raw = frame(spark, values).select("content_id", "content", pii.regex_spans(custom=custom).alias("raw"))
     rows = raw.withColumn("kept", sp.dedup(F.col("raw"))).withColumn("red", sp.redact("content", F.col("kept"))).withColumn(
         "fixed", sp.redact_fixed("content", F.col("kept"), "#", ["email"])).orderBy("content_id").collect()
@@ -81,9 +81,9 @@ def test_dedup_random_intervals(spark):
 
 
 def test_filter_uses_custom_label_and_default_redact(spark):
-    df = spark.createDataFrame([(1, "Order ORD-ABC-12345"), (2, "fine")], "content_id bigint, content string")
-    out = scan.content_filter(df, redact=F.lit(True), custom={"order_id": r"ORD-[A-Z]{3}-\d{5}"}).orderBy("content_id").collect()
-    assert out[0]["filtered_content"] == "Order [ORDER_ID_REDACTED]" and out[0]["is_safe"]
+    df = spark.createDataFrame([(1, "Parcel PX4411QZ"), (2, "fine")], "content_id bigint, content string")
+    out = scan.content_filter(df, redact=F.lit(True), custom={"parcel": r"\bPX\d{4}[A-Z]{2}\b"}).orderBy("content_id").collect()
+    assert out[0]["filtered_content"] == "Parcel [PARCEL_REDACTED]" and out[0]["is_safe"]
     assert out[1]["filtered_content"] is None
 
 
