@@ -2,23 +2,23 @@
 
 A merge can only join two symbols whose concatenation is a token, so two neighbouring bytes that stand side by side
 in no token of the vocabulary are never joined: between them is a certain cut.  A pre-token is split at these cuts,
-the fragments are encoded alone by rank-ordered merges, and their ids are concatenated.  Fragments and
-blank-separated pieces of text repeat, so both go through bounded caches; pieces never share a pre-token.
+the fragments are encoded alone by rank-ordered merges, and their ids are concatenated.  Fragments, pre-tokens and
+blank-separated pieces of text repeat, so the latest of each are kept; pieces never share a pre-token.
 
 Pre-tokens come from the tokenizer file's own rule and special tokens are recognised anywhere in a text, as the file
 says.  Decoding joins the tokens' bytes and reads them as UTF-8 with replacement of what is not.
 
 Edge cases.  Null and empty texts have no ids and decode to the empty text.  Repeated documents give a row each, an
-empty table no rows; other columns are not read.  A very long text is cut the same way; a very long fragment
-costs n log n.
+empty table no rows; other columns are not read.  A very long text is cut the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenwell.llm.chunks import Cache, lone_blanks
+from screenwell.llm.chunks import Known, lone_blanks
 from screenwell.llm.common import map_rows
 
 #: A blank or none, Latin letters, stops or none.
@@ -43,29 +43,28 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, cache: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 500_000) -> None:
+        from tokenizers import Tokenizer, models
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # the task's cores are Spark's to share out
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") or spec.get("normalizer"):
             raise ValueError(f"{path} is no plain byte-level BPE")
         self.pre = Tokenizer.from_file(path).pre_tokenizer
-        self.vocab: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {pair: at for at, pair in enumerate(pairs)}
+        vocab: dict[str, int] = model["vocab"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        #: Merges alone, by rank: it sees single fragments.
+        self.merger = Tokenizer(models.BPE(vocab=vocab, merges=merges))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        value = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.joined = {token[i:i + 2] for token in self.vocab for i in range(len(token) - 1)}
-        self.bytes_of = {i: bytes(value[c] for c in token) for token, i in self.vocab.items()}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
         self.letter = byte_letters()
-        self.token_bytes = {token: i.to_bytes(4, "little") for token, i in self.vocab.items()}
-        self.fragment = Cache(self._merge, cache)
-        self.pretoken = Cache(self._pretoken, cache)
-        self.piece = Cache(self._encode, cache)
+        value = {letter: byte for byte, letter in enumerate(self.letter)}
+        self.joined = {token[i:i + 2] for token in vocab for i in range(len(token) - 1)}
+        self.bytes_of = {i: bytes(value[c] for c in token) for token, i in vocab.items()}
+        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
+        self.fragments, self.pretokens, self.pieces = Known(most), Known(most), Known(most // 2)
 
     def cuts(self, letters: str) -> list[str]:
         """Fragments between certain cuts of a pre-token."""
@@ -77,73 +76,40 @@ class Codec:
         out.append(letters[start:])
         return out
 
-    def _merge(self, fragment: str) -> bytes:
-        """Ids of one fragment, four bytes each: merges by rank, leftmost first."""
-        symbols = list(fragment)
-        if len(symbols) > 48:
-            symbols = self._merge_long(symbols)
-        rank = self.ranks.get
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(symbols, symbols[1:])):
-                r = rank(pair)
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        return b"".join([self.token_bytes[s] for s in symbols])
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
-        """The same by a queue, for long fragments."""
-        after = [*range(1, len(symbols)), -1]
-        before = [*range(-1, len(symbols) - 1)]
-        rank = self.ranks.get
-        queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (r := rank((a, b))) is not None]
-        heapq.heapify(queue)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = a + b, ""
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := rank((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(queue, (r, i, symbols[i], symbols[k]))
-            h = before[i]
-            if h >= 0 and (r := rank((symbols[h], symbols[i]))) is not None:
-                heapq.heappush(queue, (r, h, symbols[h], symbols[i]))
-        return [s for s in symbols if s]
-
-    def _pretoken(self, letters: str) -> bytes:
-        fragments = self.cuts(letters)
-        return b"".join([self.fragment[f] for f in fragments]) if len(fragments) > 1 else self.fragment[fragments[0]]
-
-    def _encode(self, piece: str) -> bytes:
-        """Ids of a piece of text that shares no pre-token with what stands beside it."""
+    def _parts(self, piece: str) -> list[str | int]:
+        """Pre-tokens (in byte letters) and special ids of a piece that shares no pre-token with its neighbours."""
         plain = _PLAIN.match(piece)
         if plain:   # a word and its stops are two pre-tokens; no need to ask the rule
             word, stops = plain.groups()
             letter = self.letter
-            ids = self.pretoken["".join([letter[b] for b in word.encode()])]
-            return ids + self.pretoken[stops] if stops else ids
-        out = []
+            return ["".join([letter[b] for b in word.encode()]), *([stops] if stops else [])]
+        out: list[str | int] = []
         for part in self.special_at.split(piece) if self.special_at else [piece]:
             if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
+                out.append(self.special[part])
             elif part:
-                out += [self.pretoken[letters] for letters, _ in self.pre.pre_tokenize_str(part)]
-        return b"".join(out)
+                out += [letters for letters, _ in self.pre.pre_tokenize_str(part)]
+        return out
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        first, *rest = lone_blanks(text)
-        piece = self.piece
-        return b"".join([piece[first], *[piece[" " + p] for p in rest]])
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, little-endian unsigned 32-bit each; a batch's new pieces are worked out together."""
+        cut = []
+        for text in texts:
+            first, *rest = lone_blanks(text or "")
+            cut.append([first, *[" " + piece for piece in rest]])
+        parts = {piece: self._parts(piece) for piece in self.pieces.missing(set().union(*cut))}
+        new = self.pretokens.missing({p for ps in parts.values() for p in ps if isinstance(p, str)})
+        fragments = {letters: self.cuts(letters) for letters in new}
+        ask = list(self.fragments.missing({f for fs in fragments.values() for f in fs}))
+        self.fragments.update((f, np.array(e.ids, "<u4").tobytes()) for f, e in zip(
+            ask, self.merger.encode_batch_fast(ask, add_special_tokens=False)))
+        of = self.fragments.__getitem__
+        self.pretokens.update((letters, b"".join(map(of, fs))) for letters, fs in fragments.items())
+        ids = self.pretokens
+        self.pieces.update((piece, b"".join([ids[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps]))
+                           for piece, ps in parts.items())
+        of = self.pieces.__getitem__
+        return [b"".join(map(of, pieces)) for pieces in cut]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -155,11 +121,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def few(texts: list, most: int = 4 << 20) -> Iterator[list]:
+    """Texts in turn, about `most` characters (or one text) at a time."""
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if held >= most:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: n_tokens and ids (binary, little-endian unsigned 32-bit integers)."""
     def make():
         enc = codec(tokenizer).encode
-        return lambda texts: ((len(b) // 4, b) for b in map(enc, texts))
+        return lambda texts: ((len(ids) // 4, ids) for some in few(texts) for ids in enc(some))
 
     df = documents.select(F.col(key), F.col(text).alias("encoded text"))
     return map_rows(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], make, [key])
@@ -181,9 +160,10 @@ def round_trip(documents: DataFrame, tokenizer: str, key: str = "doc_id", text:
         c = codec(tokenizer)
 
         def digest(texts):
-            for t in texts:
-                ids = c.encode(t)
-                yield (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            for some in few(texts):
+                for ids in c.encode(some):
+                    yield (len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                           hashlib.sha256(c.decode(ids).encode()).hexdigest())
 
         return digest
 

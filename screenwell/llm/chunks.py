@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 #: White space of any rule in use: that of Unicode and the four separators that Python counts too.
 SPACE = "\t-\r\x1c-\x20\x85\xa0  -     　"
 _BESIDE = re.compile(f" [{SPACE}]|[{SPACE}] ")
@@ -18,22 +16,6 @@ def lone_blanks(text: str) -> list[str]:
     return _LONE.split(text)
 
 
-class Cache(dict):
-    """`piece -> fn(piece)`, emptied when it holds `most` entries; long pieces are not kept."""
-
-    def __init__(self, fn: Callable, most: int = 300_000, longest: int = 64) -> None:
-        super().__init__()
-        self.fn, self.most, self.longest = fn, most, longest
-
-    def __missing__(self, piece):
-        value = self.fn(piece)
-        if len(piece) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = value
-        return value
-
-
 class Known(dict):
     """What was looked up lately: when `most` entries are in, they become the older half and new ones are gathered."""
 
