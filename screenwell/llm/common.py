@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from screenwell.sources.tables import table  # noqa: F401
+from screenwell.sources.tables import scratch, table  # noqa: F401
 
 #: Byte map of the alphanumeric word rule: A-Z lower-cased, ASCII other than a-z and 0-9 blank, the rest as it is.
 #: UTF-8 bytes from 0x80 on belong to words, so the map keeps every position.
@@ -62,11 +61,8 @@ def sliced(batch: pa.RecordBatch, target: int = 16 << 20) -> Iterator[pa.RecordB
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared folder that the cluster names; it must be set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder that the cluster names."""
+    return scratch(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
