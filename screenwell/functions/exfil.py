@@ -68,7 +68,7 @@ def analyze_url(url: Column, trusted: Sequence[str] = cat.TRUSTED_DOMAINS, match
 
 def redact_sensitive(text: Column | str) -> Column:
     """Replace the sensitive patterns one after the other; order matters."""
-    return reduce(lambda c, p: F.regexp_replace(c, tx.DIALECT + p.regex, f"[{p.name.upper()}_REDACTED]"),
+    return reduce(lambda c, p: F.regexp_replace(c, tx.java(p.regex), f"[{p.name.upper()}_REDACTED]"),
                   cat.SENSITIVE, tx.col(text))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
@@ -49,11 +50,13 @@ def rules(text: str = "content", custom: Mapping[str, str] | None = None) -> lis
 
 
 def valid_patterns(custom: Mapping[str, str] | None) -> dict[str, str]:
+    """Those that compile, where the patterns come from and where they run."""
     good = {}
     for name, pattern in (custom or {}).items():
         try:
             re.compile(pattern)
-        except re.error:
+            SparkSession.active().range(1).select(F.rlike(F.lit(""), tx.rx(pattern))).collect()
+        except (re.error, PySparkException):
             continue
         good[name] = pattern
     return good

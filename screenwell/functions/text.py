@@ -1,7 +1,8 @@
 """Text predicates built from Catalyst expressions.
 
 Regexes keep the semantics of the patterns' original dialect by running with
-UNIX_LINES and UNICODE_CHARACTER_CLASS.  Java regexes over long texts are the
+UNIX_LINES and UNICODE_CHARACTER_CLASS, and with white space, word characters and
+word boundaries spelt out (`java`).  Java regexes over long texts are the
 dominant cost of a scan, so each one stands behind a gate: plain substring
 tests on the lower-cased text which must hold for the regex to match at all.
 Three letters (long s, dotted and dotless i) match ASCII letters case-blindly
@@ -11,7 +12,7 @@ without lower-casing to them; texts holding one skip the gates.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +23,41 @@ DIALECT = "(?dU)"
 LOWER = "_lower"
 UNGATED = "_ungated"
 _ODD_LETTERS = ("ſ", "İ", "ı")
+_CLASSES = {"\\s": r"\s\x1c-\x1f", "\\w": r"\p{L}\p{N}_"}
+_ALONE = {"\\s": r"[\s\x1c-\x1f]", "\\S": r"[^\s\x1c-\x1f]", "\\w": r"[\p{L}\p{N}_]", "\\W": r"[^\p{L}\p{N}_]"}
+_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_EDGE = rf"(?:{_NO_WORD_BEFORE}(?=[\p{{L}}\p{{N}}_])|(?<=[\p{{L}}\p{{N}}_]){_NO_WORD_AFTER})"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(maxsize=None)
+def java(pattern: str) -> str:
+    """The pattern for Java: its white space lacks four separators, and its word characters include marks."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two[0] != "\\" or len(two) < 2:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            i += 1
+            continue
+        i += 2
+        if two == "\\b" and not inside:
+            before = pattern[i - 3:i - 2]
+            literal = before.isalnum() and pattern[i - 4:i - 3] != "\\"
+            after = pattern[i:i + 1].isalnum()
+            out.append(_NO_WORD_AFTER if literal else _NO_WORD_BEFORE if after else _EDGE)
+        else:
+            out.append((_CLASSES if inside else _ALONE).get(two, two))
+    return DIALECT + "".join(out)
+
+
 def rx(pattern: str) -> Column:
     """Pattern literal in the dialect of the catalogue."""
-    return F.lit(DIALECT + pattern)
+    return F.lit(java(pattern))
 
 
 def any_of(conditions: Iterable[Column]) -> Column:

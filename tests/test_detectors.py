@@ -81,11 +81,12 @@ def test_every_pattern_fires_in_the_corpus(spark, data):
 def _random_texts(seed, n):
     rnd = random.Random(seed)
     words = [w for p in corpus.PHRASES for w in p.split(" ")] + [
-        "\n", "ſystem", "İgnore", "ıf", "Kelvin Key", "é", "😀", "１２３", " ", " ", "...", "--", "=", ":", "(", ")"]
+        "\n", "ſystem", "İgnore", "ıf", "Kelvin Key", "é", "😀", "１２３", " ", " ", "...", "--", "=", ":", "(", ")",
+        "\x1c", "\x1f", "webhook\u0301", "callback\u0301", "a\u0301"]
     out = []
     for _ in range(n):
         picked = [rnd.choice(words) for _ in range(rnd.randint(0, 40))]
-        text = rnd.choice([" ", " ", "  ", "\t"]).join(picked)
+        text = rnd.choice([" ", " ", "  ", "\t", "\x1c"]).join(picked)
         out.append(rnd.choice([str, str.upper, str.lower, str.title])(text))
     return out + list(corpus.PHRASES)
 
