@@ -25,19 +25,25 @@ def issues(turns: DataFrame) -> DataFrame:
     return user.filter("is_injection").select("conv_id", "turn", "risk_score", "recommendation")
 
 
-def guard(turns: DataFrame) -> DataFrame:
+def guard(turns: DataFrame, block_at: float = cat.GUARD_BLOCK) -> DataFrame:
     """Verdict on every assistant turn.
 
-    A conversation whose user turns reach the block level loses all responses;
-    otherwise a response is dropped on BLOCK and redacted on REDACT.
+    A response is dropped when a user turn before it reaches the block level or on
+    its own BLOCK, and redacted on REDACT.  Of the user turns only the first of each
+    risk value goes on, so a long conversation is not gathered.
     """
+    user = scan.injection_scan(turns.filter(F.col("role") == "user").select("conv_id", "turn", "text"), "text")
+    firsts = user.filter("is_injection").groupBy("conv_id", "risk_score").agg(F.min("turn").alias("from_turn"))
+    levels = firsts.groupBy("conv_id").agg(F.collect_list(F.struct("from_turn", "risk_score")).alias("levels"))
     answers = exfil.score(turns.filter(F.col("role") == "assistant").select("conv_id", "turn", "text"), "text")
-    joined = answers.join(input_risk(turns), "conv_id", "left")
-    blocked_in = F.coalesce("input_blocked", F.lit(False))
+    before = F.filter("levels", lambda x: x["from_turn"] < F.col("turn"))
+    risk = F.coalesce(F.array_max(F.transform(before, lambda x: x["risk_score"])), F.lit(0.0))
+    joined = answers.join(levels, "conv_id", "left").withColumn("input_risk", risk)
+    blocked_in = F.col("input_risk") >= F.lit(block_at)
     redacts = F.col("has_risk") & (F.col("recommendation") == "REDACT")
     blocked_out = F.col("has_risk") & (F.col("recommendation") == "BLOCK")
     return joined.select(
-        "conv_id", "turn", F.coalesce("input_risk", F.lit(0.0)).alias("input_risk"),
+        "conv_id", "turn", "input_risk",
         F.when(F.col("has_risk"), F.col("risk_score")).otherwise(F.lit(0.0)).alias("output_risk"),
         (blocked_in | blocked_out).alias("blocked"), (~blocked_in & redacts).alias("redacted"),
         F.when(blocked_in, F.lit("Input blocked by security policy"))

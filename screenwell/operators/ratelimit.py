@@ -73,12 +73,13 @@ def decide(df: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_hour: int =
     Adds `admitted`, `retry_after` (60 or 3600 on denial) and the remaining
     allowance of both horizons after an admission.  OAuth requests count apart
     under their own limits.  `tick_us` is the clock's resolution; a coarser clock
-    means fewer ticks in the chain.
+    means fewer ticks in the chain.  Requests without a client share one allowance.
     """
     limits = {False: (per_minute, per_hour), True: (oauth_per_minute, oauth_per_hour)}
     tick = _div(F.col(micros), tick_us)
-    base = df.withColumn("_t", tick).withColumn("_m", _div(F.col(micros), MINUTE))
-    key = [client, oauth]
+    base = df.withColumn("_t", tick).withColumn("_m", _div(F.col(micros), MINUTE)).withColumn(
+        "_client", F.coalesce(F.col(client).cast("string"), F.lit("unknown")))
+    key = ["_client", oauth]
     admitted = tb.materialise(_chain(_slices(base, key, tick_us), key, limits, tick_us), "admissions").withColumn(
         "_m", _div(F.col("_t") * tick_us, MINUTE))
     # attempts admitted by rank within their tick; ranks beyond the limit are trimmed before the shuffle

@@ -578,7 +578,8 @@ def conversation_issues(spark, d):
 
 @query("guard_conversation", _CONV + f""", g AS (SELECT exf.*, coalesce(input_risk, 0.0::DOUBLE) AS input_risk,
   coalesce(input_risk >= 0.75::DOUBLE, false) AS b_in, has_risk AND recommendation = 'BLOCK' AS b_out,
-  has_risk AND recommendation = 'REDACT' AS red FROM exf LEFT JOIN cin USING (conv_id))
+  has_risk AND recommendation = 'REDACT' AS red FROM exf LEFT JOIN (SELECT e.conv_id, e.turn, max(i.risk_score) AS input_risk
+    FROM exf e JOIN inj i ON i.conv_id = e.conv_id AND i.turn < e.turn WHERE i.is_injection GROUP BY ALL) USING (conv_id, turn))
 SELECT conv_id, turn, input_risk, CASE WHEN has_risk THEN risk_score ELSE 0.0::DOUBLE END AS output_risk, b_in OR b_out AS blocked,
 NOT b_in AND red AS redacted, CASE WHEN b_in THEN 'Input blocked by security policy' WHEN b_out THEN 'Output blocked by security policy' END AS error,
 CASE WHEN b_in OR b_out THEN NULL WHEN red THEN {k.redact_sensitive('text')} ELSE text END AS response FROM g""")
