@@ -46,7 +46,7 @@ def match_spans(text: Column | str, rules: Iterable[Rule]) -> Column:
 
     def found(r: Rule) -> Column:
         hit = F.struct(F.regexp_extract_all(c, tx.rx(r.regex), F.lit(0)).alias("m"),
-                       F.split(c, tx.DIALECT + r.regex, -1).alias("g"))
+                       F.split(c, tx.java(r.regex), -1).alias("g"))
         return F.struct((hit if r.when is None else F.when(r.when, hit)).alias("hit"), F.lit(r.type).alias("type"),
                         F.lit(r.confidence).alias("confidence"), F.lit(r.label).cast("string").alias("label"))
 
