@@ -25,14 +25,15 @@ def issues(turns: DataFrame) -> DataFrame:
     return user.filter("is_injection").select("conv_id", "turn", "risk_score", "recommendation")
 
 
-def guard(turns: DataFrame, block_at: float = cat.GUARD_BLOCK) -> DataFrame:
+def guard(turns: DataFrame, block_at: float = cat.GUARD_BLOCK, model: scan.Model | None = None) -> DataFrame:
     """Verdict on every assistant turn.
 
     A response is dropped when a user turn before it reaches the block level or on
     its own BLOCK, and redacted on REDACT.  Of the user turns only the first of each
     risk value goes on, so a long conversation is not gathered.
     """
-    user = scan.injection_scan(turns.filter(F.col("role") == "user").select("conv_id", "turn", "text"), "text")
+    user = scan.with_model(scan.injection_scan(
+        turns.filter(F.col("role") == "user").select("conv_id", "turn", "text"), "text"), F.col("text"), model)
     firsts = user.filter("is_injection").groupBy("conv_id", "risk_score").agg(F.min("turn").alias("from_turn"))
     levels = firsts.groupBy("conv_id").agg(F.collect_list(F.struct("from_turn", "risk_score")).alias("levels"))
     answers = exfil.score(turns.filter(F.col("role") == "assistant").select("conv_id", "turn", "text"), "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,9 @@ from screenwell.functions import exfil, fields, injection, pii
 from screenwell.functions import spans as sp
 from screenwell.functions import text as tx
 
+#: Injection probability of a text column; null texts cost nothing (`models.worst_chunk`).
+Model = Callable[[Column], Column]
+
 THREAT = ("struct<threat_type:string,severity:string,confidence:double,"
           "indicators:array<string>,recommended_action:string>")
 
@@ -21,6 +24,19 @@ def injection_scan(df: DataFrame, text: str = "content", keep_counts: bool = Fal
     return injection.score(df, text, keep_counts)
 
 
+def with_model(df: DataFrame, text: Column, model: Model | None) -> DataFrame:
+    """Turn regex scores into those of the hybrid engine; the model decides the verdict.  Rows of null `text` keep theirs."""
+    if model is None:
+        return df
+    df = df.withColumn("_p", model(text))
+    used = F.col("_p").isNotNull()
+    df = df.withColumn("risk_score", F.when(
+        used, F.col("_p") * F.lit(cat.MODEL_WEIGHT) + F.col("risk_score") * F.lit(cat.REGEX_WEIGHT)).otherwise(F.col("risk_score")))
+    df = df.withColumn("is_injection", F.coalesce(F.col("_p") >= F.lit(cat.MODEL_THRESHOLD), F.col("is_injection")))
+    return df.withColumn("recommendation", F.when(used, tx.ladder(F.col("risk_score"), cat.REC_HYBRID)).otherwise(
+        F.col("recommendation"))).drop("_p")
+
+
 def exfil_scan(df: DataFrame, text: str = "content", pii_tier: str = "none", **options) -> DataFrame:
     """Exfiltration score, risk flag (>= 0.6) and recommendation."""
     return exfil.score(df, text, pii_tier, **options)
@@ -41,23 +57,26 @@ def jailbreak_scan(df: DataFrame, text: str = "content") -> DataFrame:
         "jailbreak_confidence", injection.jailbreak_confidence(F.size("jailbreak")))
 
 
-def security_analyze(df: DataFrame, text: str = "content") -> DataFrame:
+def security_analyze(df: DataFrame, text: str = "content", model: Model | None = None) -> DataFrame:
     """Threats, risk and verdict of every content row, routed by `context_type`.
 
     Inputs and system prompts are scanned for injection and jailbreaks, outputs
     for exfiltration, anything else for nothing.  Text a row is not scanned for
-    is blanked first, which closes all gates.  The regex engine always reports
-    its injections here.
+    is blanked first, which closes all gates.  With a `model` the hybrid engine judges
+    injections; without, the regex engine always reports its own here.
     """
     inbound = F.col("context_type").isin("input", "system_prompt")
     outbound = F.col("context_type") == "output"
     blank = F.lit("")
     df = df.withColumn("_in", F.when(inbound, F.col(text)).otherwise(blank)) \
            .withColumn("_out", F.when(outbound, F.col(text)).otherwise(blank))
-    df = injection.score(df, "_in", keep_counts=True)
+    df = with_model(injection.score(df, "_in", keep_counts=True), F.when(inbound, F.col(text)), model)
+    names = injection.detected_names()
+    if model is not None:
+        names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(cat.FALLBACK_INDICATOR)))
     df = (df.withColumn("_inj", F.when(F.col("is_injection"), _threat(
                 "prompt_injection", tx.ladder(F.col("risk_score"), cat.SEVERITY), F.col("risk_score"),
-                injection.detected_names(),
+                names,
                 F.when(F.col("recommendation").contains("BLOCK"), F.lit("block")).otherwise(F.lit("flag")))))
             .withColumn("_jb_hits", injection.jailbreak_hits())
             .withColumn("_jb", F.when(F.size("_jb_hits") > 0, _threat(
@@ -108,13 +127,14 @@ def incidents(analysed: DataFrame, text: str = "content", minimum: float = cat.I
 def content_filter(df: DataFrame, text: str = "content", *, filters: Column | None = None,
                    redact: Column | None = None, toxicity_threshold: Column | None = None,
                    toxicity: Column | None = None, custom: Mapping[str, str] | None = None,
-                   pack: Column | None = None, model_spans: Column | None = None) -> DataFrame:
+                   pack: Column | None = None, model_spans: Column | None = None, model: Model | None = None) -> DataFrame:
     """PII, toxicity and injection verdict of every row.
 
     Settings are columns, so they may differ by row.  `pack` names the use-case
     pack whose custom patterns apply.  Pattern names come from whichever
-    injection result exists, so a regex-only run reports them too; any matched
-    pattern, even a weak marker, makes a row unsafe.  Redaction always works on
+    injection result exists, so a regex-only run reports them too; a `model` that
+    finds an injection adds its own name.  Any matched pattern, even a weak marker,
+    makes a row unsafe.  Redaction always works on
     de-duplicated spans.
     """
     default = F.array(*[F.lit(f) for f in cat.DEFAULT_FILTERS])
@@ -126,6 +146,10 @@ def content_filter(df: DataFrame, text: str = "content", *, filters: Column | No
     wants_pii, wants_inj = (F.array_contains("_filters", f) for f in ("pii", "prompt_injection"))
     df = df.withColumn("_inj", F.when(wants_inj, F.col(text)).otherwise(F.lit("")))
     df = injection.score(df, "_inj", keep_counts=True).withColumn("patterns", injection.detected_names())
+    if model is not None:
+        fired = model(F.when(wants_inj, F.col(text))) >= F.lit(cat.MODEL_THRESHOLD)
+        df = df.withColumn("patterns", F.concat("patterns", F.when(fired, F.array(F.lit(cat.MODEL_SENTINEL))).otherwise(
+            F.array().cast("array<string>"))))
     df = df.drop(*[f"n_{p.name}" for p in cat.INJECTION], "max_severity", "marker_score", "scope_score",
                  tx.LOWER, tx.UNGATED, "_inj")
     df = df.withColumn("_pii", F.when(wants_pii, F.col(text)).otherwise(F.lit("")))

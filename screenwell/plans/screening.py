@@ -416,6 +416,37 @@ def pii_count_histogram(spark, d):
     return stats.pii_count_histogram(_filtered(spark, d))
 
 
+def _worst(text: str) -> str:
+    """Model probability of the worst chunk of a text."""
+    return (f"list_max(list_transform(CASE WHEN length({text}) <= 1800 THEN [0] ELSE range(0, length({text}), 1600) END, "
+            f"lambda s: {_model(f'substr({text}, s + 1, 1800)')}))")
+
+
+def _hybrid():
+    worst = models.worst_chunk(LOADER)
+    return lambda c: worst(c)["p"]
+
+
+@query("security_analyze_hybrid", k.with_(k.CONTENT, k.analyse("content", model=_worst("t_in"))) +
+       "SELECT content_id, threat_types, round(risk_score, 9) AS risk_score, risk_score < 0.5::DOUBLE AS is_safe FROM ana")
+def security_analyze_hybrid(spark, d):
+    """The analysis with the model's verdict on inputs."""
+    out = scan.security_analyze(corpus.content(spark, d), model=_hybrid())
+    return out.select("content_id", F.concat_ws(",", F.transform("threats", lambda t: t["threat_type"])).alias("threat_types"),
+                      F.round("risk_score", 9).alias("risk_score"), "is_safe")
+
+
+@query("content_filter_scored", _FILT + f""", x AS (SELECT fil.*, coalesce(toxic, 0)::DOUBLE AS toxicity, {_worst('content')} >= 0.75::DOUBLE AS fired
+  FROM fil LEFT JOIN labels ON content_id = doc_id)
+SELECT content_id, toxicity, n_detections + fired::INT AS n_patterns, is_safe AND toxicity <= 0.7::DOUBLE AND NOT fired AS is_safe FROM x""")
+def content_filter_scored(spark, d):
+    """The filter with labelled toxicity and the injection model."""
+    scores = tb.table(spark, d, "labels").select(F.col("doc_id").alias("content_id"), F.col("toxic").cast("double").alias("tox"))
+    df = corpus.content(spark, d).join(scores, "content_id", "left")
+    out = scan.content_filter(df, redact=F.col("content_id") % 2 == 0, toxicity=F.coalesce("tox", F.lit(0.0)), model=_hybrid())
+    return out.select("content_id", "toxicity", F.size("patterns").alias("n_patterns"), "is_safe")
+
+
 _PACK = "['default','customer_support','code_assistant','rag','healthcare','financial','creative_writing',NULL][CAST(content_id % 8 AS INTEGER) + 1]"
 _REQ = "CASE content_id % 5 WHEN 0 THEN true WHEN 1 THEN false END"
 _PACK_PARTS = k.PII_PARTS + [(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, f"pack = '{p.name}'",

@@ -220,15 +220,19 @@ def redact_sensitive(text: str) -> str:
     return out
 
 
-def analyse(src: str, text: str = "content", out: str = "ana") -> str:
+def analyse(src: str, text: str = "content", out: str = "ana", model: str | None = None) -> str:
     """CTEs for the routed analysis: risk, safety, ordered threat types, first severity."""
     inj = injection(f"{out}_in", "t_in", f"{out}_i")
     exf = exfil(f"{out}_j", "t_out", f"{out}_x")
     sev = "CASE recommendation WHEN 'BLOCK' THEN 'critical' WHEN 'REDACT' THEN 'high' WHEN 'FLAG' THEN 'medium' ELSE 'low' END"
+    risk, hit_ = "risk_score", "is_injection"
+    if model:   # probability of t_in; rows that are not scanned have an empty one
+        risk = f"CASE WHEN t_in <> '' THEN {model} * 0.7::DOUBLE + risk_score * 0.3::DOUBLE ELSE risk_score END"
+        hit_ = f"(t_in <> '' AND {model} >= 0.75::DOUBLE)"
     return f"""{out}_in AS (SELECT *, CASE WHEN context_type IN ('input', 'system_prompt') THEN {text} ELSE '' END AS t_in,
   CASE WHEN context_type = 'output' THEN {text} ELSE '' END AS t_out FROM {src}),
 {inj},
-{out}_j AS (SELECT * EXCLUDE (risk_score, is_injection, recommendation), risk_score AS inj_risk, is_injection AS inj_hit,
+{out}_j AS (SELECT * EXCLUDE (risk_score, is_injection, recommendation), {risk} AS inj_risk, {hit_} AS inj_hit,
   recommendation AS inj_rec, {n_words('t_in', cat.JAILBREAK)} AS n_jb FROM {out}_i),
 {exf},
 {out} AS (SELECT * EXCLUDE (risk_score),
