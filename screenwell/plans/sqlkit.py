@@ -27,8 +27,10 @@ def dbl(x: float) -> str:
     return f"{x!r}::DOUBLE"
 
 
-def planted(text: str, id_: str) -> str:
-    return f"{text} || ' ' || {at(corpus.PHRASES, f'{id_} % {len(corpus.PHRASES)}')}"
+def planted(text: str, id_: str, put: str | None = None) -> str:
+    put = put or at(corpus.PHRASES, f"{id_} % {len(corpus.PHRASES)}")
+    return (f"CASE ({id_} // 7) % 3 WHEN 0 THEN {text} || ' ' || {put} WHEN 1 THEN {put} || ' ' || {text} ELSE "
+            f"substr({text}, 1, length({text}) // 2) || ' ' || {put} || ' ' || substr({text}, length({text}) // 2 + 1) END")
 
 
 def with_(*ctes: str) -> str:
@@ -44,7 +46,7 @@ TURNS = f"""turns AS MATERIALIZED (SELECT conv_id, turn, role, {planted('text',
 _S = list(zip(*cat.SCENARIOS))
 _SI = f"doc_id % {len(cat.SCENARIOS)}"
 LABELLED = f"""labelled AS MATERIALIZED (SELECT doc_id, n_chars, {at(_S[0], _SI)} AS id, {at(_S[1], _SI)} AS name,
-  {at(_S[2], _SI)} AS category, {at(_S[3], _SI)} AS test_input, {at(_S[4], _SI)} AS expected_threat,
+  {at(_S[2], _SI)} AS category, {planted('text', 'doc_id', at(_S[3], _SI))} AS test_input, {at(_S[4], _SI)} AS expected_threat,
   {at(_S[5], _SI)} AS expected_severity, {at([str(b) for b in _S[6]], _SI)} = 'True' AS should_block,
   {at(_S[7], _SI)} AS context_type FROM documents)"""
 USERS = """users_t AS (SELECT c_custkey AS id, lower(c_name) || '@example.com' AS email, c_acctbal >= 0 AS is_active,

@@ -83,8 +83,14 @@ def phrase(id_: Column) -> Column:
     return F.element_at(phrases, (F.pmod(id_, F.lit(len(PHRASES))) + 1).cast("int"))
 
 
-def planted(text: Column, id_: Column) -> Column:
-    return F.concat(text, F.lit(" "), phrase(id_))
+def planted(text: Column, id_: Column, put: Column | None = None) -> Column:
+    """A text with a phrase at its end, start or middle, by id."""
+    put = phrase(id_) if put is None else put
+    place = F.call_function("div", id_, F.lit(7)) % 3
+    half = F.call_function("div", F.char_length(text), F.lit(2)).cast("int")
+    return (F.when(place == 0, F.concat(text, F.lit(" "), put)).when(place == 1, F.concat(put, F.lit(" "), text))
+            .otherwise(F.concat(F.substring(text, F.lit(1), half), F.lit(" "), put, F.lit(" "),
+                                F.substring(text, half + 1, F.char_length(text)))))
 
 
 def content(spark: SparkSession, d: str) -> DataFrame:
@@ -111,13 +117,14 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Every document carries one labelled scenario as its content."""
-    df = tb.table(spark, d, "documents").select("doc_id", "n_chars")
+    """Every document carries one labelled scenario, somewhere in its own text."""
+    df = tb.table(spark, d, "documents").select("doc_id", "n_chars", "text")
     return df.withColumn("_s", F.element_at(
         F.array(*[F.struct(*[F.lit(v).cast(t).alias(k) for k, t, v in zip(
             ("id", "name", "category", "test_input", "expected_threat", "expected_severity", "should_block", "context_type"),
             ("string",) * 6 + ("boolean", "string"), s)]) for s in cat.SCENARIOS]),
-        (F.col("doc_id") % len(cat.SCENARIOS) + 1).cast("int"))).select("doc_id", "n_chars", "_s.*")
+        (F.col("doc_id") % len(cat.SCENARIOS) + 1).cast("int"))).select("doc_id", "n_chars", "_s.*", "text").withColumn(
+        "test_input", planted(F.col("text"), F.col("doc_id"), F.col("test_input"))).drop("text")
 
 
 def users(spark: SparkSession, d: str) -> DataFrame:
