@@ -213,5 +213,20 @@ def spans_table(df: DataFrame, key: str = "content_id", text: str = "content") -
         "start", "end")
 
 
+def exfil_spans(df: DataFrame, key: str = "content_id", text: str = "content") -> DataFrame:
+    """One row per credential or command match: kind, group (category or method), severity, shortened text, position."""
+    def found(patterns, kind):
+        rules = [sp.Rule(p.regex, p.name, p.weight, p.group, tx.gate(p.name)) for p in patterns]
+        return F.transform(sp.match_spans(text, rules), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+
+    gated = tx.with_gates(df.select(key, text), text)
+    both = F.concat(found(cat.SENSITIVE, "sensitive"), found(cat.EXFILTRATION, "indicator"))
+    value, credential = F.col("s.value"), F.col("kind") == "sensitive"
+    return gated.select(key, F.inline(both)).select(
+        key, "kind", F.col("s.type").alias("name"), F.col("s.label").alias("group"), F.col("s.confidence").alias("severity"),
+        F.when(credential, tx.preview(value, 50, "...")).otherwise(tx.preview(value, 100)).alias("matched_text"),
+        F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+
+
 def scope_only(df: DataFrame, text: str = "content") -> DataFrame:
     return tx.without_gates(tx.with_gates(df, text).withColumn("scope_violation", injection.scope_hit(text)))

@@ -114,14 +114,22 @@ def analysis_risk(threats: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(threats, lambda t: t["confidence"])), F.lit(0.0))
 
 
-def incidents(analysed: DataFrame, text: str = "content", minimum: float = cat.INCIDENT_RISK) -> DataFrame:
-    """Open incidents of analysed rows; the first threat names type and severity."""
+def incidents(analysed: DataFrame, text: str = "content", minimum: float = cat.INCIDENT_RISK,
+              detected_at: Column | None = None) -> DataFrame:
+    """Open incidents of analysed rows; the first threat names type and severity.
+
+    `user_id` and `metadata` are null where the analysed rows have none, `detected_at`
+    where no time is given.
+    """
     hot = analysed.filter((F.col("risk_score") >= F.lit(minimum)) & (F.size("threats") > 0))
     first = F.col("threats")[0]
     return hot.select(
         "content_id", first["threat_type"].alias("threat_type"), first["severity"].alias("severity"),
         "risk_score", tx.preview(F.col(text), 200).alias("content_preview"), "trace_id",
-        F.lit("open").alias("status"))
+        F.lit("open").alias("status"),
+        F.col("user_id") if "user_id" in analysed.columns else F.lit(None).cast("bigint").alias("user_id"),
+        (F.lit(None) if detected_at is None else detected_at).cast("timestamp_ntz").alias("detected_at"),
+        F.col("metadata") if "metadata" in analysed.columns else F.lit(None).cast("map<string,string>").alias("metadata"))
 
 
 def content_filter(df: DataFrame, text: str = "content", *, filters: Column | None = None,

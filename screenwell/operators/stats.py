@@ -10,7 +10,9 @@ from screenwell.operators import admin
 
 
 def security_stats(analysed: DataFrame) -> DataFrame:
-    """Analyses, incidents, open incidents, incidents per type and mean risk, in one pass.
+    """Analyses, incidents, incidents per type and mean risk, in one pass.
+
+    Incidents that are still open are counted by `threat_distribution`, from stored ones.
 
     Threat types are three, so their counts are columns of the same aggregate.
     """
@@ -40,6 +42,21 @@ def filter_stats(filtered: DataFrame) -> DataFrame:
         F.coalesce(F.round(F.avg("toxicity"), 3), F.lit(0.0)).alias("average_toxicity"))
 
 
+def key_breakdown(keys: DataFrame, usage: DataFrame) -> DataFrame:
+    """Requests per active key and endpoint; keys without requests are left out.
+
+    Usage is summed before it meets the keys.
+    """
+    used = usage.groupBy(F.col("api_key_id").alias("id"), "endpoint").agg(F.sum("requests_count").alias("requests"))
+    return keys.filter("is_active").join(used.filter("requests > 0"), "id").select(
+        "user_id", "id", "key_name", "endpoint", "requests")
+
+
+def key_totals(breakdown: DataFrame) -> DataFrame:
+    """Requests per user and endpoint by key, for the totals of `security_stats` and `filter_stats`."""
+    return breakdown.groupBy("user_id", "endpoint").agg(F.sum("requests").alias("requests"))
+
+
 def pii_distribution(filtered: DataFrame) -> DataFrame:
     """Entities per type, in long form."""
     return filtered.select(F.explode("entities").alias("e")).groupBy(F.col("e.type").alias("type")).agg(

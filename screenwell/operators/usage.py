@@ -113,12 +113,13 @@ def over_quota(keys: DataFrame, limit: int = cat.MAX_ACTIVE_KEYS) -> DataFrame:
         F.col("active_keys") >= limit)
 
 
-def llm_cost(spans: DataFrame) -> DataFrame:
-    """Tokens and cost per model from the price list."""
-    return spans.groupBy("model").agg(
+def llm_cost(spans: DataFrame, *by: str) -> DataFrame:
+    """Tokens and cost per model, and further columns, from the price list."""
+    keys = [*by, "model"]
+    return spans.groupBy(*keys).agg(
         F.sum(F.coalesce("tokens_used", F.lit(0))).alias("tokens"),
         F.sum(span_cost(F.col("tokens_used"), F.col("model"))).alias("_c")).select(
-        "model", "tokens", F.round("_c", 6).alias("cost_usd"))
+        *keys, "tokens", F.round("_c", 6).alias("cost_usd"))
 
 
 def span_cost(tokens: Column, model: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
 from screenwell.functions import fields
-from screenwell.operators import admin, changes, policy, ratelimit, scan, traces, usage
+from screenwell.operators import admin, changes, policy, ratelimit, scan, stats, traces, usage
 from screenwell.plans import sqlkit as k
 from screenwell.plans.registry import query
 from screenwell.sources import corpus
@@ -500,9 +500,18 @@ def bucket_date_hour(spark, d):
     return usage.bucket(corpus.audit_log(spark, d), "timestamp").groupBy("date", "hour").agg(F.count("*").alias("n"))
 
 
-@query("llm_cost", k.with_(k.SPANS) + f"SELECT model, sum(coalesce(tokens_used, 0))::BIGINT AS tokens, round(sum({k.SPAN_COST}), 6) AS cost_usd FROM spans_t GROUP BY 1")
+@query("llm_cost", k.with_(k.SPANS, k.TRACES) + f"""SELECT user_id, model, sum(coalesce(tokens_used, 0))::BIGINT AS tokens,
+round(sum({k.SPAN_COST}), 6) AS cost_usd FROM spans_t JOIN traces_t USING (trace_id) GROUP BY ALL""")
 def llm_cost(spark, d):
-    return usage.llm_cost(corpus.spans(spark, d))
+    """Per user and model; spans know their user by their trace."""
+    owner = corpus.traces(spark, d).select("trace_id", "user_id")
+    return usage.llm_cost(corpus.spans(spark, d).join(owner, "trace_id"), "user_id")
+
+
+@query("key_breakdown", k.with_(k.KEYS, *HOURLY) + """SELECT user_id, id, key_name, endpoint, sum(requests_count)::BIGINT AS requests
+FROM keys_t JOIN hourly ON id = api_key_id WHERE is_active GROUP BY ALL HAVING sum(requests_count) > 0""")
+def key_breakdown(spark, d):
+    return stats.key_breakdown(corpus.api_keys(spark, d), _hourly(spark, d))
 
 
 @query("latency_histogram", k.with_(k.AUDIT, "b AS (SELECT unnest([1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 'inf'::DOUBLE]) AS le)") +

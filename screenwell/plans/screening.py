@@ -332,23 +332,26 @@ def severity_of(spark, d):
 
 _INC = k.with_(k.CONTENT, k.analyse("content"), """inc AS (SELECT content_id, split_part(threat_types, ',', 1) AS threat_type,
   CASE WHEN inj_hit THEN inj_sev WHEN n_jb > 0 THEN 'high' ELSE ex_sev END AS severity, risk_score,
-  substr(content, 1, 200) AS content_preview, trace_id, 'open' AS status FROM ana WHERE risk_score >= 0.7::DOUBLE)""")
+  substr(content, 1, 200) AS content_preview, trace_id, 'open' AS status, user_id,
+  TIMESTAMP '2024-01-01' + to_hours(CAST(content_id % 500 AS INTEGER)) AS detected_at FROM ana WHERE risk_score >= 0.7::DOUBLE)""")
 
 
 def _incidents(spark, d):
-    return scan.incidents(scan.security_analyze(corpus.content(spark, d)))
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(content_id % 500 as int))")
+    return scan.incidents(scan.security_analyze(corpus.content(spark, d)), detected_at=at)
 
 
 @query("incidents", _INC + "SELECT * FROM inc")
 def incidents(spark, d):
-    return _incidents(spark, d)
+    return _incidents(spark, d).drop("metadata")
 
 
-@query("list_incidents", _INC + "SELECT content_id, threat_type, severity FROM inc WHERE status = 'open' AND severity = 'critical' ORDER BY content_id DESC LIMIT 50")
+@query("list_incidents", _INC + """SELECT content_id, threat_type, severity, detected_at FROM inc
+WHERE status = 'open' AND severity = 'critical' ORDER BY detected_at DESC, content_id DESC LIMIT 50""")
 def list_incidents(spark, d):
     from screenwell.operators import admin
-    return admin.list_incidents(_incidents(spark, d), "open", "critical", by="content_id").select(
-        "content_id", "threat_type", "severity")
+    return admin.list_incidents(_incidents(spark, d), "open", "critical").select(
+        "content_id", "threat_type", "severity", "detected_at")
 
 
 @query("incident_status", _INC + """SELECT content_id, threat_type, CASE WHEN toxic = 1 THEN 'resolved' WHEN quality = 0 THEN 'false_positive'
