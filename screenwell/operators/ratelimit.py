@@ -6,9 +6,10 @@ The batch form keeps that chain short and everything else parallel:
 1. attempts are counted per client and clock tick, and the ticks of one client
    and second packed into sorted slices: these groups are bounded by the clock,
    so a client holding much of the log is spread over its seconds;
-2. the chain reads the slices of a client in order, jumps to the next tick that
-   can be admitted, and returns admissions only: at most the hourly limit per
-   client and hour, whatever the traffic; they are written out once;
+2. a client's log is cut where an hour passes without an attempt, as nothing is
+   remembered that long; the chain reads the slices of each such part in order, jumps
+   to the next tick that can be admitted, and returns admissions only: at most the
+   hourly limit per client and hour, whatever the traffic; they are written out once;
 3. decisions go back to the attempts by equi-joins on (client, tick) and
    (client, minute), both small on the decision side.
 """
@@ -80,7 +81,8 @@ def decide(df: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_hour: int =
     base = df.withColumn("_t", tick).withColumn("_m", _div(F.col(micros), MINUTE)).withColumn(
         "_client", F.coalesce(F.col(client).cast("string"), F.lit("unknown")))
     key = ["_client", oauth]
-    admitted = tb.materialise(_chain(_slices(base, key, tick_us), key, limits, tick_us), "admissions").withColumn(
+    admitted = tb.materialise(
+        _chain(_parts(_slices(base, key, tick_us), key, tick_us), key, limits, tick_us), "admissions").withColumn(
         "_m", _div(F.col("_t") * tick_us, MINUTE))
     # attempts admitted by rank within their tick; ranks beyond the limit are trimmed before the shuffle
     top = max(per_minute, oauth_per_minute)
@@ -117,11 +119,24 @@ def _slices(base: DataFrame, key: list[str], tick_us: int) -> DataFrame:
     return sliced.select(*key, F.col("a")[0]["_t"].alias("first"), F.col("a._t").alias("t"), F.col("a.n").alias("n"))
 
 
+def _parts(slices: DataFrame, key: list[str], tick_us: int) -> DataFrame:
+    """Slices with the number of their part of the client's log; parts lie a whole empty clock hour or more apart.
+
+    The window sees one row per client and hour.
+    """
+    hour = _div(F.col("first") * tick_us, HOUR)
+    in_order = Window.partitionBy(*key).orderBy("_h")
+    apart = F.coalesce(F.col("_h") - F.lag("_h").over(in_order) > 1, F.lit(False)).cast("int")
+    hours = slices.select(*key, hour.alias("_h")).distinct().withColumn("_apart", apart).withColumn(
+        "_part", F.sum("_apart").over(in_order)).drop("_apart")
+    return slices.withColumn("_h", hour).join(hours, [*key, "_h"]).drop("_h")
+
+
 def _chain(slices: DataFrame, key: list[str], limits: dict, tick_us: int) -> DataFrame:
-    """Admissions per client and tick, from slices in time order.
+    """Admissions per client and tick, from slices of each part in time order.
 
-    State is one deque of admissions of the last hour per client, at most as
-    many as the hourly limit; slices arrive sorted, so one client's state is
+    State is one deque of admissions of the last hour, at most as
+    many as the hourly limit; slices arrive sorted, so the state of one part is
     held at a time.
     """
     client, oauth = key
@@ -130,15 +145,15 @@ def _chain(slices: DataFrame, key: list[str], limits: dict, tick_us: int) -> Dat
         current, state = None, None
         for pdf in batches:
             rows = []
-            for c, o, t, n in zip(pdf[client], pdf[oauth], pdf["t"], pdf["n"]):
-                if (c, o) != current:
-                    current, state = (c, o), Limiter(*limits[bool(o)])
+            for c, o, part, t, n in zip(pdf[client], pdf[oauth], pdf["_part"], pdf["t"], pdf["n"]):
+                if (c, o, part) != current:
+                    current, state = (c, o, part), Limiter(*limits[bool(o)])
                 rows += [(c, o, *hit) for hit in state.run(np.asarray(t), np.asarray(n), tick_us)]
             yield pd.DataFrame(rows, columns=[client, oauth, "_t", "k", "minute_before", "hour_before"])
 
     kinds = dict(slices.dtypes)
     schema = f"{client} {kinds[client]}, {oauth} boolean, _t bigint, k int, minute_before int, hour_before int"
-    return slices.repartition(*key).sortWithinPartitions(*key, "first").mapInPandas(run, schema)
+    return slices.repartition(*key, "_part").sortWithinPartitions(*key, "_part", "first").mapInPandas(run, schema)
 
 
 class Limiter:

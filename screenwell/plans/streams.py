@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
+from screenwell.operators import ratelimit
 from screenwell.plans import sqlkit as k
 from screenwell.plans.registry import query
 from screenwell.plans.relational import _ETYPE, _IP
@@ -88,10 +89,16 @@ def _requests(spark, d):
 _LIM = k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, false AS oauth FROM events)", k.limiter("a", "1", "3"))
 
 
-@query("stream_rate_limit", _LIM + "SELECT client, id, admitted, retry_after FROM dec")
+_PATHS = k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, event_type = 'signup' AS oauth FROM events WHERE event_type <> 'error')",
+                k.limiter("a", "1", "CASE WHEN oauth THEN 1 ELSE 3 END"))
+
+
+@query("stream_rate_limit", _PATHS + "SELECT * FROM dec")
 def stream_rate_limit(spark, d):
-    """Online decisions under small limits, state per client."""
-    return jobs.run_append(jobs.rate_limit(_requests(spark, d), 1, 3))
+    """Online decisions under small limits: OAuth paths counted apart, exempt paths not at all."""
+    requests = ratelimit.by_path(_audit(spark, d)).select(
+        "id", F.col("timestamp").alias("ts"), (F.col("user_id") % 5).alias("client"), "oauth")
+    return jobs.run_append(jobs.rate_limit(requests, 1, 3, 1, 1, oauth="oauth"))
 
 
 @query("rate_state_ttl", _LIM + "SELECT client, admitted, count(*) AS n FROM dec GROUP BY ALL")

@@ -87,7 +87,8 @@ def rate_limit(requests: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_h
     state_schema = "times array<bigint>"
     kinds = dict(requests.dtypes)
     key = [client] if oauth is None else [client, oauth]
-    out_schema = ", ".join(f"{c} {kinds[c]}" for c in (*key, id_)) + ", admitted boolean, retry_after int"
+    out_schema = ", ".join(f"{c} {kinds[c]}" for c in (*key, id_)) + (
+        ", admitted boolean, retry_after int, remaining_minute int, remaining_hour int")
 
     def step(values, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -102,13 +103,14 @@ def rate_limit(requests: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_h
                 lim.minute_q.append((t, 1))
                 lim.n_minute += 1
         rows = pd.concat([pdf[["_us", id_]] for pdf in batches]).sort_values(["_us", id_])
-        admitted, retry = [], []
+        decided = []
         for now in rows["_us"]:
-            k, minute_used, _ = lim.attempt(int(now))
-            admitted.append(bool(k))
-            retry.append(None if k else 60 if minute_used >= minute else 3600)
-        yield pd.DataFrame({**dict(zip(key, values)), id_: rows[id_].to_numpy(), "admitted": admitted,
-                            "retry_after": pd.array(retry, dtype="Int32")})
+            k, used, used_hour = lim.attempt(int(now))
+            decided.append((True, None, minute - used - 1, hour - used_hour - 1) if k else
+                           (False, 60 if used >= minute else 3600, None, None))
+        admitted, *counts = zip(*decided)
+        yield pd.DataFrame({**dict(zip(key, values)), id_: rows[id_].to_numpy(), "admitted": admitted} | {
+            name: pd.array(c, dtype="Int32") for name, c in zip(("retry_after", "remaining_minute", "remaining_hour"), counts)})
         latest = int(rows["_us"].iloc[-1])
         state.update(([t for t, k in lim.hour_q for _ in range(k)],))
         state.setTimeoutTimestamp(max(latest // 1000 + 3_600_000, state.getCurrentWatermarkMs() + 1))
