@@ -135,11 +135,12 @@ def incidents(analysed: DataFrame, text: str = "content", minimum: float = cat.I
 def content_filter(df: DataFrame, text: str = "content", *, filters: Column | None = None,
                    redact: Column | None = None, toxicity_threshold: Column | None = None,
                    toxicity: Column | None = None, custom: Mapping[str, str] | None = None,
-                   pack: Column | None = None, model_spans: Column | None = None, model: Model | None = None) -> DataFrame:
+                   pack: Column | None = None, model_spans: Column | None = None, model: Model | None = None,
+                   patterns: Column | None = None) -> DataFrame:
     """PII, toxicity and injection verdict of every row.
 
     Settings are columns, so they may differ by row.  `pack` names the use-case
-    pack whose custom patterns apply.  Pattern names come from whichever
+    pack whose custom patterns apply, `patterns` is a row's own map of them.  Pattern names come from whichever
     injection result exists, so a regex-only run reports them too; a `model` that
     finds an injection adds its own name.  Any matched pattern, even a weak marker,
     makes a row unsafe.  Redaction always works on
@@ -166,7 +167,10 @@ def content_filter(df: DataFrame, text: str = "content", *, filters: Column | No
         rules += [sp.Rule(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, (pack == p.name) & tx.gate(name))
                   for p in cat.PACKS for name, rx in p.patterns]
     found = [sp.match_spans("_pii", rules)] if model_spans is None else [model_spans, sp.match_spans("_pii", rules)]
-    df = tx.without_gates(tx.pin(tx.with_gates(df, "_pii"), sp.merge(*found).alias("entities"))).drop("_pii")
+    if patterns is not None:
+        df = df.withColumn("_own", pii.custom_spans("_pii", patterns))
+        found.append(F.col("_own"))
+    df = tx.without_gates(tx.pin(tx.with_gates(df, "_pii"), sp.merge(*found).alias("entities"))).drop("_pii", "_own")
     df = df.withColumn("filtered_content", F.when(
         F.col("_redact") & (F.size("entities") > 0), sp.redact(text, F.col("entities"))))
     unsafe = (((F.size("entities") > 0) & ~F.col("_redact"))

@@ -115,6 +115,22 @@ def custom_patterns(spark, d):
         tx.count_matches("content", rx, tx.gate(name)).alias(f"n_{name}") for name, rx in pii.all_pack_patterns()])
 
 
+_ROW_MAPS = ({"parcel": CUSTOM["parcel"], "exp_date": CUSTOM["exp_date"]}, {"ref": r"[A-Z]{3}\d{3}", "broken": "("}, None)
+_ROW_PARTS = [(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, n, f"content_id % 3 = {i}", k.plain_letters("content"))
+              for i, m in enumerate(_ROW_MAPS) for n, rx in (m or {}).items() if n != "broken"]
+
+
+@query("custom_patterns_by_row", k.with_(k.CONTENT, k.spans("content", "content", k.PII_PARTS + _ROW_PARTS)) +
+       "SELECT content_id, len(ents) AS n_pii, len(list_filter(ents, lambda e: e.label IS NOT NULL)) AS n_own FROM sp")
+def custom_patterns_by_row(spark, d):
+    """The filter under each row's own patterns, which come as a column; one that does not compile is skipped."""
+    maps = [F.lit(None).cast("map<string,string>") if m is None else F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+            for m in _ROW_MAPS]
+    own = F.element_at(F.array(*maps), (F.col("content_id") % len(maps) + 1).cast("int"))
+    out = scan.content_filter(corpus.content(spark, d).withColumn("own", own), patterns=F.col("own"))
+    return out.select("content_id", "n_pii", F.size(F.filter("entities", lambda e: e["label"].isNotNull())).alias("n_own"))
+
+
 _MODEL_SPANS = r"(?i)\b(?:mr|ms|dr|jane|john)\b\.? [A-Z][a-z]+"
 
 
