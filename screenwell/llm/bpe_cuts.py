@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 250_000) -> None:
         from tokenizers import Tokenizer, models
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # the task's cores are Spark's to share out
@@ -64,7 +64,12 @@ class Codec:
         self.joined = {token[i:i + 2] for token in vocab for i in range(len(token) - 1)}
         self.bytes_of = {i: bytes(value[c] for c in token) for token, i in vocab.items()}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
-        self.fragments, self.pretokens, self.pieces = Known(most), Known(most), Known(most // 2)
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was looked up; the vocabulary stays."""
+        self.fragments, self.pretokens, self.pieces = Known(self.most), Known(self.most), Known(self.most // 2)
 
     def cuts(self, letters: str) -> list[str]:
         """Fragments between certain cuts of a pre-token."""
@@ -141,7 +146,8 @@ def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         return lambda texts: ((len(ids) // 4, ids) for some in few(texts) for ids in enc(some))
 
     df = documents.select(F.col(key), F.col(text).alias("encoded text"))
-    return map_rows(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], make, [key])
+    return map_rows(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], make, [key],
+                    lambda: codec(tokenizer).forget())
 
 
 def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -169,4 +175,5 @@ def round_trip(documents: DataFrame, tokenizer: str, key: str = "doc_id", text:
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
-    return map_rows(documents.select(F.col(key), F.col(text).alias("encoded text")), fields, make, [key])
+    return map_rows(documents.select(F.col(key), F.col(text).alias("encoded text")), fields, make, [key],
+                    lambda: codec(tokenizer).forget())

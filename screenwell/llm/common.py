@@ -25,12 +25,13 @@ def words(text: str | None, byte_map: bytes = ALNUM) -> list[bytes]:
 
 
 def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[..., Iterable[tuple]]],
-             keep: list[str] | None = None) -> DataFrame:
+             keep: list[str] | None = None, done: Callable[[], None] | None = None) -> DataFrame:
     """Rows of `df` (its columns are the arguments) through a Python function, in Arrow batches.
 
     `make` runs once per task and gives the function, which is called once per batch with one list per
     column and yields one tuple per output row.  Columns in `keep` pass through
     untouched in front of the new ones; then it must yield exactly one tuple per input row, in order.
+    `done` is called at the task's end: workers live on and should not hold what the task gathered.
     """
     keep = keep or []
     args = [c for c in df.columns if c not in keep]
@@ -47,6 +48,8 @@ def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable[[], Call
                 made = [pa.array(c, f.type) for c, f in zip(columns, new)]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made],
                                                  names=[*[f.name for f in kept], *new.names])
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 
