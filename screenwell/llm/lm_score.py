@@ -109,15 +109,20 @@ class Learner:
         x = m.vectors[around]
         h = np.tanh(np.einsum("nks,ks->ns", x, m.gates) + m.bias)
         node, turn = paths(m.rank[target])
-        below = m.nodes[node]
-        unit = np.einsum("nds,ns->nd", below, h) + m.node_bias[node]
+        first = m.nodes[:(1 << TOP) - 1]
+        below = m.nodes[node[:, TOP:]]
+        unit = np.concatenate([np.take_along_axis(h @ first.T, node[:, :TOP], 1),
+                               np.einsum("nds,ns->nd", below, h)], axis=1) + m.node_bias[node]
         err = (1 / (1 + np.exp(-np.clip(unit, -30, 30))) - turn).astype(np.float32)
-        d_sum = np.einsum("nd,nds->ns", err, below) * (1 - h * h)
+        spread = np.zeros((len(target), len(first)), np.float32)   # errors of the upper nodes, in their columns
+        np.put_along_axis(spread, node[:, :TOP], err[:, :TOP], 1)
+        d_sum = (spread @ first + np.einsum("nd,nds->ns", err[:, TOP:], below)) * (1 - h * h)
         grads = [np.zeros_like(p) for p in m[:5]]
         np.add.at(grads[0], around.ravel(), (d_sum[:, None] * m.gates).reshape(-1, SIZE))
         grads[1] += np.einsum("nks,ns->ks", x, d_sum)
         grads[2] += d_sum.sum(0)
-        np.add.at(grads[3], node.ravel(), (err[..., None] * h[:, None]).reshape(-1, SIZE))
+        grads[3][:len(first)] = spread.T @ h
+        np.add.at(grads[3], node[:, TOP:].ravel(), (err[:, TOP:, None] * h[:, None]).reshape(-1, SIZE))
         np.add.at(grads[4], node.ravel(), err.ravel())
         for p, g, s in zip(m[:5], grads, self.square):
             g /= np.float32(len(target) / 64)
