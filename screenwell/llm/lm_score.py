@@ -1,32 +1,40 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy scores every token from both sides.
 
-Tokens are words (`common.words`) in `VOCAB` hashed buckets.  The two words on each side (past the ends stands a
-padding bucket) enter as vectors, gated by their place; their sum through tanh predicts the word in the middle.
-Its distribution is a binary tree over the buckets, most frequent first, with a logistic unit in each node,
-so a probability takes `DEPTH` units.  A text's score is the sum of the log-probabilities of all its tokens.
+Tokens are words (`common.words`).  The network knows them by `VOCAB` hashed buckets: the two words on each side (past
+the ends stands a padding bucket) enter as vectors, gated by their place; their sum through tanh predicts the bucket
+in the middle.  Its distribution is a binary tree over the buckets, most frequent first, with a logistic unit in each
+node, so a probability takes `DEPTH` units.  A word's probability is its bucket's times its own share of that bucket,
+from a table of all words' counts, which grows with the input and stays in Spark.  A text's score is the sum of the
+log-probabilities of all its tokens.
 
-Training uses all texts.  Bucket counts come first and shape the tree.  Then, in each round, every task reads its texts
+The shares reach the texts by a join.  Texts are scored in blocks; a block lists each of its words once, with the
+places of the texts that have it, so a frequent word costs a row per block.
+
+Training uses all texts.  Word counts come first; their sums by bucket shape the tree.  Then, in each round, every task reads its texts
 with a part of the positions masked, takes gradient steps from the common parameters, and sends the changes of
 what it has touched; Spark sums them by parameter, weighted by positions, and the averages are the next parameters.
 What is sent grows with the number of tasks; the driver and the broadcasts hold one model, whose size is fixed.
 
 Edge cases.  Null and empty texts have no tokens, log-likelihood 0 and a null mean.  Repeated rows
-give a row each, an empty table no rows (and an untrained model).  Other columns are not read.
+give a row each, an empty table no rows (and an untrained model).  Other columns are not read.  A word that the table of
+counts lacks, which only other documents than the counted ones can hold, has probability 0.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenwell.llm.common import map_rows, sliced, words
+from screenwell.llm.common import map_rows, sliced, words, written
 
 DEPTH = 12
 VOCAB = 1 << DEPTH
@@ -137,23 +145,54 @@ class Learner:
         return at, flat[at]
 
 
-def count_buckets(documents: DataFrame, text: str) -> np.ndarray:
-    """Tokens per bucket over all texts."""
+#: Distinct words that a task counts before it hands them on.
+HELD_WORDS = 200_000
+
+
+def count_words(documents: DataFrame, text: str = "text") -> DataFrame:
+    """word (binary), n: tokens of every word over all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(VOCAB, np.int64)
+        counts: Counter[bytes] = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
+                                              names=["word", "n"])
+            counts.clear()
+            return made
+
         for batch in batches:
             for part in sliced(batch):
                 for t in part.column(0).to_pylist():
-                    counts += np.bincount(ids_of(t), minlength=VOCAB)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+                    counts.update(words(t))
+                    if len(counts) > HELD_WORDS:
+                        yield out()
+        yield out()
+
+    return written(documents.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(
+        F.sum("n").alias("n")), "lm_words")
+
+
+def by_bucket(counts: DataFrame) -> DataFrame:
+    """bucket, bucket_n: tokens of every bucket."""
+    return counts.groupBy((F.crc32("word") % VOCAB).alias("bucket")).agg(F.sum("n").alias("bucket_n"))
+
+
+def bucket_counts(counts: DataFrame) -> np.ndarray:
+    out = np.zeros(VOCAB)
+    for r in by_bucket(counts).collect():   # `VOCAB` rows at most
+        out[r["bucket"]] = r["bucket_n"]
+    return out
+
+
+def count_buckets(documents: DataFrame, text: str) -> np.ndarray:
+    """Tokens per bucket over all texts."""
+    return bucket_counts(count_words(documents, text))
+
 
-    rows = documents.select(F.col(text).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(
-        F.sum("n").alias("n")).collect()   # `VOCAB` rows at most
-    counts = np.zeros(VOCAB)
-    for r in rows:
-        counts[r["bucket"]] = r["n"]
-    return counts
+def word_shares(counts: DataFrame) -> DataFrame:
+    """word, log_share: log of the word's part of its bucket's tokens."""
+    return counts.withColumn("bucket", F.crc32("word") % VOCAB).join(by_bucket(counts), "bucket").select(
+        "word", F.log(F.col("n") / F.col("bucket_n")).alias("log_share"))
 
 
 def round_of_training(documents: DataFrame, text: str, model: Model, number: int) -> Model:
@@ -190,16 +229,16 @@ def round_of_training(documents: DataFrame, text: str, model: Model, number: int
     return Model(*[part.reshape(p.shape) for part, p in zip(np.split(flat, ends[:-1]), model[:5])], model.rank)
 
 
-def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """A model of all texts."""
-    model = new_model(count_buckets(documents, text))
+def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> Model:
+    """A model of all texts; `counts` are theirs by `count_words`, if made before."""
+    model = new_model(count_buckets(documents, text) if counts is None else bucket_counts(counts))
     for number in range(rounds):
         model = round_of_training(documents, text, model, number)
     return model
 
 
 def score_text(model: Model, text: str | None) -> tuple[int, float]:
-    """Tokens and the sum of their conditional log-probabilities."""
+    """Tokens and the sum of their buckets' conditional log-probabilities."""
     ids = ids_of(text)
     total = 0.0
     for i in range(0, len(ids), BATCH):
@@ -208,20 +247,110 @@ def score_text(model: Model, text: str | None) -> tuple[int, float]:
     return len(ids), total
 
 
-def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: key, n_tokens, log_likelihood (of all tokens) and mean_log_likelihood."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def score_block(m: Model, texts: list[str | None]) -> tuple[list[int], np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text, tokens and the sum by buckets as in `score_text`; the words, and for each in turn the texts that have it.
+
+    The latter are ends of the words' ranges (after a 0), numbers of texts and tokens there.
+    """
+    numbers, read = Numbers(), []
+    for t in texts:
+        ws = words(t)
+        read.append(np.fromiter(map(numbers.__getitem__, ws), np.int64, len(ws)))
+    bucket = np.fromiter(map(zlib.crc32, numbers), np.int64, len(numbers)) % VOCAB
+    sizes = [len(r) for r in read]
+    of = np.repeat(np.arange(len(texts)), sizes)
+    pad = np.full(SIDE, VOCAB)
+    spaced = np.concatenate([pad, *(x for r in read for x in (bucket[r], pad))])
+    at, sides = np.flatnonzero(spaced != VOCAB), np.array([o for o in range(-SIDE, SIDE + 1) if o])
+    totals = np.zeros(len(texts))
+    for i in range(0, len(at), BATCH):
+        here, first = at[i:i + BATCH], of[i]
+        sums = np.bincount(of[i:i + BATCH] - first, log_probability(m, spaced[here[:, None] + sides], spaced[here]))
+        totals[first:first + len(sums)] += sums
+    pairs, n = np.unique(np.concatenate([np.zeros(0, np.int64), *read]) * len(texts) + of, return_counts=True)
+    ends = np.searchsorted(pairs, np.arange(len(numbers) + 1) * len(texts))
+    return sizes, totals, list(numbers), ends, pairs % len(texts), n
+
 
-    def make():
-        m = held.value
-        return lambda texts: (score_text(m, t) for t in texts)
+_BLOCK = [T.StructField("n_tokens", T.LongType()), T.StructField("by_buckets", T.DoubleType()),
+          T.StructField("word", T.BinaryType()), T.StructField("first", T.LongType()),
+          T.StructField("texts", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
 
-    scored = map_rows(documents.select(F.col(key), F.col(text).alias("scored text")), [
-        T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())], make, [key])
+
+def scored_blocks(documents: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """A row per document (row, key, n_tokens, by_buckets) and one per word of a block (word, first, texts, counts).
+
+    The latter's texts are rows `first + texts`.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    df = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", df.schema["key"].dataType), *_BLOCK])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in sliced(batch):
+                sizes, totals, found, ends, texts, n = score_block(held.value, part.column("text").to_pylist())
+                kinds = [pa.int64(), part.schema.field("key").type, pa.int64(), pa.float64(), pa.binary(), pa.int64(),
+                         pa.list_(pa.int32()), pa.list_(pa.int32())]
+                rows, none = len(sizes), lambda k, many: [pa.nulls(many, t) for t in k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + rows)), part.column("key"), pa.array(
+                    sizes, pa.int64()), pa.array(totals), *none(kinds[4:], rows)], names=schema.names)
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (texts, n)]
+                made = pa.RecordBatch.from_arrays([*none(kinds[:4], len(found)), pa.array(found, pa.binary()), pa.array(
+                    np.full(len(found), row)), *lists], names=schema.names)
+                for at in range(0, len(found), BATCH):
+                    yield made.slice(at, BATCH)
+                row += rows
+
+    return written(df.mapInArrow(run, schema), "lm_blocks")
+
+
+def add_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of blocks with their log_share to sums by row."""
+    for batch in batches:
+        c = {n: batch.column(n) for n in batch.schema.names}
+        many = c["texts"].value_lengths().to_numpy()
+        rows = np.repeat(c["first"].to_numpy(), many) + c["texts"].flatten().to_numpy()
+        share = np.repeat(c["log_share"].to_numpy(zero_copy_only=False), many) * c["counts"].flatten().to_numpy()
+        rows, at = np.unique(rows, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(at, share, len(rows)))], names=["row", "by_share"])
+
+
+def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """Per document: key, n_tokens, log_likelihood (of all tokens) and mean_log_likelihood.
+
+    `counts` are those of `count_words`; without them the log-likelihood is that of the tokens' buckets.
+    """
+    if counts is None:
+        held = documents.sparkSession.sparkContext.broadcast(model)
+
+        def make():
+            m = held.value
+            return lambda texts: (score_text(m, t) for t in texts)
+
+        scored = map_rows(documents.select(F.col(key), F.col(text).alias("scored text")), [
+            T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())], make, [key])
+    else:
+        blocks = scored_blocks(documents, model, key, text)
+        listed = blocks.filter(F.col("word").isNotNull()).join(word_shares(counts), "word", "left").select(
+            "first", "texts", "counts", F.coalesce("log_share", F.lit(float("-inf"))).alias("log_share"))
+        sums = listed.mapInArrow(add_shares, "row long, by_share double").groupBy("row").agg(F.sum("by_share").alias("by_share"))
+        scored = blocks.filter(F.col("row").isNotNull()).join(sums, "row", "left").select(
+            F.col("key").alias(key), "n_tokens", (F.col("by_buckets") + F.coalesce("by_share", F.lit(0.0))).alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.withColumn("mean_log_likelihood", mean)
 
 
 def report(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores under a model of the documents themselves."""
-    return score(documents, fit(documents, text), key, text)
+    """Scores under a model of the documents themselves, every word by its own probability."""
+    counts = count_words(documents, text)
+    return score(documents, fit(documents, text, counts=counts), key, text, counts)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from screenwell.llm import lm_score as lm
 from screenwell.llm import simhash_trie as st
 from screenwell.llm import token_codes as tc
 from screenwell.llm import toxicity_gru as tg
-from screenwell.llm.common import shared_folder
+from screenwell.llm.common import shared_folder, words
 from screenwell.llm.queries import QUERIES, vocabulary
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -291,6 +292,29 @@ def test_probabilities_add_up_and_training_helps(spark, empty, messy):
     assert {(r.n_tokens, r.log_likelihood, r.mean_log_likelihood) for r in none} == {(0, 0.0, None)}
 
 
+def test_words_of_a_bucket_differ(spark, messy):
+    """'atshsh' shares the bucket of 'the', 'ontior' that of 'der'."""
+    assert lm.ids_of("the")[0] == lm.ids_of("atshsh")[0] and lm.ids_of("der")[0] == lm.ids_of("ontior")[0]
+    texts = ["the old fox and the der sea"] * 30 + ["atshsh old fox", "ontior sea ontior", "the the the", "", None]
+    docs = spark.createDataFrame([(i % 33, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).cache()
+    every = Counter(w for t in texts for w in words(t))
+    bucket = Counter()
+    for w, n in every.items():
+        bucket[zlib.crc32(w) % lm.VOCAB] += n
+    share = {w: n / bucket[zlib.crc32(w) % lm.VOCAB] for w, n in every.items()}
+    assert abs(share[b"the"] - 63 / 64) < 1e-12 and abs(share[b"atshsh"] - 1 / 64) < 1e-12
+    counts = lm.count_words(docs)
+    assert {bytes(r.word): r.n for r in counts.collect()} == every
+    model = lm.fit(docs, counts=counts)
+    want = sorted((r.doc_id, len(words(r.text)), lm.score_text(model, r.text)[1] + sum(np.log(share[w]) for w in words(r.text)))
+                  for r in docs.collect())
+    for out in (lm.score(docs, model, counts=counts), lm.report(docs)):
+        assert np.allclose(sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in out.collect()), want)
+    own = lm.report(messy)
+    assert own.count() == messy.count() and all(np.isfinite(r.log_likelihood) for r in own.collect())
+    assert {r.log_likelihood for r in lm.score(messy.filter("doc_id = 3"), model, counts=counts).collect()} == {-np.inf}
+
+
 # -- queries and pipeline ------------------------------------------------------------------------------
 
 
