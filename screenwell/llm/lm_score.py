@@ -11,7 +11,7 @@ The shares reach the texts by a join.  Texts are scored in blocks; a block lists
 places of the texts that have it, so a frequent word costs a row per block.
 
 Training uses all texts.  Word counts come first; their sums by bucket shape the tree.  Then, in each round, every task reads its texts
-with a part of the positions masked, takes gradient steps from the common parameters, and sends the changes of
+with one in `ROUNDS` of the positions masked, others in each round, so that every token is a target once, takes gradient steps from the common parameters, and sends the changes of
 what it has touched; Spark sums them by parameter, weighted by positions, and the averages are the next parameters.
 What is sent grows with the number of tasks; the driver and the broadcasts hold one model, whose size is fixed.
 
@@ -40,8 +40,6 @@ DEPTH = 12
 VOCAB = 1 << DEPTH
 SIDE = 2
 SIZE = 16
-#: One position in so many is masked in a round of training.
-MASK = 16
 ROUNDS = 2
 RATE = 0.1
 BATCH = 4096
@@ -104,6 +102,16 @@ def log_probability(m: Model, around: np.ndarray, target: np.ndarray) -> np.ndar
     return -np.log((1 + np.exp(unit.astype(np.float64))).prod(1))
 
 
+def add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """`out[at] += rows` where rows of the same place add up."""
+    if not len(at):
+        return
+    order = np.argsort(at.astype(np.int16), kind="stable")   # radix sort; places are below 2 ** 15
+    at = at[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out[at[starts]] += np.add.reduceat(rows[order], starts)
+
+
 class Learner:
     """Adagrad steps on a copy of a model."""
 
@@ -126,11 +134,11 @@ class Learner:
         np.put_along_axis(spread, node[:, :TOP], err[:, :TOP], 1)
         d_sum = (spread @ first + np.einsum("nd,nds->ns", err[:, TOP:], below)) * (1 - h * h)
         grads = [np.zeros_like(p) for p in m[:5]]
-        np.add.at(grads[0], around.ravel(), (d_sum[:, None] * m.gates).reshape(-1, SIZE))
+        add_rows(grads[0], around.ravel(), (d_sum[:, None] * m.gates).reshape(-1, SIZE))
         grads[1] += np.einsum("nks,ns->ks", x, d_sum)
         grads[2] += d_sum.sum(0)
         grads[3][:len(first)] = spread.T @ h
-        np.add.at(grads[3], node[:, TOP:].ravel(), (err[:, TOP:, None] * h[:, None]).reshape(-1, SIZE))
+        add_rows(grads[3], node[:, TOP:].ravel(), (err[:, TOP:, None] * h[:, None]).reshape(-1, SIZE))
         np.add.at(grads[4], node.ravel(), err.ravel())
         for p, g, s in zip(m[:5], grads, self.square):
             g /= np.float32(len(target) / 64)
@@ -195,7 +203,16 @@ def word_shares(counts: DataFrame) -> DataFrame:
         "word", F.log(F.col("n") / F.col("bucket_n")).alias("log_share"))
 
 
-def round_of_training(documents: DataFrame, text: str, model: Model, number: int) -> Model:
+def masked(n: int, number: int, rounds: int) -> np.ndarray:
+    """Positions of a text of n tokens that a round predicts; the rounds together have each once.
+
+    They are dealt by a hash, so that a text of equal periods shows all its words in each round.
+    """
+    at = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.flatnonzero(((at ^ at >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(rounds) == number)
+
+
+def round_of_training(documents: DataFrame, text: str, model: Model, number: int, rounds: int) -> Model:
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +223,15 @@ def round_of_training(documents: DataFrame, text: str, model: Model, number: int
             for part in sliced(batch):
                 for t in part.column(0).to_pylist():
                     ids = ids_of(t)
-                    at = np.arange((len(ids) + number) % MASK, len(ids), MASK)
-                    if len(at):
-                        around.append(contexts(ids, at))
-                        target.append(ids[at])
-                        n += len(at)
-                    if n >= BATCH:
-                        learner.step(np.concatenate(around), np.concatenate(target))
-                        around, target, n = [], [], 0
+                    at = masked(len(ids), number, rounds)
+                    while len(at):
+                        now, at = at[:BATCH - n], at[BATCH - n:]
+                        around.append(contexts(ids, now))
+                        target.append(ids[now])
+                        n += len(now)
+                        if n == BATCH:
+                            learner.step(np.concatenate(around), np.concatenate(target))
+                            around, target, n = [], [], 0
         if n:
             learner.step(np.concatenate(around), np.concatenate(target))
         at, change = learner.changes(start)
@@ -233,7 +251,7 @@ def fit(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, counts:
     """A model of all texts; `counts` are theirs by `count_words`, if made before."""
     model = new_model(count_buckets(documents, text) if counts is None else bucket_counts(counts))
     for number in range(rounds):
-        model = round_of_training(documents, text, model, number)
+        model = round_of_training(documents, text, model, number, rounds)
     return model
 
 

@@ -315,6 +315,27 @@ def test_words_of_a_bucket_differ(spark, messy):
     assert {r.log_likelihood for r in lm.score(messy.filter("doc_id = 3"), model, counts=counts).collect()} == {-np.inf}
 
 
+def test_training_predicts_every_position(spark):
+    """Short texts, too: all are of fewer than 15 words."""
+    for n in (0, 1, 2, 14, 15, 33):
+        assert sorted(i for r in range(lm.ROUNDS) for i in lm.masked(n, r, lm.ROUNDS)) == list(range(n))
+    texts = [x for x in ("red fox", "old blue sea", "hill") for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    plain, trained = lm.new_model(lm.count_buckets(docs, "text")), lm.fit(docs)
+    assert (trained.gates != plain.gates).any() and (trained.vectors != plain.vectors).any() and trained.nodes.any()
+    before, after = (lm.score_text(m, "old blue sea")[1] for m in (plain, trained))
+    assert after > before
+
+
+def test_add_rows():
+    rng = np.random.default_rng(2)
+    at, rows, want = rng.integers(0, lm.VOCAB, 9000), rng.normal(size=(9000, lm.SIZE)), np.zeros((lm.VOCAB, lm.SIZE))
+    np.add.at(want, at, rows)
+    got = np.zeros_like(want)
+    lm.add_rows(got, at, rows)
+    assert np.allclose(got, want)
+
+
 # -- queries and pipeline ------------------------------------------------------------------------------
 
 
