@@ -210,25 +210,29 @@ def report(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def cut(text: str, automata: list[Automaton], max_coverage: float) -> str | None:
-    """The text without its hit words; null when they are more than `max_coverage` of all words.
-
-    What is left is read again until no window is in it, as a cut brings words together.
-    """
-    raw, total = text.encode(), None
-    while True:
-        flat = raw.translate(ALNUM)
-        ws = [w for w in flat.split(b" ") if w]
-        spans = merged(span for auto in automata for span in auto.spans(ws)[0])
+def cut(text: str, spans: list[tuple[int, int]], total: int, max_coverage: float) -> str | None:
+    """The text without the words of `spans`; null when fewer are left than the limit allows of `total` words."""
+    raw = text.encode()
+    at = [m.span() for m in _WORD.finditer(raw.translate(ALNUM))]
+    keep, done = [], 0
+    for a, b in spans:
+        keep.append(raw[done:at[a][0]])
+        done = at[b - 1][1]
+    left = len(at) - sum(b - a for a, b in spans)
+    return b"".join([*keep, raw[done:]]).decode() if left >= (1 - max_coverage) * total else None
+
+
+def cut_alone(text: str, auto: Automaton, max_coverage: float) -> str | None:
+    """`cut` by one automaton of all items, read again until no window is left."""
+    total = None
+    while text is not None:
+        ws = words(text)
         total = len(ws) if total is None else total
+        spans, _ = auto.spans(ws)
         if not spans:
-            return raw.decode() if len(ws) >= (1 - max_coverage) * total else None
-        at = [m.span() for m in _WORD.finditer(flat)]
-        keep, done = [], 0
-        for a, b in spans:
-            keep.append(raw[done:at[a][0]])
-            done = at[b - 1][1]
-        raw = b"".join([*keep, raw[done:]])
+            break
+        text = cut(text, spans, total, max_coverage)
+    return text
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
@@ -236,21 +240,49 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
           shard_words: int = SHARD_WORDS) -> DataFrame:
     """All columns of `documents`; spans of hit words are removed, documents mostly of such words dropped.
 
-    n_chars, if there, follows.  Texts without hits pass unchanged.  With more than one automaton the documents
-    are cleaned by each in turn.
+    n_chars, if there, follows.  Texts without hits pass unchanged.  What is left is read again until no window is in
+    it, as a cut brings words together.  The limit is of the words that a document had at first.
+
+    With more than one automaton the spans of all are gathered, as in `find`, and cut at once; such a round is repeated
+    for the documents that it changed, which gives the same as one automaton.
     """
-    spark, out = documents.sparkSession, documents
-    order = documents.columns
-    for automaton in shards(benchmark, item, item_text, size, shard_words):
-        held = spark.sparkContext.broadcast(automaton)
+    spark, order = documents.sparkSession, documents.columns
+    automata = shards(benchmark, item, item_text, size, shard_words)
+    first, second = next(automata), next(automata, None)
+    new, had = free_name(documents, "cut_text"), free_name(documents, "had_text")
+    source = free_name(documents, "read_text")
+    if second is None:
+        held = spark.sparkContext.broadcast(first)
 
-        def make(held=held):
+        def make():
             auto = held.value
-            return lambda texts: ((t if not t else cut(t, [auto], max_coverage), bool(t)) for t in texts)
+            return lambda texts: ((t if not t else cut_alone(t, auto, max_coverage), bool(t)) for t in texts)
 
-        new, had = free_name(out, "cut_text"), free_name(out, "had_text")
-        source = free_name(out, "read_text")
-        made = map_rows(out.withColumn(source, F.col(text)),
+        made = map_rows(documents.withColumn(source, F.col(text)),
                         [T.StructField(new, T.StringType()), T.StructField(had, T.BooleanType())], make, order)
-        out = made.filter(F.col(new).isNotNull() | ~F.col(had)).withColumn(text, F.col(new)).select(*order)
-    return recount(out, text)
+        return recount(made.filter(F.col(new).isNotNull() | ~F.col(had)).withColumn(text, F.col(new)).select(*order), text)
+    del first, second, automata   # `find` makes them again, one at a time
+    total, row = free_name(documents, "first_total"), free_name(documents, "other_columns")
+    others = [c for c in order if c != text] or [F.lit(0).alias("none")]
+
+    def cut_all():
+        return lambda ts, totals, ns, ss: (
+            (t if not s else cut(t, list(zip(s[::2], s[1::2])), n if m is None else m, max_coverage), n if m is None else m, bool(s))
+            for t, m, n, s in zip(ts, totals, ns, ss))
+
+    out, todo = [], documents.select(F.struct(*others).alias(row), F.col(text).alias(source), F.lit(None).cast("long").alias(total))
+    while True:
+        found = find(todo.select(F.struct(row, source, total).alias("key"), F.col(source).alias("text")), benchmark, "key", "text",
+                     item, item_text, size, shard_words)
+        read = found.select(F.col("key")[row].alias(row), F.col("key")[source].alias("t"), F.col("key")[total].alias("m"),
+                            "n_words", "spans")
+        made = written(map_rows(read, [T.StructField(source, T.StringType()), T.StructField(total, T.LongType()),
+                                       T.StructField(had, T.BooleanType())], cut_all, [row]), "decontaminate")
+        out.append(made.filter(~F.col(had)))
+        todo = made.filter(F.col(had) & F.col(source).isNotNull()).drop(had)
+        if todo.isEmpty():
+            break
+    done = out[0]
+    for more in out[1:]:
+        done = done.unionByName(more)
+    return recount(done.select(*[F.col(source).alias(c) if c == text else F.col(row)[c].alias(c) for c in order]), text)

@@ -276,3 +276,20 @@ def test_clean(messy, benchmark, empty):
         assert {x for x in before if x[0] in {r.doc_id for r in clean} - {4, None}} <= left   # clean texts as they were
         assert (3, "one") not in left and (0, None) in left and (1, "") in left
     assert dc.clean(empty, benchmark).count() == 0
+
+
+def test_clean_does_not_depend_on_shards(spark):
+    """Over the limit only in sum; a window of one shard's item brought together by a cut of another's."""
+    a, b, c = ([f"{x}{i}" for i in range(n)] for x, n in (("a", 70), ("b", 20), ("c", 10)))
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "item_id long, text string").coalesce(1)
+    rest = [f"x{i}" for i in range(200)]
+    texts = [" ".join(a + b + rest[:10]), " ".join(a + b + rest[:40]), " ".join([*rest, *c[:5], *b[:10], *c[5:], "end."]),
+             " ".join([*rest, *a[:5], *c, *a[5:10], "end."]), "Left, as it was.", "", None, " ".join(a + rest), " ".join(a + rest)]
+    docs = spark.createDataFrame([(i % 8, t, "own", len(t or "")) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, spans string, n_chars long").repartition(2)
+    whole, parts = (dc.clean(docs, items, shard_words=n) for n in (200_000, 12))
+    assert parts.columns == docs.columns
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(parts) == key(whole)
+    assert dc.report(parts, items).filter("contaminated").count() == 0
+    assert whole.count() == len(texts) - 1 and " ".join(rest[:10]) not in {(r.text or "").strip() for r in whole.collect()}
