@@ -150,7 +150,8 @@ RULES = r"""
 2 cc-by-2.5       attribution creative commons attribution 2 5(?: \S+)? licen[cs]e
 2 cc-by-3.0       attribution creative commons attribution 3 0(?: \S+)? licen[cs]e
 2 cc-by-4.0       attribution creative commons attribution 4 0(?: international)?(?: public)?(?: licen[cs]e)?
-2 cc-by-sa-3.0    sharealike  creative commons attribution (?:share alike|sharealike) 3 0
+2 cc-by-sa-3.0    alike       creative commons attribution share alike 3 0
+2 cc-by-sa-3.0    sharealike  creative commons attribution sharealike 3 0
 2 cc-by-sa-4.0    sharealike  creative commons attribution sharealike 4 0(?: international)?
 2 cc-by-nc-3.0    noncommercial creative commons attribution noncommercial 3 0
 2 cc-by-nc-4.0    noncommercial creative commons attribution noncommercial 4 0(?: international)?

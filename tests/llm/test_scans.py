@@ -56,6 +56,12 @@ def test_license_rules_need_their_keyword_and_hold_suppression():
     assert [(f["start"], f["end"]) for f in found] == [(0, 2), (2, 8), (9, 13)]
 
 
+@pytest.mark.parametrize("name", ["Share Alike", "ShareAlike", "Share-Alike"])
+def test_license_share_alike_in_both_spellings(name):
+    found = ls.Scanner(load())(f"Creative Commons Attribution-{name} 3.0")[2]
+    assert [f["label"] for f in found] == ["cc-by-sa-3.0"]
+
+
 def test_license_resolve_is_containment():
     rng = random.Random(3)
     for _ in range(300):
