@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenwell.llm import bpe_cuts, decontaminate, license_scan, lm_score, quality_rules, secret_ledger, simhash_trie, token_codes, toxicity_gru, url_filter
+from screenwell.llm import (bpe_cuts, decontaminate, license_scan, lm_score, merkle_manifest, quality_rules, secret_ledger, simhash_trie,
+                            token_codes, toxicity_gru, url_filter)
 from screenwell.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +168,66 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_cuts.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.report(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
+    """Level by level with plain grouping; up to 16 ** levels rows in a source and 16 ** upper sources."""
+    fields = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+                         for c in merkle_manifest.FIELDS[:-1])
+    side = "coalesce(string_agg(h, '') OVER (PARTITION BY {by}r // 16 ORDER BY r ROWS BETWEEN {a} AND {b}), '')"
+
+    def tree(name: str, by: str, height: int) -> list[str]:
+        """CTEs: name0 (by, r, n, h) -> name{height}, and the steps name_s{k} of the nodes below level k."""
+        out, key = [], f"{by}, " if by else ""
+        for k in range(1, height + 1):
+            low = f"{name}{k - 1}"
+            left = side.format(by=key, a="UNBOUNDED PRECEDING", b="1 PRECEDING")
+            right = side.format(by=key, a="1 FOLLOWING", b="UNBOUNDED FOLLOWING")
+            out.append(f"{name}_s{k} AS (SELECT {key}r, {left} AS l, {right} AS g FROM {low})")
+            out.append(f"{name}{k} AS MATERIALIZED (SELECT {key}r // 16 AS r, max(n) AS n, CASE WHEN max(n) > {16 ** (k - 1)} "
+                       f"THEN sha256(string_agg(h, '' ORDER BY r)) ELSE max(h) END AS h FROM {low} GROUP BY {key}r // 16)")
+        return out
+
+    proof, joins = [], []
+    steps = [("t", "d", k) for k in range(1, levels + 1)] + [("u", "v", k) for k in range(1, upper + 1)]
+    for name, at, k in steps:
+        s, go = f"{name}_s{k}", f"{at}.n > {16 ** (k - 1)}"
+        same = f"{s}.source IS NOT DISTINCT FROM d.source AND " if name == "t" else ""
+        joins.append(f"LEFT JOIN {s} ON {same}{s}.r = {at}.r // {16 ** (k - 1)}")
+        proof.append(f"CASE WHEN {go} THEN {s}.l || {s}.g ELSE '' END")
+    folds = []
+    for i, (name, _, k) in enumerate(steps, 1):
+        n = "n" if name == "t" else "vn"
+        folds.append(f"f{i} AS (SELECT *, CASE WHEN {n} > {16 ** (k - 1)} THEN sha256(l{i} || f{i - 1} || g{i}) "
+                     f"ELSE f{i - 1} END AS f{i} FROM f{i - 1})")
+    sides = ", ".join(f"{n}_s{k}.l AS l{i}, {n}_s{k}.g AS g{i}" for i, (n, _, k) in enumerate(steps, 1))
+    final = f"f{len(steps)}"
+    return f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+doc AS (SELECT doc_id, source, {fields} AS f, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295) AS code FROM documents, crc),
+leaves AS (SELECT doc_id, source, sha256(f || coalesce(strlen(text) || ':' || text, '-')) AS h,
+    CASE WHEN code % 5 = 0 THEN sha256(f || coalesce(strlen(low) || ':' || low, '-')) END AS tampered FROM doc),
+d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS r,
+    count(*) OVER (PARTITION BY source) AS n FROM leaves),
+t0 AS (SELECT source, r, n, h FROM d),
+{", ".join(tree("t", "source", levels))},
+v AS MATERIALIZED (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM t{levels}),
+u0 AS (SELECT r, n, h FROM v),
+{", ".join(tree("u", "", upper))},
+f0 AS (SELECT d.doc_id, d.h AS leaf, v.h AS subroot, (SELECT h FROM u{upper}) AS root, d.n AS n, v.n AS vn,
+    {" || ".join(proof)} AS proof, {sides}, coalesce(d.tampered, d.h) AS f0
+  FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source {" ".join(joins)}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, {final} AS folded_root, {final} = root AS verified FROM {final}
+"""
+
+
+CHECKS["op13_merkle_manifest"] = _merkle_sql()
