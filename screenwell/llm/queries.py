@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from screenwell.llm import (bpe_cuts, decontaminate, license_scan, lm_score, merkle_manifest, quality_rules, secret_ledger, simhash_trie,
-                            token_codes, toxicity_gru, url_filter)
+                            term_pipeline, token_codes, toxicity_gru, url_filter)
 from screenwell.llm.common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_cuts.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+CHECKS["op12_ranked_search"] = r"""
+WITH doc AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+size AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM doc WHERE len(ws) > 0),
+item AS (SELECT row_number() OVER () AS place, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+asked AS (SELECT place, t, count(*) AS q FROM (SELECT place, unnest(ws) AS t FROM item) GROUP BY place, t),
+list AS (SELECT row, t, count(*) AS tf, any_value(n) AS n FROM (SELECT row, len(ws) AS n, unnest(ws) AS t FROM doc)
+  WHERE t IN (SELECT t FROM asked) GROUP BY row, t),
+weight AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM list, size GROUP BY t),
+score AS (SELECT place, row, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS s
+  FROM asked JOIN list USING (t) JOIN weight USING (t), size GROUP BY place, row),
+best AS (SELECT place, doc_id, s, row_number() OVER (PARTITION BY place ORDER BY s DESC, doc_id NULLS LAST, row) AS r
+  FROM score JOIN doc USING (row) WHERE s > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, s AS score FROM best JOIN item USING (place) WHERE r <= 10
+"""
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.report(table(spark, sf_dir, "documents"))
