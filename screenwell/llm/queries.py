@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from screenwell.llm import (bpe_cuts, decontaminate, license_scan, lm_score, merkle_manifest, quality_rules, secret_ledger, simhash_trie,
+from screenwell.llm import (block_lstm, bpe_cuts, decontaminate, license_scan, lm_score, merkle_manifest, quality_rules, secret_ledger, simhash_trie,
                             term_pipeline, token_codes, toxicity_gru, url_filter)
 from screenwell.llm.common import shared_folder, table
 
@@ -170,6 +170,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_cuts.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_lstm.report(table(spark, sf_dir, "pages"))
+
+
 @query
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
