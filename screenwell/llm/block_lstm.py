@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenwell.llm.common import map_rows, words
+from screenwell.llm.common import map_rows, named, words
 from screenwell.llm.html_blocks import Leaf, Reader
 from screenwell.llm.html_layouts import KEEP, Layout
 
@@ -249,9 +249,9 @@ def train(pages: list[tuple[list[Leaf], list[int]]], seed: int = 11, rounds: int
 def fit(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE, layouts: int = LAYOUTS,
         seed: int = 11) -> Net:
     """A network learnt from a bounded sample of a table's pages."""
-    size = F.length(_named(html))
+    size = F.length(named(html))
     drawn = pages.filter((size > 0) & (size <= SAMPLE_CHARS)).select(
-        F.xxhash64(_named(url), _named(key)).alias("at"), _named(html).alias("html")).orderBy("at", "html").limit(sample)
+        F.xxhash64(named(url), named(key)).alias("at"), named(html).alias("html")).orderBy("at", "html").limit(sample)
     reader = Reader()
     read = [reader.leaves(row["html"]) for row in drawn.collect()]
     labelled = [(leaves, own_labels(leaves)) for leaves in read]
@@ -262,10 +262,6 @@ def fit(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "h
 # -- on Spark ----------------------------------------------------------------------------------------------
 
 
-def _named(column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 class Extractor:
     """Pages to the texts of their kept blocks and the blocks' numbers, kept and all."""
 
@@ -298,6 +294,6 @@ def extract(pages: DataFrame, net: Net, html: str = "html") -> DataFrame:
 def report(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", net: Net | None = None) -> DataFrame:
     """Per page: key, url, text, n_chars (code points), n_kept and n_blocks."""
     net = net or fit(pages, key, url, html)
-    df = pages.select(_named(key).alias("key"), _named(url).alias("url"), _named(html).alias("html"))
+    df = pages.select(named(key).alias("key"), named(url).alias("url"), named(html).alias("html"))
     return extract(df, net).select(F.col("key").alias(key), F.col("url").alias(url), "text",
                                    F.char_length("text").cast("long").alias("n_chars"), "n_kept", "n_blocks")

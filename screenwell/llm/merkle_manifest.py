@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenwell.llm.common import written
+from screenwell.llm.common import named, written
 
 FAN = 16
 #: Leaves of a block: three digits.
@@ -35,11 +35,6 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STEPS = "array<struct<left:string,right:string>>"
 
 
-def named(column: str) -> Column:
-    """A column whose name may hold dots."""
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 def digest(values: Sequence[Column]) -> Column:
     """The leaf of a row of fields."""
     texts = [v.cast("string") for v in values]

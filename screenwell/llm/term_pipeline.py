@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from screenwell.llm.common import map_rows, sliced, words, written
+from screenwell.llm.common import map_rows, named, sliced, words, written
 
 #: Documents and terms (with repeats) of a shard; items of a bundle.
 SHARD, SHARD_TERMS, BUNDLE = 4096, 2_000_000, 256
@@ -51,16 +51,12 @@ MOST = GAIN // WEIGHT
 _WORD = 32768
 
 
-def _quoted(column: str):
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 # -- items ----------------------------------------------------------------------------------------
 
 
 def item_terms(items: DataFrame, key: str, text: str, bundle: int = BUNDLE) -> DataFrame:
     """(bundle, slot, key, terms, counts) of every item, written; bundles are numbered from 0 without a gap but empty ones."""
-    df = items.select(_quoted(key).alias("key"), _quoted(text).alias("text"))
+    df = items.select(named(key).alias("key"), named(text).alias("text"))
     parts = max(1, -(-df.count() // bundle))
 
     def make():
@@ -98,7 +94,7 @@ def postings(documents: DataFrame, key: str, text: str, wanted: bytes, shard: in
 
     Documents without terms are left out.
     """
-    df = documents.select(_quoted(key).alias("key"), _quoted(text).alias("text"))
+    df = documents.select(named(key).alias("key"), named(text).alias("text"))
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("term", T.StringType()),
                            T.StructField("places", T.ArrayType(T.IntegerType())),
                            T.StructField("counts", T.ArrayType(T.IntegerType())),
