@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,24 +35,40 @@ def map_rows(df: DataFrame, fields: list[T.StructField], make: Callable[[], Call
     `done` is called at the task's end: workers live on and should not hold what the task gathered.
     """
     keep = keep or []
-    args = [c for c in df.columns if c not in keep]
-    kept = [f for f in df.schema.fields if f.name in keep]
-    schema = T.StructType([*kept, *fields])
-    new = to_arrow_schema(T.StructType(fields))
+    args = [i for i, c in enumerate(df.columns) if c not in keep]
+    kept = [i for i, c in enumerate(df.columns) if c in keep]
+    inside = [f"c{i}" for i in range(len(df.columns))]   # Arrow maps resolve names, which dots would break
+    schema = T.StructType([*[T.StructField(inside[i], df.schema[i].dataType) for i in kept],
+                           *[T.StructField(f"new{i}", f.dataType) for i, f in enumerate(fields)]])
+    new = to_arrow_schema(T.StructType(schema.fields[len(kept):]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             for part in sliced(batch):
-                rows = list(fn(*[part.column(c).to_pylist() for c in args]))
+                rows = list(fn(*[part.column(i).to_pylist() for i in args]))
                 columns = list(zip(*rows)) if rows else [()] * len(new)
                 made = [pa.array(c, f.type) for c, f in zip(columns, new)]
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *made],
-                                                 names=[*[f.name for f in kept], *new.names])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *made],
+                                                 names=[*[inside[i] for i in kept], *new.names])
         if done:
             done()
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*inside).mapInArrow(run, schema).toDF(*[df.columns[i] for i in kept], *[f.name for f in fields])
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, which may hold dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a tokenizer's file where this runs: `name` itself if there is such a file, else that of the public tokenizer."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def sliced(batch: pa.RecordBatch, target: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -87,4 +104,26 @@ def recount(df: DataFrame, text: str = "text", column: str = "n_chars") -> DataF
     """Set the length column, where there is one, to the text's length."""
     if column not in df.columns:
         return df
-    return df.withColumn(column, F.length(F.coalesce(F.col(text), F.lit(""))).cast(df.schema[column].dataType))
+    return df.withColumn(column, F.length(F.coalesce(named(text), F.lit(""))).cast(df.schema[column].dataType))
+
+
+#: 64-bit words of the bitmap in `parted`: 16 million bits, so what is broadcast is bounded.
+GATE_WORDS = 1 << 18
+
+
+def parted(df: DataFrame, column: str, some: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose `column` is surely not among the `value`s of `some`, and the others, by a broadcast bitmap of hashes.
+
+    The second part holds all rows that are among them and few more, while `some` has fewer values than the bitmap bits; so a join
+    with `some` need not move the first part.  Beyond that more rows than needed are in the second.
+    """
+    word, bit, bits = (free_name(df, f"gate_{x}") for x in ("word", "bit", "bits"))
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(GATE_WORDS - 1)).cast("int")
+    inner = lambda c: F.shiftright(F.xxhash64(c), 40).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit))
+    marks = written(some.select(place(named(value)).alias(word), inner(named(value)).alias(bit)).groupBy(word).agg(
+        F.bit_or(one).alias(bits)), "gate")
+    read = df.withColumn(word, place(named(column))).join(F.broadcast(marks), word, "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col(bits), inner(named(column))).bitwiseAND(F.lit(1)), F.lit(0)) == 1
+    columns = [named(c) for c in df.columns]
+    return read.filter(~hit).select(*columns), read.filter(hit).select(*columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenwell.llm.common import ALNUM, free_name, map_rows, recount, words, written
+from screenwell.llm.common import ALNUM, free_name, map_rows, named, recount, words, written
 
 SIZE = 10
 SHARD_WORDS = 200_000
@@ -161,7 +161,7 @@ def find(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
          item_text: str = "text", size: int = SIZE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per document: key, n_words, spans (starts and ends of hit word ranges in turn), items (their ids, sorted)."""
     spark = documents.sparkSession
-    df = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    df = documents.select(named(key).alias("key"), named(text).alias("text"))
     frame = df.withColumns({"spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
     automata = shards(benchmark, item, item_text, size, shard_words)
     automaton = next(automata)
@@ -258,19 +258,20 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item:
             auto = held.value
             return lambda texts: ((t if not t else cut_alone(t, auto, max_coverage), bool(t)) for t in texts)
 
-        made = map_rows(documents.withColumn(source, F.col(text)),
+        made = map_rows(documents.withColumn(source, named(text)),
                         [T.StructField(new, T.StringType()), T.StructField(had, T.BooleanType())], make, order)
-        return recount(made.filter(F.col(new).isNotNull() | ~F.col(had)).withColumn(text, F.col(new)).select(*order), text)
+        return recount(made.filter(F.col(new).isNotNull() | ~F.col(had)).select(
+            *[F.col(new).alias(c) if c == text else named(c) for c in order]), text)
     del first, second, automata   # `find` makes them again, one at a time
     total, row = free_name(documents, "first_total"), free_name(documents, "other_columns")
-    others = [c for c in order if c != text] or [F.lit(0).alias("none")]
+    others = [named(c) for c in order if c != text] or [F.lit(0).alias("none")]
 
     def cut_all():
         return lambda ts, totals, ns, ss: (
             (t if not s else cut(t, list(zip(s[::2], s[1::2])), n if m is None else m, max_coverage), n if m is None else m, bool(s))
             for t, m, n, s in zip(ts, totals, ns, ss))
 
-    out, todo = [], documents.select(F.struct(*others).alias(row), F.col(text).alias(source), F.lit(None).cast("long").alias(total))
+    out, todo = [], documents.select(F.struct(*others).alias(row), named(text).alias(source), F.lit(None).cast("long").alias(total))
     while True:
         found = find(todo.select(F.struct(row, source, total).alias("key"), F.col(source).alias("text")), benchmark, "key", "text",
                      item, item_text, size, shard_words)

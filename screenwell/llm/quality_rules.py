@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from screenwell.functions.arrays import bind
 from screenwell.functions.text import pin
+from screenwell.llm.common import named
 
 BLANK = r"[\x20\x09-\x0D]"
 MIN_WORDS = 50
@@ -105,13 +106,13 @@ def passes(rules: Sequence[Limit] = RULES) -> Column:
 
 def measure(documents: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Limit] = RULES) -> DataFrame:
     """Per document: counts, base_failed and kept."""
-    df = with_counts(documents.select(F.col(key).alias("key"), F.col(text).alias("text")), "text").drop("text")
+    df = with_counts(documents.select(named(key).alias("key"), named(text).alias("text")), "text").drop("text")
     return df.withColumnRenamed("key", key).withColumn("base_failed", base_failed()).withColumn(
         "kept", ~base_failed() & passes(rules))
 
 
 def keep(documents: DataFrame, text: str = "text", rules: Sequence[Limit] = RULES) -> DataFrame:
     """Documents that pass, with their own columns."""
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
-                              F.col(text).alias("text"))
+    packed = documents.select(F.struct(*[named(c) for c in documents.columns]).alias("row"),
+                              named(text).alias("text"))
     return with_counts(packed, "text").filter(~base_failed() & passes(rules)).select("row.*")
