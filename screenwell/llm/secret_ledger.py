@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from screenwell.functions.arrays import bind, blocks, cut, running, running_sum
 from screenwell.functions.text import pin
-from screenwell.llm.common import free_name, recount, shared_folder, written
+from screenwell.llm.common import free_name, named, parted, recount, shared_folder, written
 
 
 class Rule(NamedTuple):
@@ -50,7 +50,9 @@ RULES = (
          group=2, least=6),
     Rule("access", r"AKIA[A-Z0-9]{16,}", literals=("AKIA",)),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", literals=("PRIVATE KEY-----",)),
+    # To the END line; without one, as far as letters of a key go.
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/= \t\r\n:,.-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+         r"|[A-Za-z0-9+/= \t\r\n]*)", version=2, literals=("PRIVATE KEY-----",)),
     Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}", literals=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", literals=("xox",)),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}", literals=("AIza",)),
@@ -102,7 +104,7 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def addressed(paths: DataFrame, key: str, text: str) -> DataFrame:
-    return paths.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn(
+    return paths.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("text")).withColumn(
         "blob", F.sha2("text", 256))
 
 
@@ -117,9 +119,9 @@ def update(paths: DataFrame, ledger_path: str, key: str, text: str, rules: Seque
     todo = F.array_except(wanted, F.coalesce("scanned", F.array().cast("array<string>")))
     unseen = (index.groupBy("blob").agg(F.min("key").alias("at")).join(done, "blob", "left")
               .select("at", F.col("blob").alias("unseen"), todo.alias("todo")).filter(F.size("todo") > 0))
-    # A text is fetched by a key that holds it, then checked by its hash, as keys may repeat.
-    fetched = texts.join(unseen.hint("shuffle_hash"), texts["key"].eqNullSafe(unseen["at"])).filter(
-        F.col("blob") == F.col("unseen")).select("blob", "todo", "text")
+    # A text is fetched by its hash and a key that holds it, so neither null keys nor copies meet in one task.
+    fetched = texts.join(unseen.hint("shuffle_hash"), texts["key"].eqNullSafe(unseen["at"]) & (
+        F.col("blob") == F.col("unseen"))).select("blob", "todo", "text")
     found = [F.when(F.array_contains("todo", r.id), matches(F.col("text"), r)).otherwise(
         F.array().cast(f"array<{FINDING}>")) for r in rules]
     (fetched.select("blob", F.col("todo").alias("scanned"), F.concat(*found).alias("findings"))
@@ -175,11 +177,13 @@ def redact(documents: DataFrame, ledger_path: str, key: str = "doc_id", text: st
     update(documents, ledger_path, key, text, rules)
     found = blob_findings(documents.sparkSession, ledger_path, rules).select(
         F.col("blob").alias(blob), F.col("spans").alias(spans))
-    df = documents.withColumn(blob, F.sha2(F.coalesce(text, F.lit("")), 256)).join(found, blob, "left")
-    order = documents.columns
-    out = pin(df, F.when(F.col(text).isNotNull() & (F.size(spans) > 0), replaced(F.col(text), F.col(spans), rules))
-              .otherwise(F.col(text)).alias("new " + text))
-    return recount(out.withColumn(text, F.col(f"`new {text}`")).select(*order), text)
+    df = documents.withColumn(blob, F.sha2(F.coalesce(named(text), F.lit("")), 256))
+    clean, perhaps = parted(df, blob, found, blob)   # texts without findings are not moved again
+    new, order = free_name(df, "new_text"), [named(c) for c in documents.columns]
+    out = pin(perhaps.join(found, blob, "left"), F.when(
+        named(text).isNotNull() & (F.size(spans) > 0), replaced(named(text), F.col(spans), rules)).otherwise(named(text)).alias(new))
+    changed = out.select(*[F.col(new).alias(c) if c == text else named(c) for c in documents.columns])
+    return recount(clean.select(*order).union(changed), text)
 
 
 def replaced(text: Column, spans: Column, rules: Sequence[Rule]) -> Column:

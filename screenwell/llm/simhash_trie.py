@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from screenwell.llm.common import BLANKS, free_name, map_rows, words, written
+from screenwell.llm.common import BLANKS, free_name, map_rows, named, parted, words, written
 from screenwell.llm.components import components
 
 SHINGLE = 4
@@ -69,7 +69,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def with_fingerprints(df: DataFrame, text: str, name: str) -> DataFrame:
     """All columns of `df` and the fingerprint (long) of `text`."""
     read = free_name(df, "fingerprinted")
-    return map_rows(df.withColumn(read, F.col(text)), [T.StructField(name, T.LongType())],
+    return map_rows(df.withColumn(read, named(text)), [T.StructField(name, T.LongType())],
                     lambda: lambda texts: ((fingerprint(t),) for t in texts), df.columns)
 
 
@@ -237,15 +237,17 @@ def groups(fingerprints: DataFrame, distance: int = DISTANCE, split: int = SPLIT
     """(fp, key) of all documents, written -> (fp, root, component_id): one fingerprint and the least key of its group."""
     least = written(fingerprints.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
     roots = written(components(star_links(least.select("fp"), distance, split)), "components")
-    named = least.join(roots, least["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return written(named.join(ids, "root").select("fp", "root", "component_id"), "groups")
+    rooted = written(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", "root"), "rooted")
+    linked = rooted.filter("root is not null")
+    # Written before the join, so that adaptive execution may split a root that many fingerprints share.
+    ids = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    return written(linked.join(ids, "root").select("fp", "root", "component_id").unionByName(rooted.filter("root is null").select(
+        "fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))), "groups")
 
 
 def report(documents: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """Per document: key, fingerprint (hexadecimal), component_id (the least key of its connected group)."""
-    df = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    df = documents.select(named(key).alias("key"), named(text).alias("text"))
     prints = written(with_fingerprints(df, "text", "fp").select("key", "fp"), "prints")
     return prints.join(groups(prints, distance), "fp").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -258,8 +260,12 @@ def distinct(documents: DataFrame, key: str = "doc_id", text: str = "text", dist
     """
     fp, row = free_name(documents, "fp"), free_name(documents, "row_at")
     texts = written(with_fingerprints(documents, text, fp).withColumn(row, F.monotonically_increasing_id()), "texts")
-    prints = texts.select(F.col(fp).alias("fp"), F.col(key).alias("key"), F.col(row).alias("at"))
+    prints = texts.select(F.col(fp).alias("fp"), named(key).alias("key"), F.col(row).alias("at"))
     least = prints.groupBy("fp", "key").agg(F.min("at").alias("at"))   # few rows of a text with many copies go on
     stays = least.join(groups(prints, distance), "fp").groupBy("root").agg(
         F.min(F.struct(F.col("key").isNull(), "key", "at"))["at"].alias("stays"))
-    return texts.join(stays.hint("shuffle_hash"), texts[row] == F.col("stays"), "left_semi").select(*documents.columns)
+    stays = written(stays, "stays")
+    leaves = written(texts.select(F.col(row).alias("at")).join(stays, F.col("at") == F.col("stays"), "left_anti"), "leaves")
+    sure, perhaps = parted(texts, row, leaves, "at")   # only texts that may leave are moved
+    rest = perhaps.join(leaves.hint("shuffle_hash"), perhaps[row] == leaves["at"], "left_anti")
+    return sure.union(rest).select(*[named(c) for c in documents.columns])

@@ -14,7 +14,9 @@ from screenwell.llm import license_scan as ls
 from screenwell.llm import quality_rules as qr
 from screenwell.llm import queries
 from screenwell.llm import secret_ledger as sl
+from screenwell.llm import simhash_trie as st
 from screenwell.llm import url_filter as uf
+from screenwell.llm.common import parted
 from screenwell.llm.license_rules import load
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -299,3 +301,38 @@ def test_clean_does_not_depend_on_shards(spark):
     assert key(parts) == key(whole)
     assert dc.report(parts, items).filter("contaminated").count() == 0
     assert whole.count() == len(texts) - 1 and " ".join(rest[:10]) not in {(r.text or "").strip() for r in whole.collect()}
+
+
+# -- private keys, names with dots, null keys --------------------------------------------------------
+
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nMIIEowIBAAKCAQEA+/x\nq83=\n-----END RSA PRIVATE KEY-----"
+
+
+def test_whole_private_keys_are_redacted(spark):
+    texts = [f"before {KEY} after", f"a {KEY} b {KEY} c", "open -----BEGIN PRIVATE KEY-----\nMIIEow\nAB12. Rest stays", "-----BEGIN PRIVATE KEY-----"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in sl.redact(df, sl.fresh_ledger(spark)).orderBy("doc_id").collect()]
+    mark = "[REDACTED:private_key]"
+    assert got == [f"before {mark} after", f"a {mark} b {mark} c", f"open {mark}. Rest stays", mark]
+
+
+def test_names_with_dots_pass(spark, messy, benchmark):
+    odd = messy.withColumn("a.b", F.lit(1)).withColumn("x`y", F.lit(2))
+    for fn in (lambda d: sl.redact(d, sl.fresh_ledger(spark)), st.distinct, lambda d: dc.clean(d, benchmark),
+               lambda d: dc.clean(d, benchmark, shard_words=12), qr.keep):
+        out = fn(odd)
+        assert out.columns == odd.columns and out.count() == fn(messy).count()
+
+
+def test_many_null_keys(spark):
+    rows = [(None, f"secret = abc{i:06d}") for i in range(40)] + [(None, "secret = same99")] * 40 + [(5, "none"), (5, "token: zzzzzz")]
+    got = sl.report(spark.createDataFrame(rows, "doc_id long, text string"), sl.fresh_ledger(spark)).collect()
+    assert len(got) == 82 and sum(r.n_assign for r in got) == 81
+
+
+def test_parted_is_a_superset(spark):
+    df = spark.range(5000).withColumn("v.x", F.col("id"))
+    some = df.filter("id % 100 = 7").select(F.col("id").alias("k"))
+    sure, perhaps = parted(df, "v.x", some, "k")
+    a, b = {r.id for r in sure.collect()}, {r.id for r in perhaps.collect()}
+    assert a | b == set(range(5000)) and not a & b and {i for i in range(7, 5000, 100)} <= b and len(b) < 100
