@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenwell.llm.chunks import Known, lone_blanks
-from screenwell.llm.common import map_rows
+from screenwell.llm.common import map_rows, named, tokenizer_file
 
 #: A blank or none, Latin letters, stops or none.
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)\\Z")
@@ -47,6 +47,7 @@ class Codec:
         from tokenizers import Tokenizer, models
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # the task's cores are Spark's to share out
+        path = tokenizer_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -145,7 +146,7 @@ def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         enc = codec(tokenizer).encode
         return lambda texts: ((len(ids) // 4, ids) for some in few(texts) for ids in enc(some))
 
-    df = documents.select(F.col(key), F.col(text).alias("encoded text"))
+    df = documents.select(named(key), named(text).alias("encoded text"))
     return map_rows(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], make, [key],
                     lambda: codec(tokenizer).forget())
 
@@ -175,5 +176,5 @@ def round_trip(documents: DataFrame, tokenizer: str, key: str = "doc_id", text:
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
-    return map_rows(documents.select(F.col(key), F.col(text).alias("encoded text")), fields, make, [key],
+    return map_rows(documents.select(named(key), named(text).alias("encoded text")), fields, make, [key],
                     lambda: codec(tokenizer).forget())

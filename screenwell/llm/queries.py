@@ -15,13 +15,6 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 
-def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file on this machine and the executors'."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -117,7 +110,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-codes")
-    token_codes.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    token_codes.write(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json")
     return token_codes.digests(spark, path)
 
 
@@ -167,7 +160,7 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_cuts.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return bpe_cuts.round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 @query

@@ -18,10 +18,10 @@ from screenwell.llm import lm_score as lm
 from screenwell.llm import simhash_trie as st
 from screenwell.llm import token_codes as tc
 from screenwell.llm import toxicity_gru as tg
-from screenwell.llm.common import shared_folder, words
-from screenwell.llm.queries import QUERIES, vocabulary
+from screenwell.llm.common import shared_folder, tokenizer_file, words
+from screenwell.llm.queries import QUERIES
 
-BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
 BITS = ["a", "The", " ", "  ", "\n", "\t", "é", "ß", "漢字", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "123", "!!", "\x1c",
         "\x85", " ", " ", "É", "É", "J̌", "\U0001F600", "\x00", "don't", "_", "ΩΣ", "　", "\r\n", "ſ", "<|",
         "½", "٣", "İ", "K", "word,", "aaaaaaaa"]
