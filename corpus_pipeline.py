@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from screenwell.llm import bpe_cuts, decontaminate, quality_rules, secret_ledger, simhash_trie
 from screenwell.llm.common import table, written
-from screenwell.llm.queries import vocabulary
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,7 +40,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit integers)."""
-    return bpe_cuts.encode(docs, vocabulary(TOKENIZER))
+    return bpe_cuts.encode(docs, TOKENIZER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
