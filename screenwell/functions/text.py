@@ -11,6 +11,7 @@ without lower-casing to them; texts holding one skip the gates.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache, reduce
 
@@ -25,14 +26,89 @@ UNGATED = "_ungated"
 _ODD_LETTERS = ("ſ", "İ", "ı")
 _CLASSES = {"\\s": r"\s\x1c-\x1f", "\\w": r"\p{L}\p{N}_"}
 _ALONE = {"\\s": r"[\s\x1c-\x1f]", "\\S": r"[^\s\x1c-\x1f]", "\\w": r"[\p{L}\p{N}_]", "\\W": r"[^\p{L}\p{N}_]"}
-_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-_EDGE = rf"(?:{_NO_WORD_BEFORE}(?=[\p{{L}}\p{{N}}_])|(?<=[\p{{L}}\p{{N}}_]){_NO_WORD_AFTER})"
+_W = r"[a-zA-Z0-9_\p{L}\p{N}]"   # ASCII first, where most characters are settled
+_NO_WORD_BEFORE, _NO_WORD_AFTER = rf"(?<!{_W})", rf"(?!{_W})"
+_EDGE = rf"(?:(?={_W}){_NO_WORD_BEFORE}|(?<={_W}){_NO_WORD_AFTER})"
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _class_parts(inside: str) -> tuple[str, str]:
+    """Word and other members of a character class without its brackets."""
+    items = re.findall(r"\\.|.-[^\]]|.", inside, re.S)
+    word = [x for x in items if x in ("\\d", "\\w") or (x[0].isalnum() and x[-1].isalnum()) or x == "_"]
+    return "".join(word), "".join(x if x[0] == "\\" or x[0].isalnum() else "\\" + x for x in items if x not in word)
+
+
+def _starts(pattern: str, i: int) -> tuple[str, str, int, bool] | None:
+    """What a match of the atom at `i` may begin with: word characters and others (members of a class), the atom's end,
+    and whether it may be empty.  None where that is not plain to see."""
+    c = pattern[i:i + 1]
+    if c == "[":
+        end = pattern.find("]", i + 2) + 1
+        if pattern[i + 1] == "^" or not end or "[" in pattern[i + 1:end]:
+            return None
+        word, other = _class_parts(pattern[i + 1:end - 1])
+    elif c == "(":
+        if pattern[i + 1:i + 2] == "?" and pattern[i + 2:i + 3] != ":":
+            return None
+        at, word, other = i + (3 if pattern[i + 1:i + 2] == "?" else 1), "", ""
+        while True:
+            found = _sequence(pattern, at)
+            if not found:
+                return None
+            word, other, depth = word + found[0], other + found[1], 0
+            while depth or pattern[at] not in "|)":   # to the end of this alternative
+                if pattern[at] == "[":
+                    at = pattern.find("]", at + 2)
+                depth += (pattern[at] == "(") - (pattern[at] == ")")
+                at += 2 if pattern[at] == "\\" else 1
+            at += 1
+            if pattern[at - 1] == ")":
+                break
+        end = at
+    elif c == "\\":
+        end, two = i + 2, pattern[i:i + 2]
+        if two in ("\\d", "\\w"):
+            word, other = two, ""
+        elif two[1:].isalnum():
+            return None
+        else:
+            word, other = "", two
+    elif c.isalnum():
+        word, other, end = c, "", i + 1
+    else:
+        return None
+    return word, other, end, pattern[end:end + 1] in ("?", "*") or pattern.startswith(("{0,", "{0}"), end)
+
+
+def _sequence(pattern: str, i: int) -> tuple[str, str] | None:
+    """What a match of the pattern from `i` on may begin with, past atoms that may be empty."""
+    word = other = ""
+    while True:
+        found = _starts(pattern, i)
+        if not found:
+            return None
+        word, other = word + found[0], other + found[1]
+        if not found[3]:
+            return word, other
+        i = found[2] + 1
+        if pattern[i - 1] == "{":
+            return None
+
+
+def _edge_before(pattern: str, i: int) -> str:
+    """The boundary in front of position `i`: the next character is settled first, as it rules out most places."""
+    found = _sequence(pattern, i)
+    if not found:
+        return _EDGE
+    word, other = (re.sub(r"\\w", r"\\p{L}\\p{N}_", x) for x in found)
+    sides = ([f"(?=[{word}]){_NO_WORD_BEFORE}"] if word else []) + ([f"(?=[{other}])(?<={_W})"] if other else [])
+    return sides[0] if len(sides) == 1 else "(?:" + "|".join(sides) + ")"
+
+
 @lru_cache(maxsize=None)
 def java(pattern: str) -> str:
     """The pattern for Java: its white space lacks four separators, and its word characters include marks."""
@@ -48,8 +124,7 @@ def java(pattern: str) -> str:
         if two == "\\b" and not inside:
             before = pattern[i - 3:i - 2]
             literal = before.isalnum() and pattern[i - 4:i - 3] != "\\"
-            after = pattern[i:i + 1].isalnum()
-            out.append(_NO_WORD_AFTER if literal else _NO_WORD_BEFORE if after else _EDGE)
+            out.append(_NO_WORD_AFTER if literal else _edge_before(pattern, i))
         else:
             out.append((_CLASSES if inside else _ALONE).get(two, two))
     return DIALECT + "".join(out)
