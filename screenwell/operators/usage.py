@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
 from screenwell.functions import fields
+from screenwell.operators import partials
 
 PK = ("api_key_id", "endpoint", "date", "hour")
 
@@ -29,6 +30,12 @@ def merge_hourly(stored: DataFrame, new: DataFrame) -> DataFrame:
         F.sum(c).alias(c) for c in ("requests_count", "tokens_used", "cost_usd")])
 
 
+def upsert_hourly(path: str, new: DataFrame, batch: int, period: str = "yyyy-MM-dd") -> list[str]:
+    """Upsert a batch of hourly counters into the stored roll-up at `path`: only the periods of its dates are read and rewritten."""
+    counters = new.select(*PK, "requests_count", "tokens_used", "cost_usd")
+    return partials.merge(path, counters, PK, F.date_format("date", period), batch)
+
+
 def _totals(usage: DataFrame, *by: str) -> DataFrame:
     """Usage summed per key before any join, so a busy key crosses the shuffle as one row per task."""
     return usage.groupBy("api_key_id", *by).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
 from screenwell.functions import fields
-from screenwell.operators import admin, changes, policy, ratelimit, scan, stats, traces, usage
+from screenwell.operators import admin, changes, partials, policy, ratelimit, scan, stats, traces, usage
 from screenwell.plans import sqlkit as k
 from screenwell.plans.registry import query
 from screenwell.sources import corpus
@@ -96,11 +96,14 @@ def sink_audit(spark, d):
 
 @query("upsert_usage_hourly", k.with_(*HOURLY) + "SELECT api_key_id, endpoint, date, hour, requests_count, tokens_used, cost_usd::DOUBLE AS cost_usd FROM hourly")
 def upsert_usage_hourly(spark, d):
-    """Stored roll-up plus a later batch, merged."""
-    ev = corpus.usage_events(spark, d)
-    cut = F.col("date") < F.lit(dt.date(1999, 1, 1))
-    merged = usage.merge_hourly(usage.hourly(ev.filter(cut), F.col("requests")), usage.hourly(ev.filter(~cut), F.col("requests")))
-    return merged.withColumn("cost_usd", F.col("cost_usd").cast("double"))
+    """A stored roll-up by month, two later batches that share months with it, and the last of them again."""
+    ev, path = corpus.usage_events(spark, d), tb.scratch(spark, "usage-hourly")
+    late, last = F.col("date") >= F.lit(dt.date(1999, 1, 1)), F.col("date") >= F.lit(dt.date(2001, 6, 1))
+    odd = F.col("api_key_id") % 2 == 1
+    batches = [ev.filter(~late), ev.filter(late & ~(last & odd)), ev.filter(last & odd)]
+    for number, batch in enumerate([*batches, batches[-1]]):
+        usage.upsert_hourly(path, usage.hourly(batch, F.col("requests")), min(number, len(batches) - 1), "yyyy-MM")
+    return partials.read(spark, path).withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 _DEF = """w AS (SELECT o_custkey AS key, o_orderkey AS seq, ['redact', 'toxicity_threshold', 'use_analyzer'][CAST(o_orderkey % 3 AS INTEGER) + 1] AS name,

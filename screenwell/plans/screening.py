@@ -8,7 +8,7 @@ from screenwell import catalog as cat
 from screenwell.functions import exfil, injection, pii
 from screenwell.functions import policy as pf
 from screenwell.functions import text as tx
-from screenwell.operators import changes, conversation, evaluate, models, policy, scan, stats, toxicity
+from screenwell.operators import changes, conversation, evaluate, models, partials, policy, scan, stats, toxicity, usage
 from screenwell.plans import sqlkit as k
 from screenwell.plans.registry import query
 from screenwell.sources import corpus
@@ -358,19 +358,47 @@ def list_incidents(spark, d):
 ELSE 'open' END AS status FROM inc LEFT JOIN labels ON doc_id = content_id""")
 def incident_status(spark, d):
     """Incidents reviewed with the labels; a status nobody knows changes nothing."""
-    lab = tb.table(spark, d, "labels").select(
+    return changes.set_incident_status(_incidents(spark, d), _review(spark, d)).select("content_id", "threat_type", "status")
+
+
+def _review(spark, d):
+    return tb.table(spark, d, "labels").select(
         F.col("doc_id").alias("content_id"), F.lit(1).alias("seq"), F.when(F.col("toxic") == 1, F.lit("resolved"))
         .when(F.col("quality") == 0, F.lit("false_positive")).otherwise(F.lit("looks fine")).alias("status"))
-    return changes.set_incident_status(_incidents(spark, d), lab).select("content_id", "threat_type", "status")
 
 
-@query("security_stats", _ANA + """SELECT count(*) AS total_analyses, count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE) AS total_incidents,
+_REQUESTS = """(SELECT coalesce(sum(requests_count), 0)::BIGINT AS api_key_requests, count(DISTINCT id) FILTER (WHERE requests_count > 0) AS keys_used
+  FROM keys_t JOIN hourly ON id = api_key_id WHERE is_active AND endpoint = '{}') AS req"""
+_DAY = F.to_date(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(content_id % 500 as int))"))
+
+
+def _requests(spark, d, endpoint):
+    return stats.key_requests(corpus.api_keys(spark, d), usage.hourly(corpus.usage_events(spark, d), F.col("requests")), endpoint)
+
+
+@query("security_stats", _INC + ", " + ", ".join((k.KEYS, k.USAGE_EVENTS, k.HOURLY)) + """, own AS (
+SELECT count(*) AS own_analyses, count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE) AS total_incidents,
 count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE AND inj_hit) AS n_prompt_injection,
 count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE AND NOT inj_hit AND n_jb > 0) AS n_jailbreak,
 count(*) FILTER (WHERE risk_score >= 0.7::DOUBLE AND NOT inj_hit AND n_jb = 0) AS n_data_exfiltration,
-coalesce(round(avg(risk_score), 3), 0.0::DOUBLE) AS average_risk_score FROM ana""")
+coalesce(round(avg(risk_score), 3), 0.0::DOUBLE) AS average_risk_score FROM ana),
+op AS (SELECT count(*) AS open_incidents FROM inc LEFT JOIN labels ON doc_id = content_id
+  WHERE CASE WHEN toxic = 1 THEN 'resolved' WHEN quality = 0 THEN 'false_positive' ELSE 'open' END = 'open')
+SELECT own.*, open_incidents, req.*, own_analyses + api_key_requests AS total_analyses FROM own, op, """ + _REQUESTS.format("/security/analyze"))
 def security_stats(spark, d):
-    return stats.security_stats(scan.security_analyze(corpus.content(spark, d)))
+    """The row from partials that two batches of results and one of status changes have filled."""
+    path = tb.scratch(spark, "security-partials")
+    day = F.date_format("day", "yyyy-MM-dd")
+    for number in (0, 1):
+        done = scan.security_analyze(corpus.content(spark, d).filter(F.col("content_id") % 2 == number))
+        partials.merge(f"{path}/analyses", stats.analysis_partials(done, _DAY), ["day"], day, number)
+    found = tb.materialise(_incidents(spark, d).select("content_id", "threat_type", "status", "detected_at"), "incidents")
+    partials.merge(f"{path}/incidents", stats.incident_partials(found, F.to_date("detected_at")), ["day", "status"], day, 0)
+    reviewed = changes.set_incident_status(found, _review(spark, d))
+    moves = stats.status_partials(found, reviewed, "content_id", F.to_date("detected_at"))
+    partials.merge(f"{path}/incidents", moves, ["day", "status"], day, 1)
+    return stats.security_row(partials.read(spark, f"{path}/analyses"), partials.read(spark, f"{path}/incidents"),
+                              _requests(spark, d, "/security/analyze"))
 
 
 @query("threat_distribution", _INC + "SELECT threat_type, count(*) AS incidents, count(*) FILTER (WHERE status = 'open') AS open_incidents FROM inc GROUP BY 1")
@@ -398,10 +426,21 @@ def content_filter(spark, d):
         tx.content_hash("filtered_content").alias("filtered_hash"))
 
 
-@query("filter_stats", _FILT + "SELECT count(*) AS total_filtered, sum(n_pii)::BIGINT AS total_pii, count(*) FILTER (WHERE NOT is_safe) AS unsafe_count, " + ", ".join(
-    f"sum(len(list_filter(ents, lambda e: e.type = '{t}')))::BIGINT AS n_{t}" for t in cat.FILTER_PII_TYPES) + ", 0.0::DOUBLE AS average_toxicity FROM fil")
+@query("filter_stats", _FILT + ", " + ", ".join((k.KEYS, k.USAGE_EVENTS, k.HOURLY)) + """, own AS (
+SELECT count(*) AS own_filtered, sum(n_pii)::BIGINT AS total_pii,
+count(*) FILTER (WHERE NOT (is_safe AND coalesce(toxic, 0)::DOUBLE <= 0.7::DOUBLE)) AS unsafe_count, """ + ", ".join(
+    f"sum(len(list_filter(ents, lambda e: e.type = '{t}')))::BIGINT AS n_{t}" for t in cat.FILTER_PII_TYPES) + """,
+coalesce(round(avg(toxic), 3), 0.0::DOUBLE) AS average_toxicity FROM fil LEFT JOIN labels ON content_id = doc_id)
+SELECT own.*, req.*, own_filtered + api_key_requests AS total_filtered FROM own, """ + _REQUESTS.format("/filter"))
 def filter_stats(spark, d):
-    return stats.filter_stats(_filtered(spark, d))
+    """The row from partials that two batches of results have filled; toxicity as labelled, where it is."""
+    path = tb.scratch(spark, "filter-partials")
+    scores = tb.table(spark, d, "labels").select(F.col("doc_id").alias("content_id"), F.col("toxic").cast("double").alias("tox"))
+    for number in (0, 1):
+        df = corpus.content(spark, d).filter(F.col("content_id") % 2 == number).join(scores, "content_id", "left")
+        done = scan.content_filter(df, redact=F.col("content_id") % 2 == 0, toxicity=F.coalesce("tox", F.lit(0.0)))
+        partials.merge(path, stats.filter_partials(done, _DAY, F.col("tox").isNotNull()), ["day"], F.date_format("day", "yyyy-MM-dd"), number)
+    return stats.filter_row(partials.read(spark, path), _requests(spark, d, "/filter"))
 
 
 @query("filter_counters", _FILT + "SELECT redact, count(*) AS requests, count(*) FILTER (WHERE NOT is_safe) AS unsafe FROM fil GROUP BY 1")

@@ -10,6 +10,7 @@ from screenwell.plans import sqlkit as k
 from screenwell.plans.registry import query
 from screenwell.plans.relational import _ETYPE, _IP
 from screenwell.sources import corpus
+from screenwell.sources import tables as tb
 from screenwell.streaming import jobs
 
 
@@ -44,14 +45,17 @@ def stream_usage_tumbling(spark, d):
 
 
 @query("stream_trace_totals", k.with_(k.SPANS) + f"""SELECT trace_id, sum(coalesce(tokens_used, 0))::BIGINT AS total_tokens, round(sum({k.SPAN_COST}), 9) AS total_cost,
-sum(latency_ms) AS total_latency_ms FROM spans_t GROUP BY 1""")
+sum(latency_ms) AS total_latency_ms, count(*) AS spans, max(created_at) + INTERVAL 1 HOUR AS closed_at FROM spans_t GROUP BY 1
+HAVING max(created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM spans_t) - INTERVAL 10 MINUTE""")
 def stream_trace_totals(spark, d):
+    """Totals of the traces that the watermark has closed at the end of the table."""
     c = jobs.source(spark, d, "conversations")
     spans = c.select(F.col("conv_id").alias("trace_id"),
                      F.when(F.col("turn") % 5 != 4, F.size(F.split(F.trim("text"), " +"))).alias("tokens_used"),
                      F.element_at(F.array(*[F.lit(m) for m in corpus.MODELS]), (F.col("conv_id") % 5 + 1).cast("int")).alias("model"),
-                     F.char_length("text").cast("double").alias("latency_ms"))
-    return jobs.run_update(jobs.trace_totals(spans), ["trace_id"]).withColumn("total_cost", F.round("total_cost", 9))
+                     F.char_length("text").cast("double").alias("latency_ms"),
+                     F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id % 500 as int), cast(turn as int))").alias("created_at"))
+    return jobs.run_append(jobs.trace_totals(spans)).withColumn("total_cost", F.round("total_cost", 9))
 
 
 def _audit(spark, d):
@@ -82,11 +86,7 @@ def stream_audit(spark, d):
     return jobs.run_append(jobs.audit_stream(_audit(spark, d)))
 
 
-def _requests(spark, d):
-    return jobs.source(spark, d, "events").select(F.col("event_id").alias("id"), "ts", (F.col("user_id") % 5).alias("client"))
-
-
-_LIM = k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, false AS oauth FROM events)", k.limiter("a", "1", "3"))
+_LIM = k.with_("a AS (SELECT event_id AS id, user_id AS client, epoch_us(ts) AS us, false AS oauth FROM events)", k.limiter("a", "1", "3"))
 
 
 _PATHS = k.with_("a AS (SELECT event_id AS id, user_id % 5 AS client, epoch_us(ts) AS us, event_type = 'signup' AS oauth FROM events WHERE event_type <> 'error')",
@@ -101,8 +101,16 @@ def stream_rate_limit(spark, d):
     return jobs.run_append(jobs.rate_limit(requests, 1, 3, 1, 1, oauth="oauth"))
 
 
-@query("rate_state_ttl", _LIM + "SELECT client, admitted, count(*) AS n FROM dec GROUP BY ALL")
+@query("rate_state_ttl", _LIM + """, seen AS (SELECT client, max(us) AS latest FROM a GROUP BY 1), mark AS (SELECT max(us) // 1000 - 600000 AS ms FROM a)
+SELECT CAST(client AS VARCHAR) AS client, count(*) AS held_before, latest // 1000 + 3600000 < any_value(ms) AS purged,
+  CASE WHEN latest // 1000 + 3600000 < any_value(ms) THEN 0 ELSE count(*) END AS held_after
+FROM dec JOIN a USING (id, client) JOIN seen USING (client), mark WHERE admitted AND us > latest - 4200000000 GROUP BY client, latest""")
 def rate_state_ttl(spark, d):
-    """Decisions per client over weeks of traffic, while state holds one hour only."""
-    out = jobs.run_append(jobs.rate_limit(_requests(spark, d), 1, 3))
-    return out.groupBy("client", "admitted").agg(F.count("*").alias("n"))
+    """State rows of each client after the requests were decided, and after the watermark has passed an idle hour."""
+    requests = jobs.source(spark, d, "events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("client"))
+    root = tb.scratch(spark, "limiter")
+    jobs.run_append(jobs.rate_limit(requests, 1, 3), root)
+    before = jobs.limiter_state(spark, f"{root}/check", 0).withColumnRenamed("held", "held_before")
+    after = jobs.limiter_state(spark, f"{root}/check", jobs.last_batch(spark, f"{root}/check")).withColumnRenamed("held", "held_after")
+    return before.join(after, "client", "left").select(
+        "client", "held_before", F.coalesce("held_after", F.lit(0)).alias("held_after"), F.col("held_after").isNull().alias("purged"))

@@ -6,12 +6,14 @@ a ten-minute watermark; later rows are dropped by the windowed jobs.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from screenwell import catalog as cat
 from screenwell.functions import fields
@@ -19,6 +21,9 @@ from screenwell.operators import ratelimit, scan, usage
 from screenwell.sources import tables as tb
 
 WATERMARK = "10 minutes"
+DELAY_US = 600_000_000
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,12 +52,18 @@ def usage_tumbling(events: DataFrame, ts: str = "ts") -> DataFrame:
                     "requests_count", "tokens_used"))
 
 
-def trace_totals(spans: DataFrame) -> DataFrame:
-    """Running totals per trace."""
-    return spans.groupBy("trace_id").agg(
-        F.sum(F.coalesce("tokens_used", F.lit(0))).alias("total_tokens"),
-        F.sum(usage.span_cost(F.col("tokens_used"), F.col("model"))).alias("total_cost"),
-        F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("total_latency_ms"))
+def trace_totals(spans: DataFrame, ts: str = "created_at", idle: str = "1 hour") -> DataFrame:
+    """Final totals of every trace, once it has been idle for so long.
+
+    Spans are gathered in session windows, so state holds the traces that are still open and nothing of those
+    closed by the watermark.  A trace that goes on after that is another row.
+    """
+    return (event_time(spans, ts).groupBy("trace_id", F.session_window(ts, idle))
+            .agg(F.sum(F.coalesce("tokens_used", F.lit(0))).alias("total_tokens"),
+                 F.sum(usage.span_cost(F.col("tokens_used"), F.col("model"))).alias("total_cost"),
+                 F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("total_latency_ms"), F.count("*").alias("spans"))
+            .select("trace_id", "total_tokens", "total_cost", "total_latency_ms", "spans",
+                    F.col("session_window.end").cast("timestamp_ntz").alias("closed_at")))
 
 
 def admin_24h(audit: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -74,61 +85,109 @@ def audit_stream(requests: DataFrame) -> DataFrame:
         fields.event_type(F.col("status_code")).alias("event_type"))
 
 
+class _Admissions(StatefulProcessor):
+    """One client's admitted times, in order, as list state; a timer clears them once no later request can count them.
+
+    A request is tried at its own time against the admissions of the minute and hour before it, so one that comes late (but
+    not below the watermark, where it is dropped) is judged as if it had come in time, but for what was decided since.
+    """
+
+    def __init__(self, limits: dict[bool, tuple[int, int]], columns: dict[str, str], apart: bool) -> None:
+        self.limits, self.columns, self.apart = limits, columns, apart
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.admitted = handle.getListState("admitted", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        minute, hour = self.limits[bool(self.apart and key[1])]
+        times = [t for t, in self.admitted.get()]
+        batch = pd.concat(list(rows)).sort_values(["us", "request"])
+        decided = []
+        for now in batch["us"].tolist():
+            end = bisect_right(times, now)
+            used, used_hour = end - bisect_right(times, now - ratelimit.MINUTE, 0, end), end - bisect_right(times, now - ratelimit.HOUR, 0, end)
+            if used < minute and used_hour < hour:
+                times.insert(end, now)
+                decided.append((True, None, minute - used - 1, hour - used_hour - 1))
+            else:
+                decided.append((False, 60 if used >= minute else 3600, None, None))
+        latest = max(int(batch["us"].iloc[-1]), times[-1] if times else 0)
+        # Later batches hold nothing older than the watermark's delay before this.
+        times = times[bisect_right(times, latest - ratelimit.HOUR - DELAY_US):]
+        if times:
+            self.admitted.put([(t,) for t in times])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(latest // 1000 + 3_600_000, timerValues.getCurrentWatermarkInMs() + 1))
+        admitted, *counts = zip(*decided)
+        out = {name: batch[c].to_numpy() for name, c in self.columns.items()}
+        yield pd.DataFrame({**out, "admitted": admitted} | {
+            name: pd.array(c, dtype="Int32") for name, c in zip(("retry_after", "remaining_minute", "remaining_hour"), counts)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.admitted.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def rate_limit(requests: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_hour: int = cat.RATE_PER_HOUR,
                oauth_per_minute: int = cat.OAUTH_PER_MINUTE, oauth_per_hour: int = cat.OAUTH_PER_HOUR,
                client: str = "client", ts: str = "ts", id_: str = "id", oauth: str | None = None) -> DataFrame:
     """Online decisions with per-client state; with `oauth` (a boolean column) two counters per client.
 
-    State is the admitted times of the last hour, at most the hourly limit; an
-    idle client's state times out an hour after its last request.  A client's
-    requests of one micro-batch are put in time order first, so what a task
-    holds is bounded by the trigger's size (`maxFilesPerTrigger` and the like).
+    State is the admitted times of the last hour and the watermark's delay, bounded by the limits; an event-time timer
+    removes it an hour after a client's last request.  A client's requests of one micro-batch are put in time order
+    first, so what a task holds is bounded by the trigger's size (`maxFilesPerTrigger` and the like).  Requests without a
+    client share one allowance, as in batch.  Needs the RocksDB state store (`with_rocksdb`).
     """
-    state_schema = "times array<bigint>"
     kinds = dict(requests.dtypes)
-    key = [client] if oauth is None else [client, oauth]
-    out_schema = ", ".join(f"{c} {kinds[c]}" for c in (*key, id_)) + (
+    columns = {client: "client", **({oauth: "oauth"} if oauth else {}), id_: "request"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + (
         ", admitted boolean, retry_after int, remaining_minute int, remaining_hour int")
+    rows = event_time(requests, ts).select(
+        F.col(ts).alias("at"), F.unix_micros(ts).alias("us"), *[F.col(c).alias(name) for c, name in columns.items()],
+        F.coalesce(F.col(client).cast("string"), F.lit("unknown")).alias("who"))
+    limits = {False: (per_minute, per_hour), True: (oauth_per_minute, oauth_per_hour)}
+    return rows.groupBy("who", *(["oauth"] if oauth else [])).transformWithStateInPandas(
+        _Admissions(limits, columns, bool(oauth)), schema, "append", "EventTime")
+
+
+def limiter_state(spark: SparkSession, checkpoint: str, batch: int) -> DataFrame:
+    """(client, held): the admitted times that a limiter's state held after a micro-batch, read by Spark's state source."""
+    rows = (spark.read.format("statestore").option("stateVarName", "admitted").option("batchId", batch)
+            .option("flattenCollectionTypes", True).load(checkpoint))
+    return rows.groupBy(F.col("key.who").alias("client")).agg(F.count("*").alias("held"))
 
-    def step(values, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        minute, hour = (oauth_per_minute, oauth_per_hour) if oauth and values[1] else (per_minute, per_hour)
-        lim = ratelimit.Limiter(minute, hour)
-        if state.exists:
-            for t in state.get[0]:
-                lim.hour_q.append((t, 1))
-                lim.n_hour += 1
-                lim.minute_q.append((t, 1))
-                lim.n_minute += 1
-        rows = pd.concat([pdf[["_us", id_]] for pdf in batches]).sort_values(["_us", id_])
-        decided = []
-        for now in rows["_us"]:
-            k, used, used_hour = lim.attempt(int(now))
-            decided.append((True, None, minute - used - 1, hour - used_hour - 1) if k else
-                           (False, 60 if used >= minute else 3600, None, None))
-        admitted, *counts = zip(*decided)
-        yield pd.DataFrame({**dict(zip(key, values)), id_: rows[id_].to_numpy(), "admitted": admitted} | {
-            name: pd.array(c, dtype="Int32") for name, c in zip(("retry_after", "remaining_minute", "remaining_hour"), counts)})
-        latest = int(rows["_us"].iloc[-1])
-        state.update(([t for t, k in lim.hour_q for _ in range(k)],))
-        state.setTimeoutTimestamp(max(latest // 1000 + 3_600_000, state.getCurrentWatermarkMs() + 1))
 
-    timed = event_time(requests, ts).withColumn("_us", F.unix_micros(ts))
-    return timed.groupBy(*key).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+def last_batch(spark: SparkSession, checkpoint: str) -> int:
+    """Number of the last micro-batch that the state of a job knows."""
+    return spark.read.format("state-metadata").load(checkpoint).agg(F.max("maxBatchId")).first()[0]
 
 
 # -- running a job to its end ----------------------------------------------------
 
 
+@contextmanager
+def with_rocksdb(spark: SparkSession):
+    """The state store that timers and list state need, for the jobs started inside."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
+
+
 def run_append(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a stream over what is there now into files and read them back."""
     spark = df.sparkSession
     out = folder or tb.scratch(spark, "stream")
-    df.writeStream.format("parquet").option("path", f"{out}/data").option(
-        "checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
+    with with_rocksdb(spark):
+        df.writeStream.format("parquet").option("path", f"{out}/data").option(
+            "checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/data")
 
 

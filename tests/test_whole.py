@@ -74,8 +74,8 @@ def test_every_type_is_counted(spark):
     spans = F.array(*[F.struct(F.lit(t).alias("type"), F.lit("x").alias("value"), F.lit(i).alias("start"), F.lit(i + 1).alias("end"),
                                F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("label"))
                       for i, t in enumerate(cat.FILTER_PII_TYPES)]).cast(sp.SPANS)
-    row = stats.filter_stats(scan.content_filter(df, model_spans=spans)).first()
-    assert row.total_pii == len(cat.FILTER_PII_TYPES) and all(row[f"n_{t}"] == 1 for t in cat.FILTER_PII_TYPES)
+    row = stats.filter_partials(scan.content_filter(df, model_spans=spans), F.current_date(), F.lit(True)).first()
+    assert row.pii == len(cat.FILTER_PII_TYPES) and all(row[f"n_{t}"] == 1 for t in cat.FILTER_PII_TYPES)
 
 
 def test_clients_without_a_name_share_one_allowance(spark):
