@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.errors import PySparkException
@@ -12,6 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
+from screenwell.functions import linear
 from screenwell.functions import spans as sp
 from screenwell.functions import text as tx
 
@@ -64,28 +64,20 @@ def valid_patterns(custom: Mapping[str, str] | None) -> dict[str, str]:
     return good
 
 
-@lru_cache(maxsize=4096)
-def _compiled(pattern: str) -> re.Pattern | None:
-    try:
-        return re.compile(pattern)
-    except re.error:
-        return None
-
-
 def custom_spans(text: Column | str, patterns: Column | str) -> Column:
     """Spans of each row's own patterns (a map of names to patterns; null and what does not compile count as none).
 
     The patterns are data, so they run where they compile: in one Arrow function over
-    batches, each pattern compiled once per worker.
+    batches, each pattern compiled once per worker, in time that is bounded by the text's length (`linear`).
     """
     @F.pandas_udf(sp.SPANS)
     def run(texts: pd.Series, maps: pd.Series) -> pd.Series:
         def spans(t, own):
             pairs = own.items() if isinstance(own, dict) else own or ()
-            return [{"type": cat.CUSTOM_PII_TYPE, "value": m.group(), "start": m.start(), "end": m.end(),
+            return [{"type": cat.CUSTOM_PII_TYPE, "value": t[a:b], "start": a, "end": b,
                      "confidence": cat.CUSTOM_PII_CONFIDENCE, "label": name}
-                    for name, pattern in pairs if t and pattern and (rx := _compiled(pattern))
-                    for m in rx.finditer(t) if m.group()]
+                    for name, pattern in pairs if t and pattern and (rx := linear.compiled(pattern))
+                    for a, b in rx.spans(t)]
 
         return pd.Series([spans(t, own) for t, own in zip(texts, maps)], index=texts.index, dtype=object)
 
