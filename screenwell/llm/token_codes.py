@@ -20,9 +20,11 @@ that gives no rows.  Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenwell.llm.chunks import Known
-from screenwell.llm.common import sliced
+from screenwell.llm.common import sliced, tokenizer_file
 
 BITS = 8
 BLOCK = 512
@@ -128,32 +130,53 @@ class Codes:
 # -- ids of texts -----------------------------------------------------------------------
 
 
-#: Latin letters (but the one whose lower case takes a mark), then stops.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]+)\\Z")
+#: Latin letters (but the one whose lower case takes a mark), then a run of ASCII signs or none: not the apostrophe, which may
+#: begin an ending of its own, nor those of special tokens.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=?@[-`{}~]*)\\Z")
+#: The rule by which a word of letters is one pre-token, lower-cased and then read as bytes.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder:
     """The tokenizers library over pieces between blanks, which its rules drop and never match across.
 
-    Pieces repeat, and the words in them (a word and the stops behind it are encoded alone, too) repeat more.  So
-    both are kept for a while, and the library sees a batch's new words at once.
+    Pieces repeat, so they are kept for a while, and the library sees a batch's new ones at once.  Where the file's rule
+    is the one above, a word of letters goes to the library's merges alone, apart from the stops behind it.
     """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
+        from screenwell.llm.bpe_cuts import byte_letters
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # the task's cores are Spark's to share out
+        path = tokenizer_file(path)
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        rules = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        plain = (spec["model"]["type"] == "BPE" and normal == _NORMAL and [r["type"] for r in rules] == ["Split", "ByteLevel"]
+                 and rules[0]["pattern"] == {"Regex": _SPLIT} and not rules[1]["add_prefix_space"] and not rules[1]["use_regex"])
+        self.merges, self.letter = self.tokenizer.model if plain else None, byte_letters()
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if len(self._encode(["a  b\nc"])[0]) > len(self._encode(["a b c"])[0]) or self._encode([" "]) != [b""]:
             raise ValueError(f"{path} keeps white space in its tokens")
-        self.words, self.pieces = Known(most), Known(most // 2)
+        self.pieces, self.stops = Known(most // 2), {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in batch]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of letters."""
+        letters = word.lower()
+        if not word.isascii():
+            letters = "".join([self.letter[b] for b in letters.encode()])
+        return array("I", [t.id for t in self.merges.tokenize(letters)]).tobytes()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
         cut = []
@@ -161,15 +184,19 @@ class Encoder:
             if text and text.isascii() and "<" not in text:   # the file lower-cases, but not special tokens
                 text = text.lower()
             cut.append(text.replace("\n", " ").split(" ") if text else [])
-        fresh = {}
-        for piece in self.pieces.missing(set().union(*cut)):
-            plain = _PLAIN.match(piece)
-            fresh[piece] = plain.groups() if plain else (piece,)
-        new = list(self.words.missing({w for parts in fresh.values() for w in parts}))
-        self.words.update(zip(new, self._encode(new)))
-        word = self.words.__getitem__
-        self.pieces.update((piece, b"".join(map(word, parts)) if len(parts) > 1 else word(parts[0]))
-                           for piece, parts in fresh.items())
+        others, known, merge, ends, plain = [], self.pieces, self._word, self.stops, _PLAIN.match
+        for piece in known.missing(set().union(*cut)):
+            found = plain(piece) if self.merges else None
+            if not found:
+                others.append(piece)
+                continue
+            word, stops = found.groups()
+            if stops and stops not in ends:
+                if len(ends) > 10_000:
+                    ends.clear()
+                ends[stops], = self._encode([stops])
+            known[piece] = merge(word) + ends[stops] if stops else merge(word)
+        known.update(zip(others, self._encode(others)))
         of = self.pieces.__getitem__
         return [b"".join(map(of, pieces)) for pieces in cut]
 
