@@ -294,9 +294,10 @@ def search(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
         {f.name: none.cast(f.dataType) for f in _STATE})
     floors = None
     for i in range(len(owners) + 1):
-        known = rest if floors is None else rest.join(floors, "bundle", "left")
         if floors is None:
-            known = known.withColumn("floors", F.lit(None).cast("map<int,bigint>"))
+            known = rest.withColumn("floors", F.lit(None).cast("map<int,bigint>"))
+        else:   # a written table of a row for each bundle, whose size Spark knows before it plans the join
+            known = written(rest.join(floors, "bundle", "left"), "known")
         own = lists.join(terms.filter(F.col("owner") == i), "term").select(
             F.col("bundle").alias("of_bundle"), F.col("shard").alias("of_shard"), "places", "counts", "weight", "whose", "repeats")
         state = written(stage(state.drop("best").join(known, "bundle"), own, i, i == len(owners), n_docs, n_terms, bundle, k), "visited")
