@@ -43,6 +43,11 @@ def param_names(url: Column) -> Column:
         F.substring_index(p, "=", 1), "%(?![0-9a-fA-F]{2})", "%25")))
 
 
+def bare_host(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":[0-9]*$", "")
+
+
 def is_trusted(host: Column, trusted: Sequence[str] = cat.TRUSTED_DOMAINS, match: str = "contains") -> Column:
     """Host on the allow list.
 
@@ -51,7 +56,7 @@ def is_trusted(host: Column, trusted: Sequence[str] = cat.TRUSTED_DOMAINS, match
     """
     if match == "contains":
         return tx.any_of(host.contains(d) for d in trusted)
-    bare = F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), ":[0-9]*$", "")
+    bare = bare_host(host)
     return tx.any_of((bare == d) | bare.endswith("." + d) for d in trusted)
 
 
@@ -83,6 +88,17 @@ def score(df: DataFrame, text: str = "content", pii_tier: str = "none",
     it out because an address inside an e-mail command would otherwise always
     push a targeted command to the critical band.
     """
+    scored = combined(counted(df, text, pii_tier, model_spans, trusted))
+    return scored if keep_counts else without_counts(scored)
+
+
+def without_counts(scored: DataFrame) -> DataFrame:
+    return scored.drop(*_S_NAMES, *_X_NAMES, "n_pii_tier", "url_info", tx.LOWER, tx.UNGATED)
+
+
+def counted(df: DataFrame, text: str = "content", pii_tier: str = "none", model_spans: Column | None = None,
+            trusted: Sequence[str] = cat.TRUSTED_DOMAINS) -> DataFrame:
+    """What the score is made of: match counts, URLs, and how many of these are untrusted and carry parameters."""
     gated = tx.with_gates(df, text)
     extra = F.lit(0)
     if pii_tier == "regex":
@@ -91,29 +107,33 @@ def score(df: DataFrame, text: str = "content", pii_tier: str = "none",
         extra = F.size(model_spans) if model_spans is not None else F.lit(0)
     elif pii_tier != "none":
         raise ValueError(f"unknown pii_tier {pii_tier!r}")
-    counted = tx.pin(
+    pinned = tx.pin(
         gated, *sensitive_counts(text), *indicator_counts(text), extra.alias("n_pii_tier"),
         F.transform(urls(text), lambda u: analyze_url(u, trusted)).alias("url_info"))
-    s_names = [f"s_{p.name}" for p in cat.SENSITIVE]
-    x_names = [f"x_{p.name}" for p in cat.EXFILTRATION]
+    return pinned.withColumn("n_urls", F.size("url_info")).withColumn("n_untrusted_param_urls", F.size(F.filter(
+        "url_info", lambda u: ~u["is_trusted"] & u["has_parameters"])))
+
+
+_S_NAMES = [f"s_{p.name}" for p in cat.SENSITIVE]
+_X_NAMES = [f"x_{p.name}" for p in cat.EXFILTRATION]
+
+
+def combined(counts: DataFrame) -> DataFrame:
+    """The score of what `counted` has found."""
     tier = F.when(F.col("n_pii_tier") > 0, F.lit(cat.MODEL_PII_SEVERITY)).otherwise(F.lit(0.0))
-    scored = (counted
-              .withColumn("n_sensitive", F.expr(" + ".join([*s_names, "n_pii_tier"])))
-              .withColumn("n_indicators", F.expr(" + ".join(x_names)))
-              .withColumn("n_urls", F.size("url_info"))
-              .withColumn("n_untrusted_param_urls", F.size(F.filter(
-                  "url_info", lambda u: ~u["is_trusted"] & u["has_parameters"])))
-              .withColumn("_base", F.greatest(tx.worst_weight("s_", cat.SENSITIVE), tx.worst_weight("x_", cat.EXFILTRATION), tier))
-              .withColumn("_both", F.when(
+    return (counts
+            .withColumn("n_sensitive", F.expr(" + ".join([*_S_NAMES, "n_pii_tier"])))
+            .withColumn("n_indicators", F.expr(" + ".join(_X_NAMES)))
+            .withColumn("_base", F.greatest(tx.worst_weight("s_", cat.SENSITIVE), tx.worst_weight("x_", cat.EXFILTRATION), tier))
+            .withColumn("_both", F.when(
                   (F.col("n_sensitive") > 0) & (F.col("n_indicators") > 0),
                   F.least(F.col("_base") * F.lit(1.3), F.lit(1.0))).otherwise(F.col("_base")))
-              .withColumn("risk_score", F.when(
+            .withColumn("risk_score", F.when(
                   F.col("n_untrusted_param_urls") > 0,
                   F.greatest("_both", F.lit(cat.UNTRUSTED_URL_FLOOR))).otherwise(F.col("_both")))
-              .withColumn("has_risk", F.col("risk_score") >= F.lit(0.6))
-              .withColumn("recommendation", tx.ladder(F.col("risk_score"), cat.REC_EXFIL))
-              .drop("_base", "_both"))
-    return scored if keep_counts else scored.drop(*s_names, *x_names, "n_pii_tier", "url_info", tx.LOWER, tx.UNGATED)
+            .withColumn("has_risk", F.col("risk_score") >= F.lit(0.6))
+            .withColumn("recommendation", tx.ladder(F.col("risk_score"), cat.REC_EXFIL))
+            .drop("_base", "_both"))
 
 
 def sensitive_previews(text: str, p: cat.Pattern, when: Column) -> Column:

@@ -54,6 +54,11 @@ def flag(context: Column | str, key: str) -> Column:
     return F.coalesce(tx.col(context)[key], F.lit(False))
 
 
+#: All conditions that `conditions` knows.
+NAMES = ("contains_pii", "contains_phi", "contains_card_data", "contains_cvv", "unencrypted_pan", "audit_log_required", "encryption_required",
+         "data_retention_exceeded", "unauthorized_access", "data_sale_opt_out", "right_to_delete", "profanity")
+
+
 def conditions(text: str = "content", context: Column | str | None = None, pii_mode: str = "rules",
                entities: Column | None = None) -> dict[str, Column]:
     """Every known condition as a boolean column (needs `with_gates`)."""
@@ -76,7 +81,7 @@ def conditions(text: str = "content", context: Column | str | None = None, pii_m
 
 def holding(conds: dict[str, Column]) -> Column:
     """Names of the conditions that hold."""
-    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in conds.items()]))
+    return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in conds.items()]).cast("array<string>"))
 
 
 def ranked_rules(rules: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenwell import catalog as cat
+from screenwell.sources import tables as tb
 from screenwell.functions import fields
 
 
@@ -99,29 +100,43 @@ def histogram(df: DataFrame, value: Column, bounds=cat.LATENCY_BUCKETS) -> DataF
     return counts.select(F.inline(F.array(*rows)))
 
 
-def exact_median(df: DataFrame, by: str, value: str, width: float = 10.0) -> DataFrame:
-    """Exact median per group, with no group held in one place.
+def exact_median(df: DataFrame, by: str, value: str, most: int = 20_000, ways: int = 64) -> DataFrame:
+    """Exact median per group by selection, with no group held in one place.
 
-    Values are counted first.  Running counts over coarse buckets of the value
-    tell which bucket holds a middle rank, and only the distinct values of such
-    buckets are ranked (latencies are stored with two decimals, so those are few).
+    Values are counted first.  While a group has more than `most` distinct values, splitters of about equal shares are taken
+    from a sketch, the values between two splitters counted, and only the range that holds a middle rank
+    is kept; the ranks before it are carried along.  What is left is ranked.
     """
-    fine = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")).withColumn(
-        "_b", F.floor(F.col(value) / F.lit(width)))
-    w = Window.partitionBy(by).orderBy("_b")
-    coarse = (fine.groupBy(by, "_b").agg(F.sum("n").alias("nb"))
-              .withColumn("_before", F.sum("nb").over(w) - F.col("nb"))
-              .withColumn("_total", F.sum("nb").over(Window.partitionBy(by))))
-    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    middle = coarse.filter((hi >= F.col("_before")) & (lo < F.col("_before") + F.col("nb")))
-    inner = Window.partitionBy(by, "_b").orderBy(value)
-    ranked = (fine.join(middle, [by, "_b"]).withColumn("_end", F.col("_before") + F.sum("n").over(inner))
-              .withColumn("_start", F.col("_end") - F.col("n")))
+    rows = tb.materialise(df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n")), "median")
+    goal = rows.groupBy(by).agg(F.sum("n").alias("_t")).select(
+        F.col(by).alias("_g"), F.floor((F.col("_t") - 1) / 2).alias("_lo"), F.floor(F.col("_t") / 2).alias("_hi"), F.lit(0).cast("long").alias("_before"))
+    goal = tb.materialise(goal, "median")
+    cuts = [i / ways for i in range(1, ways)]
+    while (rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0) > max(most, 2):     # two values may be the middle ones
+        marks = rows.groupBy(by).agg(F.percentile_approx(value, cuts, 10_000).alias("_marks"))
+        placed = _of_group(rows, marks, by).withColumn(
+            "_range", F.size(F.filter("_marks", lambda m: m < F.col(value)))).drop("_marks")
+        order = Window.partitionBy("_g").orderBy("_range")     # a row for each range
+        sizes = _of_group(placed.groupBy(by, "_range").agg(F.sum("n").alias("_n")).withColumnRenamed(by, "_g"), goal, "_g").withColumn(
+            "_first", F.col("_before") + F.sum("_n").over(order) - F.col("_n"))
+        kept = tb.materialise(sizes.filter((F.col("_hi") >= F.col("_first")) & (F.col("_lo") < F.col("_first") + F.col("_n"))), "median")
+        goal = kept.groupBy("_g").agg(F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi"), F.min("_first").alias("_before"))
+        rows = tb.materialise(placed.join(kept.select("_g", F.col("_range").alias("_r")), placed[by].eqNullSafe(F.col("_g")) & (
+            F.col("_range") == F.col("_r")), "left_semi").drop("_range"), "median")
+    inner = Window.partitionBy(by).orderBy(value)
+    ranked = _of_group(rows, goal.withColumnRenamed("_g", by), by).withColumn("_end", F.col("_before") + F.sum("n").over(inner)).withColumn(
+        "_start", F.col("_end") - F.col("n"))
 
     def at(rank):
-        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_end")), F.col(value)))
+        return F.max(F.when((F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end")), F.col(value)))
 
-    return ranked.groupBy(by).agg(((at(lo) + at(hi)) / 2).alias("median_ms"))
+    return ranked.groupBy(by).agg(((at("_lo") + at("_hi")) / 2).alias("median_ms"))
+
+
+def _of_group(rows: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """Rows with the columns of their group, also where that is null."""
+    other = groups.withColumnRenamed(by, "_by")
+    return rows.join(other, rows[by].eqNullSafe(F.col("_by"))).drop("_by")
 
 
 def latency_summary(df: DataFrame, by: str, latency: str, processing: Column, ok: Column) -> DataFrame:

@@ -10,9 +10,14 @@ from screenwell.functions import exfil
 from screenwell.operators import scan
 
 
-def input_risk(turns: DataFrame, block_at: float = cat.GUARD_BLOCK) -> DataFrame:
-    """Highest injection risk over a conversation's user turns."""
-    user = scan.injection_scan(turns.filter(F.col("role") == "user").select("conv_id", "text"), "text")
+#: Turns of a block in the running maximum of `guard`.
+BLOCK = 1024
+
+
+def input_risk(turns: DataFrame, block_at: float = cat.GUARD_BLOCK, model: scan.Model | None = None) -> DataFrame:
+    """Highest injection risk over a conversation's user turns, by the regexes or with a model's verdict."""
+    user = scan.with_model(scan.injection_scan(turns.filter(F.col("role") == "user").select("conv_id", "text"), "text"),
+                           F.col("text"), model)
     risk = F.coalesce(F.max(F.when(F.col("is_injection"), F.col("risk_score"))), F.lit(0.0))
     return (user.groupBy("conv_id")
             .agg(risk.alias("input_risk"), F.count_if("is_injection").alias("n_issues"))
@@ -29,17 +34,15 @@ def guard(turns: DataFrame, block_at: float = cat.GUARD_BLOCK, model: scan.Model
     """Verdict on every assistant turn.
 
     A response is dropped when a user turn before it reaches the block level or on
-    its own BLOCK, and redacted on REDACT.  Of the user turns only the first of each
-    risk value goes on, so a long conversation is not gathered.
+    its own BLOCK, and redacted on REDACT.  The risk so far is a running maximum in two levels, so a
+    long conversation is not gathered.
     """
     user = scan.with_model(scan.injection_scan(
         turns.filter(F.col("role") == "user").select("conv_id", "turn", "text"), "text"), F.col("text"), model)
-    firsts = user.filter("is_injection").groupBy("conv_id", "risk_score").agg(F.min("turn").alias("from_turn"))
-    levels = firsts.groupBy("conv_id").agg(F.collect_list(F.struct("from_turn", "risk_score")).alias("levels"))
     answers = exfil.score(turns.filter(F.col("role") == "assistant").select("conv_id", "turn", "text"), "text")
-    before = F.filter("levels", lambda x: x["from_turn"] < F.col("turn"))
-    risk = F.coalesce(F.array_max(F.transform(before, lambda x: x["risk_score"])), F.lit(0.0))
-    joined = answers.join(levels, "conv_id", "left").withColumn("input_risk", risk)
+    so_far = _risk_before(user.filter("is_injection").select("conv_id", "turn", "risk_score"), answers.select("conv_id", "turn"))
+    same = answers["conv_id"].eqNullSafe(so_far["conv_id"]) & answers["turn"].eqNullSafe(so_far["turn"])
+    joined = answers.join(so_far.withColumnRenamed("risk_score", "input_risk"), same, "left").drop(so_far["conv_id"], so_far["turn"])
     blocked_in = F.col("input_risk") >= F.lit(block_at)
     redacts = F.col("has_risk") & (F.col("recommendation") == "REDACT")
     blocked_out = F.col("has_risk") & (F.col("recommendation") == "BLOCK")
@@ -53,6 +56,22 @@ def guard(turns: DataFrame, block_at: float = cat.GUARD_BLOCK, model: scan.Model
         .when(redacts, exfil.redact_sensitive("text")).otherwise(F.col("text")).alias("response"))
 
 
+def _risk_before(risks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Highest risk before each asked turn of its conversation, 0 where there is none.
+
+    Turns are cut into blocks of `BLOCK`: a window over the blocks' maxima (one row a block), and one inside each block.
+    """
+    points = risks.unionByName(asked.withColumn("risk_score", F.lit(None).cast("double"))).groupBy("conv_id", "turn").agg(
+        F.max("risk_score").alias("risk")).withColumn("_block", F.floor(F.col("turn") / BLOCK))
+    earlier = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("conv_id", "_block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = points.filter("turn is not null").groupBy("conv_id", "_block").agg(F.max("risk").alias("_top")).select(
+        F.col("conv_id").alias("_c"), F.col("_block").alias("_b"), F.max("_top").over(earlier).alias("_top"))
+    ranked = points.withColumn("_in", F.max("risk").over(inside))
+    return ranked.join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")), "left").select(
+        "conv_id", "turn", F.coalesce(F.greatest("_in", "_top"), F.lit(0.0)).alias("risk_score"))
+
+
 def history(turns: DataFrame) -> DataFrame:
     """Conversations as ordered turns; a range sort, so a very long one spreads over tasks."""
     return turns.orderBy("conv_id", "turn")

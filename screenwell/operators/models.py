@@ -130,11 +130,14 @@ def _merged(df: DataFrame, key: str) -> DataFrame:
 
 
 def injection_batch(df: DataFrame, load: Callable[[], Scorer], text: str = "content", key: str = "content_id",
-                    threshold: float = cat.CASCADE_THRESHOLD) -> DataFrame:
-    """Cascade: the model sees only texts the regexes score at or above the threshold, and all of each, in chunks."""
+                    threshold: float = cat.CASCADE_THRESHOLD, batch: int | None = None) -> DataFrame:
+    """Cascade: the model sees only texts the regexes score at or above the threshold, and all of each, in chunks.
+
+    The chunks of a whole Arrow batch go to the model at once, or `batch` at a time where its memory needs that.
+    """
     regex = scan.injection_scan(df.select(key, text), text)
     suspicious = F.col("risk_score") >= F.lit(threshold)
-    p = worst_chunk(load, batch=8)(F.when(suspicious, F.col(text)))["p"]
+    p = worst_chunk(load, batch)(F.when(suspicious, F.col(text)))["p"]
     out = regex.select(key, F.col("risk_score").alias("regex_score"), "is_injection", "recommendation", p.alias("model_score"))
     used = F.col("model_score").isNotNull()
     combined = hybrid_merge(F.col("model_score"), F.col("regex_score"))
@@ -153,18 +156,18 @@ def chunk_words(df: DataFrame, key: str, text: str, size: int = cat.WORD_CHUNK_S
                 overlap: int = cat.WORD_CHUNK_OVERLAP) -> DataFrame:
     """Chunks cut at the last space before `size` characters, with offsets.
 
-    The cut of each chunk depends on the one before, hence a small Python loop
-    per text.  Every step moves forward even where a space falls inside the
-    overlap.
+    The cut of each chunk depends on the one before, so a table function yields the chunks of a text, joined to its
+    row laterally.  Every step moves forward even where a space falls inside the overlap.
     """
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, n, off, part) for k, t in zip(pdf[key], pdf[text]) if t is not None
-                    for n, (off, part) in enumerate(split_words(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "offset", "chunk"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(cut, f"{key} {kind}, chunk_no int, offset int, chunk string")
+    class Chunks:
+        def eval(self, whole: str | None):
+            if whole is not None:
+                for n, (at, part) in enumerate(split_words(whole, size, overlap)):
+                    yield n, at, part
+
+    chunks_of = F.udtf(Chunks, returnType="chunk_no int, offset int, chunk string", useArrow=True)
+    return df.select(key, F.col(text).alias("_text")).lateralJoin(chunks_of(F.col("_text").outer())).select(
+        key, "chunk_no", "offset", "chunk")
 
 
 def split_words(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:

@@ -43,23 +43,33 @@ def rules_by_user(policies: DataFrame) -> DataFrame:
     return kept.groupBy("user_id").agg(F.array_sort(F.flatten(F.collect_list(ranked))).alias("rules"))
 
 
-def evaluate(content: DataFrame, policies: DataFrame, text: str = "content",
-             context: Column | str | None = None) -> DataFrame:
+def evaluate(content: DataFrame, policies: DataFrame, text: str = "content", context: Column | str | None = None,
+             requested: DataFrame | None = None, pii_mode: str = "rules", entities: Column | None = None) -> DataFrame:
     """Violations, verdict and modified content of every row under its owner's policies.
 
-    Rows whose owner has no policy are allowed.  Each side is reduced before
-    they meet: content to the names of the conditions that hold (the text itself
-    need not travel), policies to one row per owner.  A busy owner skews only
-    the content side, which Spark splits.
+    Rows whose owner has no policy are allowed.  With `requested` (user_id, policy_id, request_ord) only the policies that an owner asks
+    for count, in that order; those of another owner do not.  With `pii_mode` "entities" personal data are the
+    spans of `entities`.  Each side is reduced before they meet: content to the names of the conditions that hold (the text itself
+    need not travel), policies to one row per owner.  Only conditions that some rule names are
+    worked out.  A busy owner skews only the content side, which Spark splits.
     """
-    checked = _checked(content, text, context)
+    if requested is not None:
+        policies = pick_from(policies, requested)
+    checked = _checked(content, text, context, named_conditions(policies), pii_mode, entities)
     return _verdict(checked.join(rules_by_user(policies), "user_id", "left"))
 
 
-def _checked(content: DataFrame, text: str, context: Column | str | None) -> DataFrame:
+def named_conditions(policies: DataFrame) -> set[str]:
+    """The known conditions that rules of enabled policies name: at most one row for each of them comes to the driver."""
+    names = policies.filter("enabled").select(F.explode("rules.condition").alias("c")).filter(F.col("c").isin(*pf.NAMES)).distinct()
+    return {r["c"] for r in names.collect()}
+
+
+def _checked(content: DataFrame, text: str, context: Column | str | None, names: set[str], pii_mode: str = "rules",
+             entities: Column | None = None) -> DataFrame:
     gated = tx.with_gates(content, text)
-    return tx.without_gates(tx.pin(gated, pf.holding(pf.conditions(text, context)).alias("holding"),
-                                   (F.col(text) == pf.REDACTED).alias("_same")))
+    wanted = {k: v for k, v in pf.conditions(text, context, pii_mode, entities).items() if k in names}
+    return tx.without_gates(tx.pin(gated, pf.holding(wanted).alias("holding"), (F.col(text) == pf.REDACTED).alias("_same")))
 
 
 def _verdict(df: DataFrame) -> DataFrame:
@@ -92,8 +102,8 @@ def template_rules(templates: Sequence[str] = tuple(cat.TEMPLATES)) -> Column:
 def compliance_evaluate(content: DataFrame, text: str = "content", context: Column | str | None = None,
                         templates: Sequence[str] = tuple(cat.TEMPLATES)) -> DataFrame:
     """Every content row against the built-in templates; no join at all."""
-    checked = _checked(content, text, context)
-    return _verdict(checked.withColumn("rules", template_rules(templates)))
+    names = {condition for key in templates for condition, _, _ in cat.TEMPLATES[key][1]}
+    return _verdict(_checked(content, text, context, names).withColumn("rules", template_rules(templates)))
 
 
 def pick(policies: DataFrame, ids: Sequence[int], user_id: int | None = None) -> DataFrame:

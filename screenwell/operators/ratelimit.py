@@ -52,17 +52,29 @@ def by_path(df: DataFrame, path: str = "endpoint") -> DataFrame:
 def attempt_rate(df: DataFrame, client: str = "client", micros: str = "us", id_: str = "id") -> DataFrame:
     """Attempts in the trailing minute and hour of every attempt, itself included.
 
-    The window partitions by client and hour; each row also visits the following
-    hour as background, so both frames are complete and no partition is larger
-    than two hours of one client.
+    Attempts are counted per client and second, and whole seconds are added up from these counts, in windows of at most two
+    hours of seconds, whatever the traffic.  Where a span begins and ends inside a second, its attempts are ranked
+    there, together with the times at which those of a minute and an hour ago fall out; so
+    the rows of one client are spread over its seconds.
     """
-    b = _div(F.col(micros), HOUR)
-    copies = df.withColumn("_c", F.explode(F.array(
-        F.struct(b.alias("b"), F.lit(True).alias("own")), F.struct((b + 1).alias("b"), F.lit(False).alias("own")))))
-    part = Window.partitionBy(client, "_c.b").orderBy(micros)
-    return (copies.withColumn("attempts_minute", F.count("*").over(part.rangeBetween(-MINUTE + 1, 0)))
-            .withColumn("attempts_hour", F.count("*").over(part.rangeBetween(-HOUR + 1, 0)))
-            .filter("_c.own").drop("_c"))
+    second = _div(F.col(micros), SECOND)
+    counts = df.groupBy(F.col(client).alias("_client"), second.alias("_s")).agg(F.count("*").alias("_n"))
+    hours = F.explode(F.array(*[F.struct((_div(F.col("_s"), 3600) + i).alias("h"), F.lit(i == 0).alias("own")) for i in (0, 1)]))
+    before = Window.partitionBy("_client", "_h.h").orderBy("_s")
+    whole = counts.withColumn("_h", hours).withColumn("_minute", F.sum("_n").over(before.rangeBetween(-60, -1))).withColumn(
+        "_hour", F.sum("_n").over(before.rangeBetween(-3600, -1))).filter("_h.own").select("_client", "_s", "_minute", "_hour")
+    attempt = F.struct(*df.columns)
+    times = df.select(F.col(client).alias("_client"), F.explode(F.array(*[
+        F.struct((F.col(micros) + by).alias("at"), F.lit(kind).alias("kind"), (attempt if not by else F.lit(None).cast(
+            df.select(attempt.alias("x")).schema["x"].dataType)).alias("row"))
+        for kind, by in (("own", 0), ("minute", MINUTE), ("hour", HOUR))])).alias("_t")).select("_client", "_t.*").withColumn(
+        "_second", _div(F.col("at"), SECOND))
+    inside = Window.partitionBy("_client", "_second").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    ranked = times.select("_client", "_second", "kind", "row", *[
+        F.count_if(F.col("kind") == kind).over(inside).alias(f"_{kind}s") for kind in ("own", "minute", "hour")]).filter("kind = 'own'")
+    joined = ranked.join(whole, ranked["_client"].eqNullSafe(whole["_client"]) & (F.col("_second") == F.col("_s")))
+    return joined.select("row.*", *[
+        (F.coalesce(f"_{kind}", F.lit(0)) + F.col("_owns") - F.col(f"_{kind}s")).alias(f"attempts_{kind}") for kind in ("minute", "hour")])
 
 
 def decide(df: DataFrame, per_minute: int = cat.RATE_PER_MINUTE, per_hour: int = cat.RATE_PER_HOUR,

@@ -17,6 +17,12 @@ def totals(spans: DataFrame) -> DataFrame:
         F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("total_latency_ms"))
 
 
+def flagged(spans: DataFrame, traces: DataFrame) -> DataFrame:
+    """All spans, with `accepted`: whether their trace is there."""
+    known = traces.select("trace_id").distinct().withColumn("accepted", F.lit(True))
+    return spans.join(known, "trace_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
 def accepted(spans: DataFrame, traces: DataFrame) -> DataFrame:
     return spans.join(traces.select("trace_id"), "trace_id", "left_semi")
 

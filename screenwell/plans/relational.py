@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -25,14 +26,21 @@ def _hourly(spark, d):
 # -- sources, sinks, upserts -------------------------------------------------------------
 
 
-@query("src_tables", k.with_(k.USERS, k.KEYS) + """SELECT 'users' AS name, count(*) AS rows, min(created_at) AS first, max(created_at) AS last FROM users_t
-UNION ALL SELECT 'api_keys', count(*), min(created_at), max(created_at) FROM keys_t""")
+@query("src_tables", k.with_(k.USERS, k.KEYS, *HOURLY[-2:], k.POLICIES, k.AUDIT) + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS rows, min({at})::TIMESTAMP AS first, max({at})::TIMESTAMP AS last FROM {table}" for name, table, at in (
+        ("users", "users_t", "created_at"), ("api_keys", "keys_t", "created_at"), ("usage", "hourly", "date"),
+        ("policies", "policies_t", "created_at"), ("audit", "audit", "timestamp"))))
 def src_tables(spark, d):
-    def one(name, df):
-        return df.agg(F.count("*").alias("rows"), F.min("created_at").alias("first"), F.max("created_at").alias("last")).select(
+    """The five relational tables: rows and the time they span."""
+    def one(name, df, at):
+        at = F.col(at).cast("timestamp_ntz")
+        return df.agg(F.count("*").alias("rows"), F.min(at).alias("first"), F.max(at).alias("last")).select(
             F.lit(name).alias("name"), "rows", "first", "last")
 
-    return one("users", corpus.users(spark, d)).unionByName(one("api_keys", corpus.api_keys(spark, d)))
+    parts = [one("users", corpus.users(spark, d), "created_at"), one("api_keys", corpus.api_keys(spark, d), "created_at"),
+             one("usage", _hourly(spark, d), "date"), one("policies", corpus.policies(spark, d), "created_at"),
+             one("audit", corpus.audit_log(spark, d), "timestamp")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("src_json_columns", """SELECT event_id, CAST(coalesce(json_extract(props, '$.k'), '-1') AS BIGINT) AS k, 0 AS bad FROM events""")
@@ -85,13 +93,8 @@ def sink_audit(spark, d):
     root = tb.scratch(spark, "audit")
     df = corpus.audit_log(spark, d).withColumn("ip_address", _ip()).withColumn(
         "endpoint", F.when(F.col("endpoint") != "/health", F.col("endpoint")))
-    tb.write_audit(df, f"{root}/ok", f"{root}/rejected")
-
-    def side(name, path):
-        return spark.read.parquet(path).select(F.lit(name).alias("side"), "ip_address")
-
-    both = side("stored", f"{root}/ok").unionByName(side("rejected", f"{root}/rejected"))
-    return both.groupBy("side").agg(F.count("*").alias("rows"), F.countDistinct("ip_address").alias("clients"))
+    tb.write_audit(df, root)
+    return spark.read.parquet(root).groupBy("side").agg(F.count("*").alias("rows"), F.countDistinct("ip_address").alias("clients"))
 
 
 @query("upsert_usage_hourly", k.with_(*HOURLY) + "SELECT api_key_id, endpoint, date, hour, requests_count, tokens_used, cost_usd::DOUBLE AS cost_usd FROM hourly")
@@ -407,9 +410,7 @@ def _some_traces(spark, d):
 
 @query("semi_spans_with_trace", k.with_(k.SPANS, k.TRACES) + """SELECT span_id, EXISTS (SELECT 1 FROM traces_t t WHERE t.trace_id = s.trace_id AND user_id IS NOT NULL) AS accepted FROM spans_t s""")
 def semi_spans_with_trace(spark, d):
-    s, t = corpus.spans(spark, d), _some_traces(spark, d)
-    return traces.accepted(s, t).select("span_id", F.lit(True).alias("accepted")).unionByName(
-        traces.rejected(s, t).select("span_id", F.lit(False).alias("accepted")))
+    return traces.flagged(corpus.spans(spark, d), _some_traces(spark, d)).select("span_id", "accepted")
 
 
 @query("trace_spans", k.with_(k.SPANS, k.TRACES) + "SELECT trace_id, span_id, parent_span_id, span_type FROM spans_t JOIN traces_t USING (trace_id) WHERE user_id IS NULL OR user_id = 3")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from screenwell import catalog as cat
 from screenwell.functions import exfil, injection, pii
 from screenwell.functions import policy as pf
+from screenwell.functions import spans as sp
 from screenwell.functions import text as tx
-from screenwell.operators import changes, conversation, evaluate, models, partials, policy, scan, stats, toxicity, usage
+from screenwell.operators import changes, conversation, domains, evaluate, models, partials, policy, scan, stats, toxicity, usage
 from screenwell.plans import sqlkit as k
 from screenwell.plans.registry import query
 from screenwell.sources import corpus
@@ -117,7 +118,7 @@ def scorer_interface(spark, d):
 {_model('content')} >= 0.75::DOUBLE AS is_injection FROM content""")
 def batch_scorer(spark, d):
     out = corpus.content(spark, d).select(
-        "content_id", models.as_udf(LOADER, batch=8)(F.col("content")).alias("p"))
+        "content_id", models.as_udf(LOADER, batch=512)(F.col("content")).alias("p"))
     return out.withColumn("is_injection", models.verdict(F.col("p")))
 
 
@@ -233,12 +234,17 @@ def url_trusted_domain(spark, d):
         "by_suffix", exfil.is_trusted(F.col("domain"), match="suffix"))
 
 
-@query("trusted_domains", k.with_(k.CONTENT, k.exfil("content", domains=("example.com", "trusted.org", "evil.io"))) +
-       "SELECT content_id, n_untrusted_param_urls, risk_score FROM exf")
+@query("trusted_domains", k.with_(k.CONTENT, k.exfil("content")) + f""", dom AS (
+SELECT unnest({k.lst((*cat.TRUSTED_DOMAINS, "evil.io"))}) AS d UNION SELECT {k.netloc("url")} FROM pages WHERE page_id % 3 = 0 AND {k.netloc("url")} <> ''),
+pu AS (SELECT content_id, {k.netloc("u")} AS h FROM (SELECT content_id, unnest(urls) AS u FROM exf_a) WHERE len({k.params("u")}) > 0),
+bad AS (SELECT content_id, count(*) AS n FROM pu WHERE NOT EXISTS (SELECT 1 FROM dom WHERE contains(h, d)) GROUP BY 1)
+SELECT content_id, CAST(coalesce(n, 0) AS INTEGER) AS n_untrusted_param_urls,
+CASE WHEN n > 0 THEN greatest(with_both, {k.dbl(cat.UNTRUSTED_URL_FLOOR)}) ELSE with_both END AS risk_score FROM exf_d LEFT JOIN bad USING (content_id)""")
 def trusted_domains(spark, d):
-    """Exfiltration score under an edited allow list."""
-    domains = (*cat.TRUSTED_DOMAINS, "evil.io")
-    return scan.exfil_scan(corpus.content(spark, d), trusted=domains).select(
+    """Exfiltration score under an allow list in a table: the given domains, an added one, and every third page's host."""
+    given = spark.createDataFrame([(x,) for x in (*cat.TRUSTED_DOMAINS, "evil.io")], "domain string")
+    hosts = tb.table(spark, d, "pages").filter("page_id % 3 = 0").select(exfil.netloc(F.col("url")).alias("domain"))
+    return domains.exfil_scan(corpus.content(spark, d), given.unionByName(hosts)).select(
         "content_id", "n_untrusted_param_urls", "risk_score")
 
 
@@ -272,9 +278,7 @@ def truncate_preview(spark, d):
     """Matches cut to 50 characters with an ellipsis, contents to 200."""
     out = tx.with_gates(corpus.content(spark, d))
     parts = [exfil.sensitive_previews("content", p, tx.gate(p.name)) for p in cat.SENSITIVE]
-    matches = out.select("content_id", F.explode(F.concat(*parts)).alias("preview"))
-    whole = corpus.content(spark, d).select("content_id", tx.preview(F.col("content"), 200).alias("preview"))
-    return matches.unionByName(whole)
+    return out.select("content_id", F.explode(F.concat(*parts, F.array(tx.preview(F.col("content"), 200)))).alias("preview"))
 
 
 # -- routed analysis ---------------------------------------------------------------
@@ -603,6 +607,29 @@ def policy_evaluate(spark, d):
                                        "modified_content", _actions().alias("actions"))
 
 
+_ASKED = k.with_(k.CONTENT, k.spans("content", "content", k.PII_PARTS, out="psp"), k.condition_rows("content", **_CTX), k.POLICIES, k.RULES,
+                 """asked AS (SELECT o_custkey // 6 AS user_id, o_custkey AS policy_id, CAST(min(o_orderkey) AS INTEGER) AS policy_ord FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)""",
+                 """held AS (SELECT content_id, condition FROM conds WHERE condition <> 'contains_pii' UNION
+  SELECT content_id, 'contains_pii' FROM psp WHERE len(ents) > 0 UNION
+  SELECT content_id, 'contains_phi' FROM psp WHERE len(list_filter(ents, lambda e: lower(e.type) IN (""" + ", ".join(map(k.q, cat.PHI_TYPES)) + """))) > 0)""",
+                 """viol AS (SELECT content_id, policy_id, name AS policy_name, policy_ord, rule_index, condition, action
+  FROM content JOIN asked USING (user_id) JOIN rules_t USING (policy_id) JOIN held USING (content_id, condition)
+  WHERE enabled AND rules_t.user_id = asked.user_id)""")
+
+
+@query("policy_evaluate_requested", _ASKED + """SELECT content_id, count(*) AS n_violations, NOT bool_or(action = 'block') AS allowed FROM viol GROUP BY 1
+UNION ALL SELECT content_id, 0, true FROM content WHERE content_id NOT IN (SELECT content_id FROM viol)""")
+def policy_evaluate_requested(spark, d):
+    """Policies by ids that each owner requests, with detected spans as personal data."""
+    requested = tb.table(spark, d, "orders").filter("o_orderkey % 3 = 0").groupBy(
+        F.floor(F.col("o_custkey") / 6).alias("user_id"), F.col("o_custkey").alias("policy_id")).agg(F.min("o_orderkey").alias("request_ord"))
+    df = tx.with_gates(corpus.content(spark, d).withColumn("ctx", _context()))
+    found = tx.without_gates(tx.pin(df, sp.dedup(pii.regex_spans()).alias("found")))
+    out = policy.evaluate(found, policy.decode(corpus.policies(spark, d)), context="ctx", requested=requested,
+                          pii_mode="entities", entities=F.col("found"))
+    return out.select("content_id", F.size("violations").alias("n_violations"), "allowed")
+
+
 @query("join_policy_content", _POL + "SELECT content_id, policy_id, policy_ord, rule_index, condition, action FROM viol")
 def join_policy_content(spark, d):
     return policy.violations(_evaluated(spark, d)).select(

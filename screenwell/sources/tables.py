@@ -39,8 +39,15 @@ def read_conversation(df: DataFrame, role: str | None = None) -> DataFrame:
     return out if role is None else out.filter(F.col("role") == role)
 
 
-def read_jdbc(spark: SparkSession, url: str, table_name: str, **options: str) -> DataFrame:
-    """Relational table over JDBC; filters and columns are pushed down by Spark."""
+def read_jdbc(spark: SparkSession, url: str, table_name: str, column: str | None = None, low: object = None, high: object = None,
+              parts: int = 16, **options: str) -> DataFrame:
+    """Relational table over JDBC; filters and columns are pushed down by Spark.
+
+    With `column` (a number, date or time, such as a key or a creation time) and its bounds, `parts` tasks read a range each over
+    connections of their own; rows beyond the bounds are in the first and last range.
+    """
+    if column is not None:
+        options |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
     return spark.read.format("jdbc").options(url=url, dbtable=table_name, **options).load()
 
 
@@ -77,11 +84,13 @@ def write_incidents(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_audit(df: DataFrame, path: str, rejected_path: str) -> None:
-    """Append audit rows; rows without endpoint, method or address go to a side table."""
+def write_audit(df: DataFrame, path: str) -> None:
+    """Append audit rows; rows without endpoint, method or address go to a partition of their own.
+
+    One pass and one commit: `side=stored` and `side=rejected` below `path` appear together or not at all.
+    """
     ok = F.col("endpoint").isNotNull() & F.col("http_method").isNotNull() & F.col("ip_address").isNotNull()
-    df.filter(ok).write.mode("append").parquet(path)
-    df.filter(~ok).write.mode("append").parquet(rejected_path)
+    df.withColumn("side", F.when(ok, "stored").otherwise("rejected")).write.mode("append").partitionBy("side").parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
