@@ -177,9 +177,12 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", sample: int
     for r in counts:
         block[r["b"]], n[r["b"]] = r["block"], r["n"]
     odds = np.log((block + 1) / (n - block + 1))
-    chosen = rows.orderBy(F.xxhash64("url", F.monotonically_increasing_id()), "url").limit(sample).collect()
-    x = features(*[[r[c] for r in chosen] for c in ("url", "host", "path")], odds)
-    return Model(boost(x, np.array([r["y"] for r in chosen], float)), odds)
+    chosen = rows.orderBy(F.xxhash64("url"), "url", "y").limit(sample).collect()   # the same, however the table is laid out
+    x, y = features(*[[r[c] for r in chosen] for c in ("url", "host", "path")], odds), np.array([r["y"] for r in chosen], float)
+    if len(y):   # a row's own label is not among its inputs
+        own = np.array([list(suffixes(r["host"])) for r in chosen])
+        x[:, -own.shape[1]:] = np.log((block[own] - y[:, None] + 1) / (n[own] - block[own] - 1 + y[:, None] + 1))
+    return Model(boost(x, y), odds)
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[Rule] = RULES,
