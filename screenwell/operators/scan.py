@@ -136,11 +136,12 @@ def content_filter(df: DataFrame, text: str = "content", *, filters: Column | No
                    redact: Column | None = None, toxicity_threshold: Column | None = None,
                    toxicity: Column | None = None, custom: Mapping[str, str] | None = None,
                    pack: Column | None = None, model_spans: Column | None = None, model: Model | None = None,
-                   patterns: Column | None = None) -> DataFrame:
+                   patterns: Column | None = None, analyzer: Column | None = None) -> DataFrame:
     """PII, toxicity and injection verdict of every row.
 
     Settings are columns, so they may differ by row.  `pack` names the use-case
-    pack whose custom patterns apply, `patterns` is a row's own map of them.  Pattern names come from whichever
+    pack whose custom patterns apply, `patterns` is a row's own map of them; a pattern of the row takes the place of one of
+    its pack that has the same name.  `model_spans` are an analyzer's; with `analyzer` only rows where it holds have them.  Pattern names come from whichever
     injection result exists, so a regex-only run reports them too; a `model` that
     finds an injection adds its own name.  Any matched pattern, even a weak marker,
     makes a row unsafe.  Redaction always works on
@@ -164,8 +165,15 @@ def content_filter(df: DataFrame, text: str = "content", *, filters: Column | No
     df = df.withColumn("_pii", F.when(wants_pii, F.col(text)).otherwise(F.lit("")))
     rules = pii.rules("_pii", custom)
     if pack is not None:
-        rules += [sp.Rule(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, (pack == p.name) & tx.gate(name))
+        def of_pack(p, name):
+            own = F.lit(False) if patterns is None else F.coalesce(F.map_contains_key(patterns, name), F.lit(False))
+            return (pack == p.name) & ~own & tx.gate(name)
+
+        rules += [sp.Rule(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, of_pack(p, name))
                   for p in cat.PACKS for name, rx in p.patterns]
+    if model_spans is not None:   # as of old, spans of texts that are not filtered for personal data do not count
+        asked = wants_pii if analyzer is None else wants_pii & F.coalesce(analyzer, F.lit(False))
+        model_spans = F.when(asked, model_spans).otherwise(F.array().cast(sp.SPANS))
     found = [sp.match_spans("_pii", rules)] if model_spans is None else [model_spans, sp.match_spans("_pii", rules)]
     if patterns is not None:
         df = df.withColumn("_own", pii.custom_spans("_pii", patterns))

@@ -373,7 +373,9 @@ def _review(spark, d):
 
 _REQUESTS = """(SELECT coalesce(sum(requests_count), 0)::BIGINT AS api_key_requests, count(DISTINCT id) FILTER (WHERE requests_count > 0) AS keys_used
   FROM keys_t JOIN hourly ON id = api_key_id WHERE is_active AND endpoint = '{}') AS req"""
-_DAY = F.to_date(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(content_id % 500 as int))"))
+
+def _day():
+    return F.to_date(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(content_id % 500 as int))"))
 
 
 def _requests(spark, d, endpoint):
@@ -395,7 +397,7 @@ def security_stats(spark, d):
     day = F.date_format("day", "yyyy-MM-dd")
     for number in (0, 1):
         done = scan.security_analyze(corpus.content(spark, d).filter(F.col("content_id") % 2 == number))
-        partials.merge(f"{path}/analyses", stats.analysis_partials(done, _DAY), ["day"], day, number)
+        partials.merge(f"{path}/analyses", stats.analysis_partials(done, _day()), ["day"], day, number)
     found = tb.materialise(_incidents(spark, d).select("content_id", "threat_type", "status", "detected_at"), "incidents")
     partials.merge(f"{path}/incidents", stats.incident_partials(found, F.to_date("detected_at")), ["day", "status"], day, 0)
     reviewed = changes.set_incident_status(found, _review(spark, d))
@@ -443,7 +445,7 @@ def filter_stats(spark, d):
     for number in (0, 1):
         df = corpus.content(spark, d).filter(F.col("content_id") % 2 == number).join(scores, "content_id", "left")
         done = scan.content_filter(df, redact=F.col("content_id") % 2 == 0, toxicity=F.coalesce("tox", F.lit(0.0)))
-        partials.merge(path, stats.filter_partials(done, _DAY, F.col("tox").isNotNull()), ["day"], F.date_format("day", "yyyy-MM-dd"), number)
+        partials.merge(path, stats.filter_partials(done, _day(), F.col("tox").isNotNull()), ["day"], F.date_format("day", "yyyy-MM-dd"), number)
     return stats.filter_row(partials.read(spark, path), _requests(spark, d, "/filter"))
 
 
@@ -495,32 +497,46 @@ def content_filter_scored(spark, d):
 
 _PACK = "['default','customer_support','code_assistant','rag','healthcare','financial','creative_writing',NULL][CAST(content_id % 8 AS INTEGER) + 1]"
 _REQ = "CASE content_id % 5 WHEN 0 THEN true WHEN 1 THEN false END"
-_PACK_PARTS = k.PII_PARTS + [(rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, f"pack = '{p.name}'",
-                              k.plain_letters("t") if p.name == "financial" else "t")
-                             for p in cat.PACKS for name, rx in p.patterns]
+_OWN = {"iban": "[A-Z]{2}[0-9]{6,}", "ref": "[Rr]ef [0-9]+"}
+_CAPITALS = "[A-Z][a-z]+ [A-Z][a-z]+"
+_PACK_PARTS = [(_CAPITALS, "name", 0.8, None, "analyzer")] + k.PII_PARTS + [
+    (rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, f"pack = '{p.name}'" + (" AND own IS NULL" if name in _OWN else ""),
+     k.plain_letters("t") if p.name == "financial" else "t") for p in cat.PACKS for name, rx in p.patterns] + [
+    (rx, cat.CUSTOM_PII_TYPE, cat.CUSTOM_PII_CONFIDENCE, name, "own IS NOT NULL") for name, rx in _OWN.items()]
 
 
 @query("content_filter_packs", k.with_(k.CONTENT, f"packs(pack, pack_filters, pack_redact, pack_threshold, pack_analyzer, pack_template) AS (VALUES {k.PACK_ROWS})",
-       f"c0 AS (SELECT *, {_PACK} AS pack, {_REQ} AS req_redact FROM content)",
-       f"""c1 AS (SELECT c0.*, coalesce(req_redact, pack_redact, false) AS redact, coalesce(pack_filters, {k.lst(cat.DEFAULT_FILTERS)}) AS filters,
-  coalesce(pack_threshold, 0.7::DOUBLE) AS threshold FROM c0 LEFT JOIN packs USING (pack)),
+       f"""c0 AS (SELECT content.*, {_PACK} AS pack, {_REQ} AS req_redact, CASE content_id % 7 WHEN 0 THEN ['pii'] WHEN 1 THEN ['pii', 'toxicity'] END AS req_filters,
+  CASE WHEN content_id % 3 = 0 THEN 1.0::DOUBLE END AS req_threshold, content_id % 4 = 0 AS req_analyzer,
+  CASE WHEN content_id % 6 = 0 THEN 1 END AS own, coalesce(toxic, 0)::DOUBLE AS tox FROM content LEFT JOIN labels ON doc_id = content_id)""",
+       f"""c1 AS (SELECT c0.*, coalesce(req_redact, pack_redact, content_id % 9 = 0) AS redact,
+  coalesce(req_filters, pack_filters, {k.lst(cat.DEFAULT_FILTERS)}) AS filters, req_analyzer OR coalesce(pack_analyzer, false) AS analyzer,
+  coalesce(req_threshold, pack_threshold, 0.7::DOUBLE) AS threshold FROM c0 LEFT JOIN packs USING (pack)),
 c2 AS (SELECT *, CASE WHEN list_contains(filters, 'pii') THEN content ELSE '' END AS t FROM c1)""",
        k.injection("c2"), k.spans("inj", "t", _PACK_PARTS)) + f"""
-SELECT content_id, pack, redact, threshold, len(ents) AS n_pii, n_detections AS n_patterns,
-NOT ((len(ents) > 0 AND NOT redact) OR n_detections > 0) AS is_safe,
+SELECT content_id, pack, redact, threshold, CASE WHEN list_contains(filters, 'toxicity') THEN tox END AS toxicity, len(ents) AS n_pii,
+CASE WHEN list_contains(filters, 'prompt_injection') THEN n_detections ELSE 0 END AS n_patterns,
+NOT ((len(ents) > 0 AND NOT redact) OR (n_detections > 0 AND list_contains(filters, 'prompt_injection'))
+  OR (list_contains(filters, 'toxicity') AND tox > threshold)) AS is_safe,
 CASE WHEN redact AND len(ents) > 0 THEN substr(sha256({k.redact('content', 'ents', k.TYPED)}), 1, 16) END AS filtered_hash FROM sp""")
 def content_filter_packs(spark, d):
-    """Filter under each row's pack and request settings."""
+    """Filter under each row's request, pack and organisation settings, patterns, analyzer and toxicity."""
     pack = F.element_at(F.array(*[F.lit(p.name) for p in cat.PACKS], F.lit(None).cast("string")),
                         (F.col("content_id") % 8 + 1).cast("int"))
     req = F.when(F.col("content_id") % 5 == 0, F.lit(True)).when(F.col("content_id") % 5 == 1, F.lit(False))
+    scores = tb.table(spark, d, "labels").select(F.col("doc_id").alias("content_id"), F.col("toxic").cast("double").alias("tox"))
     df = scan.join_pack_config(corpus.content(spark, d).withColumn("pack", pack).withColumn("req_redact", req), spark, "pack")
-    df = df.withColumn("org_redact", F.lit(None).cast("boolean"))
-    for name, type_ in (("filters", "array<string>"), ("threshold", "double"), ("analyzer", "boolean")):
-        df = df.withColumn(f"req_{name}", F.lit(None).cast(type_)).withColumn(f"org_{name}", F.lit(None).cast(type_))
-    out = scan.content_filter(scan.resolve_settings(df), filters=F.col("filters"), redact=F.col("redact"),
-                              toxicity_threshold=F.col("threshold"), pack=F.col("pack"))
-    return out.select("content_id", "pack", "redact", F.col("toxicity_threshold").alias("threshold"), "n_pii",
+    df = df.join(scores, "content_id", "left").withColumns({
+        "req_filters": F.when(F.col("content_id") % 7 == 0, F.array(F.lit("pii"))).when(
+            F.col("content_id") % 7 == 1, F.array(F.lit("pii"), F.lit("toxicity"))),
+        "req_threshold": F.when(F.col("content_id") % 3 == 0, F.lit(1.0)), "req_analyzer": F.col("content_id") % 4 == 0,
+        "org_redact": F.col("content_id") % 9 == 0, "org_threshold": F.lit(None).cast("double"), "org_analyzer": F.lit(None).cast("boolean"),
+        "own": F.when(F.col("content_id") % 6 == 0, F.create_map(*[F.lit(x) for kv in _OWN.items() for x in kv]))})
+    names = sp.match_spans("content", [sp.Rule(_CAPITALS, "name", 0.8, None, None)])
+    out = scan.content_filter(scan.resolve_settings(df), filters=F.col("filters"), redact=F.col("redact"), toxicity=F.coalesce("tox", F.lit(0.0)),
+                              toxicity_threshold=F.col("threshold"), pack=F.col("pack"), patterns=F.col("own"), model_spans=names,
+                              analyzer=F.col("analyzer"))
+    return out.select("content_id", "pack", "redact", F.col("toxicity_threshold").alias("threshold"), "toxicity", "n_pii",
                       F.size("patterns").alias("n_patterns"), "is_safe",
                       tx.content_hash("filtered_content").alias("filtered_hash"))
 

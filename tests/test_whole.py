@@ -78,6 +78,16 @@ def test_every_type_is_counted(spark):
     assert row.pii == len(cat.FILTER_PII_TYPES) and all(row[f"n_{t}"] == 1 for t in cat.FILTER_PII_TYPES)
 
 
+def test_analyzer_and_own_patterns(spark):
+    rows = [(1, "IBAN XY123456 Ann Lee", True, {"iban": "[A-Z]{2}[0-9]{6}"}), (2, "IBAN XY123456 Ann Lee", False, None),
+            (3, "IBAN DE89370400440532013000", None, {"iban": "nothing"}), (4, "IBAN DE89370400440532013000", None, None)]
+    df = spark.createDataFrame(rows, "content_id long, content string, deep boolean, own map<string,string>")
+    names = sp.match_spans("content", [sp.Rule("[A-Z][a-z]+ [A-Z][a-z]+", "name", 0.8, None, None)])
+    out = scan.content_filter(df, pack=F.lit("financial"), patterns=F.col("own"), model_spans=names, analyzer=F.col("deep"))
+    got = {r.content_id: sorted((e.label or e.type) for e in r.entities) for r in out.select("content_id", "entities").collect()}
+    assert got == {1: ["iban", "name"], 2: [], 3: [], 4: ["iban"]}
+
+
 def test_clients_without_a_name_share_one_allowance(spark):
     df = spark.createDataFrame([(i, None, i * 1000, False) for i in range(4)], "id long, client long, us long, oauth boolean")
     got = {r.id: (r.admitted, r.retry_after) for r in ratelimit.decide(df, 2, 10, 1, 1).collect()}
