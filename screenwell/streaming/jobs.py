@@ -207,3 +207,18 @@ def run_update(df: DataFrame, keys: list[str], folder: str | None = None) -> Dat
     rows = spark.read.parquet(f"{out}/data")
     rest = [c for c in df.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
+
+
+def usage_upserts(events: DataFrame, path: str, folder: str | None = None, ts: str = "ts", period: str = "yyyy-MM-dd") -> None:
+    """Add a stream of usage events (api_key_id, endpoint, tokens, cost_usd and a time) to the stored hourly roll-up at `path`.
+
+    Every micro-batch reads and rewrites the periods of its own events; one that is repeated after a failure adds nothing
+    twice, as each period knows the last batch merged into it.  A late event simply reaches an older period.
+    """
+    out = folder or tb.scratch(events.sparkSession, "stream")
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        usage.upsert_hourly(path, usage.hourly(usage.bucket(batch, ts)), epoch, period)
+
+    (events.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/check")
+     .trigger(availableNow=True).start().awaitTermination())

@@ -1,5 +1,6 @@
 """State of streaming jobs (late rows, timers, closed traces) and stored partials."""
 
+import decimal
 import os
 import random
 import re
@@ -100,6 +101,20 @@ def test_upsert_touches_its_dates_only(spark, tmp_path):
     assert got == [(1, "2024-01-01", 6, 12, 0.6), (2, "2024-01-02", 7, 14, 0.7), (9, "2024-01-03", 1, 2, 0.1)]
 
 
+def test_stream_of_upserts(spark, tmp_path):
+    schema = "api_key_id bigint, endpoint string, tokens bigint, cost_usd decimal(10,6), ts bigint"
+    cents = decimal.Decimal("0.01")
+    parts = [[(k, "/filter", k * 10 + b, cents, T0 + (b * 20 + k) * HOUR) for k in (1, 1, 2)] for b in range(3)] + [[(1, "/filter", 5, cents, T0 + HOUR)]]
+    stream = files(spark, str(tmp_path / "in"), parts, schema, "ts")
+    for _ in range(2):      # the second run finds nothing new
+        jobs.usage_upserts(stream, str(tmp_path / "hourly"), str(tmp_path / "out"))
+    got = partials.read(spark, str(tmp_path / "hourly"))
+    every = spark.createDataFrame([r for p in parts for r in p], schema).withColumn("ts", F.timestamp_micros("ts"))
+    want = usage.hourly(usage.bucket(every))
+    columns = ["api_key_id", "date", "hour", "requests_count", "tokens_used"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
 def test_half_merged_batch(spark, tmp_path):
     """A batch of which one date was committed only adds to the others when it comes again."""
     path = str(tmp_path / "hourly")
