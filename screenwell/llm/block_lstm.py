@@ -1,7 +1,7 @@
 """Main text of web pages: a bidirectional LSTM labels every leaf block of a page.
 
 A page is read into its leaf blocks (`html_blocks`).  A block enters as the sum of hashed vectors of the tokens on its tag path,
-the mean of hashed vectors of its words, and a few measures (length, share of links, place).  Two recurrent
+the mean of hashed vectors of its words (damped where these are few), and a few measures (length, share of links, place).  Two recurrent
 layers of numpy read the whole sequence of blocks in both directions, so every block is judged with all the
 others in sight.  The blocks kept, joined by one space, are the text.
 
@@ -31,10 +31,12 @@ from screenwell.llm.html_layouts import KEEP, Layout
 
 SIZE, STATE = 24, 16
 TAGS, WORDS, MEASURES = 4096, 8192, 8
-SAMPLE, SAMPLE_CHARS, LAYOUTS = 240, 60_000, 3000
+SAMPLE, SAMPLE_CHARS, LAYOUTS = 240, 60_000, 4000
 ROUNDS, BATCH, RATE = 3, 24, 0.01
-#: Times that a page which labels itself comes up in a round.
-REAL = 3
+#: Added to a block's number of words in their mean, so that one or two unknown words do not decide.
+DAMP = 3
+#: Times that a page which labels itself comes up in a round; share of blocks without words in training.
+REAL, MUTE = 5, 0.4
 #: Tokens and words looked up lately, in each task.
 CACHE = 200_000
 ASIDE = frozenset("t:nav t:aside t:form t:footer t:header".split())
@@ -68,7 +70,8 @@ def new_net(seed: int = 11) -> Net:
 
 
 class Inputs(NamedTuple):
-    """Blocks end to end: token numbers and word numbers with each block's begin and count, measures, blocks of each page."""
+    """Blocks end to end: token numbers and word numbers with each block's begin and count, what each word counts for, measures,
+    blocks of each page."""
 
     tags: np.ndarray
     tag_at: np.ndarray
@@ -76,6 +79,7 @@ class Inputs(NamedTuple):
     words: np.ndarray
     word_at: np.ndarray
     word_n: np.ndarray
+    word_share: np.ndarray
     measures: np.ndarray
     pages: np.ndarray
 
@@ -122,14 +126,14 @@ class Encoder:
                                  float(leaf.text[-1] in ".!?:;\"”»"), leaf.text.count(",") / max(4, len(numbers)) * 4))
         tag_n, word_n = np.array(tag_n, np.int64), np.array(word_n, np.int64)
         return Inputs(np.array(tags, np.int64), np.cumsum(tag_n) - tag_n, tag_n, np.array(ids, np.int64), np.cumsum(word_n) - word_n,
-                      word_n, np.array(measures, np.float32).reshape(-1, MEASURES), np.array([len(p) for p in pages], np.int64))
+                      word_n, (1 / (word_n + DAMP)).astype(np.float32), np.array(measures, np.float32).reshape(-1, MEASURES), np.array([len(p) for p in pages], np.int64))
 
 
 def block_vectors(net: Net, x: Inputs) -> np.ndarray:
     if not len(x.tag_n):
         return np.zeros((0, SIZE), np.float32)
     path = np.add.reduceat(net.tag[x.tags], x.tag_at) / np.sqrt(x.tag_n)[:, None].astype(np.float32)
-    text = np.add.reduceat(net.word[x.words], x.word_at) / x.word_n[:, None].astype(np.float32)
+    text = np.add.reduceat(net.word[x.words], x.word_at) * x.word_share[:, None]
     return np.tanh(path + text + x.measures @ net.measure)
 
 
@@ -196,7 +200,7 @@ def backward(net: Net, x: Inputs, vectors: np.ndarray, kept, grad: np.ndarray) -
     d_in = d_vec * (1 - vectors ** 2)
     d_tag, d_word = np.zeros_like(net.tag), np.zeros_like(net.word)
     np.add.at(d_tag, x.tags, np.repeat(d_in / np.sqrt(x.tag_n)[:, None].astype(np.float32), x.tag_n, axis=0))
-    np.add.at(d_word, x.words, np.repeat(d_in / x.word_n[:, None].astype(np.float32), x.word_n, axis=0))
+    np.add.at(d_word, x.words, np.repeat(d_in * x.word_share[:, None], x.word_n, axis=0))
     return Net(d_tag, d_word, x.measures.T @ d_in, d_wx, d_wh, d_bias, both.T @ grad, vectors.T @ grad,
                np.array([grad.sum()], np.float32))
 
@@ -221,16 +225,20 @@ def practice(pool: list[str], number: int, seed: int) -> list[tuple[list[Leaf],
 
 
 def train(pages: list[tuple[list[Leaf], list[int]]], seed: int = 11, rounds: int = ROUNDS, batch: int = BATCH, rate: float = RATE) -> Net:
-    """A network from labelled pages, by Adam; the step size falls towards the end."""
+    """A network from labelled pages, by Adam; the step size falls towards the end.
+
+    The words of some blocks are left out at random, as tags must do where words are new.
+    """
     net, rng, encoder = new_net(seed), np.random.default_rng(seed), Encoder()
     pages = [p for p in pages if p[0]]
-    m, v = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
+    m, v, mean = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net], Net(*[p.copy() for p in net])
     total, t = rounds * -(-len(pages) // batch), 0
     for _ in range(rounds):
         order = rng.permutation(len(pages))
         for begin in range(0, len(order), batch):
             chosen = [pages[i] for i in order[begin:begin + batch]]
             x = encoder([p[0] for p in chosen])
+            x = x._replace(word_share=x.word_share * (rng.random(len(x.word_n)) > MUTE))
             y = np.array([label for p in chosen for label in p[1]], np.float32)
             # Every page counts the same, so that long ones do not outweigh.
             weight = np.repeat(1 / np.sqrt(x.pages), x.pages).astype(np.float32)
@@ -243,7 +251,10 @@ def train(pages: list[tuple[list[Leaf], list[int]]], seed: int = 11, rounds: int
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 p -= step * (a / (1 - 0.9 ** t)) / (np.sqrt(b / (1 - 0.99 ** t)) + 1e-6)
-    return net
+            if t > total // 2:     # the mean of the second half's networks varies less than the last one
+                for p, q in zip(net, mean):
+                    q += (p - q) / (t - total // 2)
+    return mean if t > 1 else net
 
 
 def fit(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE, layouts: int = LAYOUTS,

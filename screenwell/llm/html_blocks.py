@@ -43,6 +43,13 @@ class Leaf(NamedTuple):
     linked: int
 
 
+def stem(word: str) -> str:
+    """A word without its commonest endings."""
+    if len(word) > 2 and word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    return re.sub(r"(?<=.{4})(?:ed|ing)$", "", word)
+
+
 def element(tag: str, attributes: str) -> tuple[str, ...]:
     """Tokens of an element: its name, and the word stems of what names it."""
     out = ["t:" + tag]
@@ -55,8 +62,7 @@ def element(tag: str, attributes: str) -> tuple[str, ...]:
                 out.append("k:hidden")
         else:
             for part in _PART.findall(value):
-                stem = part.lower()
-                out.append("k:" + (stem[:-1] if len(stem) > 2 and stem.endswith("s") and not stem.endswith("ss") else stem))
+                out.append("k:" + stem(part.lower()))
     return tuple(out[:12])
 
 

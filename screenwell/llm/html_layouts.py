@@ -18,7 +18,8 @@ ARTICLE = ("article", "main", "main class='content'", "div class='content'", "di
            "article class='post'", "div itemprop='articleBody'", "div id='article'", "td class='content'", "div class='article'",
            "div class='body'", "section class='article'", "div class='blog-post'", "div id='main-content'", "div class='page-content'", "div")
 MENU = ("nav", "nav class='menu'", "div class='menu'", "div id='nav'", "div class='navbar'", "div class='breadcrumbs'", "ul class='nav'", "div id='menu'",
-        "div class='navigation'", "nav class='main-nav'", "div class='toc'", "div class='pagination'", "div class='tags'", "div class='links'", "div class='topbar'")
+        "div class='navigation'", "nav class='main-nav'", "div class='toc'", "div class='pagination'", "div class='tags'", "div class='links'", "div class='topbar'", "ul id='menu'",
+        "ul class='menu'", "div class='nav-bar'", "ol class='breadcrumb'", "header class='nav'", "div class='skip-links'")
 HEADER = ("header", "div id='header'", "div class='header'", "div class='masthead'", "div class='site-header'", "header class='top'", "div class='logo'",
           "header role='banner'", "div class='branding'")
 FOOTER = ("footer", "div id='footer'", "div class='footer'", "div class='copyright'", "footer class='site-footer'", "div class='bottom'", "div class='legal'",
@@ -93,6 +94,8 @@ class Layout:
     def junk(self, kinds: tuple[str, ...], sayings: float, link: float, most: int) -> str:
         r = self.rng
         inside = self.text(DROP, sayings) if r.random() < 0.35 else self.lines(DROP, sayings, r.randint(1, most), link)
+        if r.random() < (0.6 if kinds is HEADER else 0.25):    # a site's name, the title of a box
+            inside = self.heading("1234", 8, DROP) + (inside if r.random() < 0.7 else "")
         if kinds is FORM:
             inside += r.choice(("<input name='q'>", "<button>" + self.text(DROP, 1) + "</button>", "<label>" + self.text(DROP, 1) + "</label>"))
         return self.tag(kinds, inside)
@@ -111,9 +114,9 @@ class Layout:
                          lambda: self.junk(FORM, 0.6, 0.0, 3), lambda: self.junk(SHARE, 0.6, 0.9, 4), self.comments,
                          lambda: self.junk(MENU, 0.4, 0.95, 7)))()
 
-    def heading(self, levels: str, most: int) -> str:
+    def heading(self, levels: str, most: int, mark: str = KEEP) -> str:
         level = self.rng.choice(levels)
-        return f"<h{level}>{self.text(KEEP, 0, most)}</h{level}>"
+        return f"<h{level}>{self.text(mark, 0 if mark == KEEP else 0.3, most)}</h{level}>"
 
     def article(self) -> str:
         r = self.rng
