@@ -152,7 +152,7 @@ class Reader:
             if gt < 0:
                 break
             tag, attributes, at = name[0].lower(), page[name.end():gt], gt + 1
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in HIDDEN:
                 flush()
             elif tag == "br":
                 pieces.append(" ")
