@@ -29,6 +29,10 @@ from pyspark.sql import types as T
 from screenwell.llm.chunks import Known, lone_blanks
 from screenwell.llm.common import map_rows, named, tokenizer_file
 
+#: Fragments that the library encodes at a time.
+LOT = 1024
+#: Bytes of text that are Python objects at a time, with their ids; a longer text counts alone.
+SLICE = 4 << 20
 #: A blank or none, Latin letters, stops or none.
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)\\Z")
 
@@ -43,7 +47,7 @@ def byte_letters() -> list[str]:
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 120_000) -> None:
         from tokenizers import Tokenizer, models
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # the task's cores are Spark's to share out
@@ -107,8 +111,10 @@ class Codec:
         new = self.pretokens.missing({p for ps in parts.values() for p in ps if isinstance(p, str)})
         fragments = {letters: self.cuts(letters) for letters in new}
         ask = list(self.fragments.missing({f for fs in fragments.values() for f in fs}))
-        self.fragments.update((f, np.array(e.ids, "<u4").tobytes()) for f, e in zip(
-            ask, self.merger.encode_batch_fast(ask, add_special_tokens=False)))
+        for at in range(0, len(ask), LOT):   # the library's results are large beside their ids
+            lot = ask[at:at + LOT]
+            self.fragments.update((f, np.array(e.ids, "<u4").tobytes()) for f, e in zip(
+                lot, self.merger.encode_batch_fast(lot, add_special_tokens=False)))
         of = self.fragments.__getitem__
         self.pretokens.update((letters, b"".join(map(of, fs))) for letters, fs in fragments.items())
         ids = self.pretokens
@@ -127,7 +133,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def few(texts: list, most: int = 4 << 20) -> Iterator[list]:
+def few(texts: list, most: int = 1 << 20) -> Iterator[list]:
     """Texts in turn, about `most` characters (or one text) at a time."""
     some, held = [], 0
     for t in texts:
@@ -148,7 +154,7 @@ def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     df = documents.select(named(key), named(text).alias("encoded text"))
     return map_rows(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())], make, [key],
-                    lambda: codec(tokenizer).forget())
+                    lambda: codec(tokenizer).forget(), SLICE)
 
 
 def decode(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -177,4 +183,4 @@ def round_trip(documents: DataFrame, tokenizer: str, key: str = "doc_id", text:
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
     return map_rows(documents.select(named(key), named(text).alias("encoded text")), fields, make, [key],
-                    lambda: codec(tokenizer).forget())
+                    lambda: codec(tokenizer).forget(), SLICE)

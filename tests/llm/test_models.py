@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -61,6 +62,28 @@ def test_cuts_lie_between_tokens():
         assert set(np.cumsum([len(p) for p in parts]).tolist()) <= set(ends)
 
 
+def test_bpe_holds_little_at_a_time():
+    """Four million characters and many new fragments: what is held beside the ids stays far below a worker's share."""
+    codec, asked = bc.Codec(BYTE), []
+    merge = codec.merger.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, lot, **options):
+            asked.append(len(lot))
+            return merge(lot, **options)
+
+    codec.merger = Counting()
+    text = "the old town has much time for people and " * 1000
+    texts = [text] * 95 + [" ".join(f"z{i:x}q" for i in range(20_000))]
+    tracemalloc.start()
+    n = sum(len(ids) for some in bc.few(texts) for ids in codec.encode(some))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4 * sum(len(Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids) for t in texts[-2:-1]) * 95 + len(
+        codec.encode(texts[-1:])[0])
+    assert max(asked) <= 1024 and peak < 40 << 20
+
+
 def test_bpe_on_spark(messy, empty):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bc.round_trip(messy, BYTE).collect()}
     want = set()
