@@ -28,14 +28,23 @@ def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def summed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of the columns but `keys`, in their types.
+
+    The rows are dealt anew first: where they come from an aggregate, one task would otherwise hold its groups and these together.
+    """
+    dealt = rows.withColumn("_deal", F.xxhash64(*keys)).hint("rebalance", F.col("_deal")).drop("_deal")
+    return dealt.groupBy(*keys).agg(*[F.sum(c).cast(f.dataType).alias(c) for c, f in zip(rows.columns, rows.schema) if c not in keys])
+
+
 def merge(path: str, new: DataFrame, keys: Sequence[str], period: Column, batch: int) -> list[str]:
     """Add the sums of `new` (its columns but `keys`) to those stored; returns the periods rewritten.
 
     `period` is a string of the keys, such as a day.  What comes to the driver are the periods of one batch.
+    `new` is read twice, for the periods and for the sums, and summed together with what is stored: it should come as partials
+    that are cheap to read again, written ones where the results behind them are not.
     """
-    sums = [c for c in new.columns if c not in keys]
-    total = new.groupBy(*keys).agg(*[F.sum(c).cast(new.schema[c].dataType).alias(c) for c in sums])
-    fresh = total.select(*new.columns, F.coalesce(period, F.lit("none")).alias(PERIOD))
+    fresh = new.withColumn(PERIOD, F.coalesce(period, F.lit("none")))
     periods = sorted(r[0] for r in fresh.select(PERIOD).distinct().collect())
     old = stored(new.sparkSession, path, new).filter(F.col(PERIOD).isin(periods))
     done = {r[0] for r in old.groupBy(PERIOD).agg(F.max(BATCH).alias("b")).filter(F.col("b") >= batch).select(PERIOD).collect()}
@@ -43,8 +52,7 @@ def merge(path: str, new: DataFrame, keys: Sequence[str], period: Column, batch:
     if not todo:
         return []
     both = old.drop(BATCH).unionByName(fresh).filter(F.col(PERIOD).isin(todo))
-    (both.groupBy(*keys, PERIOD).agg(*[F.sum(c).cast(new.schema[c].dataType).alias(c) for c in sums])
-     .select(*new.columns, F.lit(batch).cast("long").alias(BATCH), PERIOD).hint("rebalance", F.col(PERIOD))
+    (summed(both, [*keys, PERIOD]).select(*new.columns, F.lit(batch).cast("long").alias(BATCH), PERIOD).hint("rebalance", F.col(PERIOD))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path))
     return todo
 

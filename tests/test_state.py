@@ -101,6 +101,14 @@ def test_upsert_touches_its_dates_only(spark, tmp_path):
     assert got == [(1, "2024-01-01", 6, 12, 0.6), (2, "2024-01-02", 7, 14, 0.7), (9, "2024-01-03", 1, 2, 0.1)]
 
 
+def test_sums_of_a_merge_stand_alone(spark, capsys):
+    """Between two aggregates is an exchange: no task holds the groups of two."""
+    new = usage.hourly(rollup(spark, [(1, "2024-01-01", 5)]).withColumnsRenamed({"requests_count": "tokens"}))
+    partials.summed(new, list(usage.PK)).explain()
+    steps = re.findall("Exchange|HashAggregate", capsys.readouterr().out)
+    assert steps.count("HashAggregate") == 4 and not any(a == b == "HashAggregate" for a, b in zip(steps, steps[1:]))
+
+
 def test_stream_of_upserts(spark, tmp_path):
     schema = "api_key_id bigint, endpoint string, tokens bigint, cost_usd decimal(10,6), ts bigint"
     cents = decimal.Decimal("0.01")
