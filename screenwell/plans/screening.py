@@ -445,7 +445,8 @@ def filter_stats(spark, d):
     for number in (0, 1):
         df = corpus.content(spark, d).filter(F.col("content_id") % 2 == number).join(scores, "content_id", "left")
         done = scan.content_filter(df, redact=F.col("content_id") % 2 == 0, toxicity=F.coalesce("tox", F.lit(0.0)))
-        partials.merge(path, stats.filter_partials(done, _day(), F.col("tox").isNotNull()), ["day"], F.date_format("day", "yyyy-MM-dd"), number)
+        days = tb.materialise(stats.filter_partials(done, _day(), F.col("tox").isNotNull()), "filter-days")   # one filter run a batch
+        partials.merge(path, days, ["day"], F.date_format("day", "yyyy-MM-dd"), number)
     return stats.filter_row(partials.read(spark, path), _requests(spark, d, "/filter"))
 
 

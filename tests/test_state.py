@@ -13,6 +13,8 @@ from screenwell import catalog as cat
 from screenwell.functions import text as tx
 from screenwell.operators import partials, stats, usage
 from screenwell.operators.ratelimit import HOUR, MINUTE
+from screenwell.plans import registry
+from screenwell.sources import corpus
 from screenwell.streaming import jobs
 
 T0 = 1_700_000_000_000_000
@@ -109,6 +111,26 @@ def test_sums_of_a_merge_stand_alone(spark, capsys):
     assert steps.count("HashAggregate") == 4 and not any(a == b == "HashAggregate" for a, b in zip(steps, steps[1:]))
 
 
+@pytest.mark.parametrize("name", ["filter_stats"])
+def test_statistics_read_each_text_once(spark, data, monkeypatch, name):
+    read, content = spark.sparkContext.accumulator(0), corpus.content
+
+    def counted(spark, d):
+        df = content(spark, d)
+
+        def count(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema)
+
+    registry.load()
+    monkeypatch.setattr(corpus, "content", counted)
+    assert registry.QUERIES[name](spark, data).count() == 1
+    assert read.value == 2 * content(spark, data).count()   # two batches by the parity of the id, each filtered after the count
+
+
 def test_stream_of_upserts(spark, tmp_path):
     schema = "api_key_id bigint, endpoint string, tokens bigint, cost_usd decimal(10,6), ts bigint"
     cents = decimal.Decimal("0.01")
