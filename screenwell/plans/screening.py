@@ -340,9 +340,12 @@ _INC = k.with_(k.CONTENT, k.analyse("content"), """inc AS (SELECT content_id, sp
   TIMESTAMP '2024-01-01' + to_hours(CAST(content_id % 500 AS INTEGER)) AS detected_at FROM ana WHERE risk_score >= 0.7::DOUBLE)""")
 
 
+def _detected_at():
+    return F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(content_id % 500 as int))")
+
+
 def _incidents(spark, d):
-    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(content_id % 500 as int))")
-    return scan.incidents(scan.security_analyze(corpus.content(spark, d)), detected_at=at)
+    return scan.incidents(scan.security_analyze(corpus.content(spark, d)), detected_at=_detected_at())
 
 
 @query("incidents", _INC + "SELECT * FROM inc")
@@ -375,7 +378,7 @@ _REQUESTS = """(SELECT coalesce(sum(requests_count), 0)::BIGINT AS api_key_reque
   FROM keys_t JOIN hourly ON id = api_key_id WHERE is_active AND endpoint = '{}') AS req"""
 
 def _day():
-    return F.to_date(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(content_id % 500 as int))"))
+    return F.to_date(_detected_at())
 
 
 def _requests(spark, d, endpoint):
@@ -392,13 +395,21 @@ op AS (SELECT count(*) AS open_incidents FROM inc LEFT JOIN labels ON doc_id = c
   WHERE CASE WHEN toxic = 1 THEN 'resolved' WHEN quality = 0 THEN 'false_positive' ELSE 'open' END = 'open')
 SELECT own.*, open_incidents, req.*, own_analyses + api_key_requests AS total_analyses FROM own, op, """ + _REQUESTS.format("/security/analyze"))
 def security_stats(spark, d):
-    """The row from partials that two batches of results and one of status changes have filled."""
+    """The row from partials that two batches of results and one of status changes have filled.
+
+    A batch is analysed once; its results are written, with the beginnings of the texts, for the partials and the incidents.
+    """
     path = tb.scratch(spark, "security-partials")
     day = F.date_format("day", "yyyy-MM-dd")
+    batches = []
     for number in (0, 1):
         done = scan.security_analyze(corpus.content(spark, d).filter(F.col("content_id") % 2 == number))
-        partials.merge(f"{path}/analyses", stats.analysis_partials(done, _day()), ["day"], day, number)
-    found = tb.materialise(_incidents(spark, d).select("content_id", "threat_type", "status", "detected_at"), "incidents")
+        batches.append(tb.materialise(done.select(
+            "content_id", tx.preview(F.col("content"), 200).alias("content"), "trace_id", "user_id", "threats", "risk_score"), "analyses"))
+        days = tb.materialise(stats.analysis_partials(batches[-1], _day()), "analysis-days")
+        partials.merge(f"{path}/analyses", days, ["day"], day, number)
+    found = tb.materialise(scan.incidents(batches[0].unionByName(batches[1]), detected_at=_detected_at()).select(
+        "content_id", "threat_type", "status", "detected_at"), "incidents")
     partials.merge(f"{path}/incidents", stats.incident_partials(found, F.to_date("detected_at")), ["day", "status"], day, 0)
     reviewed = changes.set_incident_status(found, _review(spark, d))
     moves = stats.status_partials(found, reviewed, "content_id", F.to_date("detected_at"))

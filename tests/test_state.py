@@ -111,7 +111,7 @@ def test_sums_of_a_merge_stand_alone(spark, capsys):
     assert steps.count("HashAggregate") == 4 and not any(a == b == "HashAggregate" for a, b in zip(steps, steps[1:]))
 
 
-@pytest.mark.parametrize("name", ["filter_stats"])
+@pytest.mark.parametrize("name", ["filter_stats", "security_stats"])
 def test_statistics_read_each_text_once(spark, data, monkeypatch, name):
     read, content = spark.sparkContext.accumulator(0), corpus.content
 
