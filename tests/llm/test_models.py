@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import tracemalloc
 import zlib
 from collections import Counter
@@ -19,7 +20,7 @@ from screenwell.llm import lm_score as lm
 from screenwell.llm import simhash_trie as st
 from screenwell.llm import token_codes as tc
 from screenwell.llm import toxicity_gru as tg
-from screenwell.llm.common import shared_folder, tokenizer_file, words
+from screenwell.llm.common import ALNUM, BLANKS, shared_folder, tokenizer_file, words
 from screenwell.llm.queries import QUERIES
 
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -350,6 +351,51 @@ def test_training_predicts_every_position(spark):
     assert after > before
 
 
+def lm_batch(n, seed):
+    """A model with no zeros in it, and n targets, some buckets of which are frequent."""
+    rng = np.random.default_rng(seed)
+    m = lm.new_model(rng.integers(0, 500, lm.VOCAB).astype(float))
+    m = m._replace(nodes=rng.normal(0, 0.3, m.nodes.shape).astype(np.float32), gates=rng.normal(1, 0.3, m.gates.shape).astype(np.float32),
+                   bias=rng.normal(0, 0.3, m.bias.shape).astype(np.float32))
+    drawn = (lm.VOCAB * rng.random((n, 2 * lm.SIDE + 1)) ** 4).astype(np.int64)
+    around = drawn[:, 1:].copy()
+    around[::9, 0] = lm.VOCAB   # padding
+    return m, around, drawn[:, 0]
+
+
+def test_gradients_against_plain_loops():
+    m, around, target = lm_batch(700, 5)
+    nodes, turns = lm.paths(m.rank[target])
+    want = [np.zeros(p.shape) for p in m[:5]]
+    for ctx, path, turn in zip(around, nodes, turns):
+        h = np.tanh((m.vectors[ctx] * m.gates).sum(0) + m.bias)
+        err = 1 / (1 + np.exp(-(m.nodes[path] @ h + m.node_bias[path]))) - turn
+        d = (err @ m.nodes[path]) * (1 - h * h)
+        want[1] += m.vectors[ctx] * d
+        want[2] += d
+        for place, gate in zip(ctx, m.gates):
+            want[0][place] += d * gate
+        want[3][path] += err[:, None] * h
+        want[4][path] += err
+    learner = lm.Learner(m)
+    for n in (700, 3, 700):   # what it keeps between calls leaves nothing behind
+        got = learner.gradients(around[:n], target[:n])
+    assert all(np.allclose(g, w, rtol=1e-3, atol=1e-4) for g, w in zip(got, want))
+
+
+def test_a_training_step_allocates_little():
+    """Arrays that every step asks the system for anew cost a page fault in each page."""
+    m, around, target = lm_batch(lm.BATCH, 6)
+    learner = lm.Learner(m)
+    learner.step(around, target)
+    tracemalloc.start()
+    try:
+        learner.step(around, target)
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_add_rows():
     rng = np.random.default_rng(2)
     at, rows, want = rng.integers(0, lm.VOCAB, 9000), rng.normal(size=(9000, lm.SIZE)), np.zeros((lm.VOCAB, lm.SIZE))
@@ -359,6 +405,25 @@ def test_add_rows():
     assert np.allclose(got, want)
 
 
+def test_add_rows_of_uneven_places():
+    """One row of a place, up to and beyond those that are added place by place."""
+    rng = np.random.default_rng(3)
+    at = np.repeat(rng.integers(0, lm.VOCAB, 200), rng.integers(1, 3 * lm.FEW, 200))
+    rng.shuffle(at)
+    rows = rng.normal(size=(len(at), lm.SIZE))
+    for n in (0, 1, 50, len(at)):
+        want, got = np.zeros((2, lm.VOCAB, lm.SIZE))
+        np.add.at(want, at[:n], rows[:n])
+        lm.add_rows(got, at[:n], rows[:n])
+        assert np.allclose(got, want)
+
+
+def test_words_against_a_pattern(odd_texts):
+    for byte_map, rule in ((ALNUM, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (BLANKS, rb"[^\x20\x09-\x0D]+")):
+        for text in [*odd_texts, "".join(map(chr, range(300))), " \x0b\x0c a\x1cb\x85c\u2028d ", "", None]:
+            assert words(text, byte_map) == re.findall(rule, (text or "").encode().lower())
+
+
 # -- queries and pipeline ------------------------------------------------------------------------------
 
 
