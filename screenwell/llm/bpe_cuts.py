@@ -2,7 +2,8 @@
 
 A merge can only join two symbols whose concatenation is a token, so two neighbouring bytes that stand side by side
 in no token of the vocabulary are never joined: between them is a certain cut.  A pre-token is split at these cuts,
-the fragments are encoded alone by rank-ordered merges, and their ids are concatenated.  Fragments, pre-tokens and
+the fragments are encoded alone by rank-ordered merges, and their ids are concatenated.  Cuts are looked for in many
+pre-tokens at once.  Fragments, pre-tokens and
 blank-separated pieces of text repeat, so the latest of each are kept; pieces never share a pre-token.
 
 Pre-tokens come from the tokenizer file's own rule and special tokens are recognised anywhere in a text, as the file
@@ -18,6 +19,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +46,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
+#: What stands after a pre-token and at a cut where many are one text; neither is a byte's letter.
+END, CUT = "\n", "\t"
+
+
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
@@ -66,7 +77,11 @@ class Codec:
         self.special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letter = byte_letters()
         value = {letter: byte for byte, letter in enumerate(self.letter)}
-        self.joined = {token[i:i + 2] for token in vocab for i in range(len(token) - 1)}
+        #: By the codes of two neighbours, whether there is a certain cut between them; never beside `END`, which is no byte's letter.
+        self.apart = np.zeros((max(map(ord, self.letter)) + 1,) * 2, bool)
+        self.apart[np.ix_(*[sorted(map(ord, self.letter))] * 2)] = True
+        for a, b in {token[i:i + 2] for token in vocab for i in range(len(token) - 1)}:
+            self.apart[ord(a), ord(b)] = False
         self.bytes_of = {i: bytes(value[c] for c in token) for token, i in vocab.items()}
         self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
         self.most = most
@@ -76,23 +91,28 @@ class Codec:
         """Drop what was looked up; the vocabulary stays."""
         self.fragments, self.pretokens, self.pieces = Known(self.most), Known(self.most), Known(self.most // 2)
 
+    def cut(self, pretokens: list[str]) -> list[str]:
+        """Pre-tokens with a `CUT` at each certain cut, which are looked for in all at once."""
+        whole = END.join(pretokens)
+        codes = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        at = (np.flatnonzero(self.apart[codes[:-1], codes[1:]]) + 1).tolist()
+        return CUT.join([whole[i:j] for i, j in zip([0, *at], [*at, len(whole)])]).split(END) if pretokens else []
+
     def cuts(self, letters: str) -> list[str]:
         """Fragments between certain cuts of a pre-token."""
-        joined, out, start = self.joined, [], 0
-        for i, (a, b) in enumerate(zip(letters, letters[1:]), 1):
-            if a + b not in joined:
-                out.append(letters[start:i])
-                start = i
-        out.append(letters[start:])
-        return out
+        return self.cut([letters])[0].split(CUT)
 
     def _parts(self, piece: str) -> list[str | int]:
         """Pre-tokens (in byte letters) and special ids of a piece that shares no pre-token with its neighbours."""
         plain = _PLAIN.match(piece)
         if plain:   # a word and its stops are two pre-tokens; no need to ask the rule
             word, stops = plain.groups()
-            letter = self.letter
-            return ["".join([letter[b] for b in word.encode()]), *([stops] if stops else [])]
+            if word.isascii():
+                word = word.replace(" ", self.letter[32])   # other letters stand for themselves
+            else:
+                letter = self.letter
+                word = "".join([letter[b] for b in word.encode()])
+            return [word, stops] if stops else [word]
         out: list[str | int] = []
         for part in self.special_at.split(piece) if self.special_at else [piece]:
             if part in self.special:
@@ -101,25 +121,32 @@ class Codec:
                 out += [letters for letters, _ in self.pre.pre_tokenize_str(part)]
         return out
 
+    def merge(self, ask: list[str], known: Known) -> None:
+        """Put the ids of fragments, or of pre-tokens without a cut, among the known."""
+        for at in range(0, len(ask), LOT):   # the library's results are large beside their ids
+            lot = ask[at:at + LOT]
+            known.update((f, packed(e.ids)) for f, e in zip(lot, self.merger.encode_batch_fast(lot, add_special_tokens=False)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, little-endian unsigned 32-bit each; a batch's new pieces are worked out together."""
         cut = []
         for text in texts:
             first, *rest = lone_blanks(text or "")
             cut.append([first, *[" " + piece for piece in rest]])
-        parts = {piece: self._parts(piece) for piece in self.pieces.missing(set().union(*cut))}
-        new = self.pretokens.missing({p for ps in parts.values() for p in ps if isinstance(p, str)})
-        fragments = {letters: self.cuts(letters) for letters in new}
-        ask = list(self.fragments.missing({f for fs in fragments.values() for f in fs}))
-        for at in range(0, len(ask), LOT):   # the library's results are large beside their ids
-            lot = ask[at:at + LOT]
-            self.fragments.update((f, np.array(e.ids, "<u4").tobytes()) for f, e in zip(
-                lot, self.merger.encode_batch_fast(lot, add_special_tokens=False)))
+        parts, blank = {}, self.letter[32]
+        for piece in self.pieces.missing(set().union(*cut)):
+            word = piece[1:]
+            plain = word.isascii() and word.isalpha() and piece[0] == " "   # one pre-token, whose letters stand for themselves
+            parts[piece] = blank + word if plain else self._parts(piece)
+        new = list(self.pretokens.missing({p for ps in parts.values() for p in ([ps] if isinstance(ps, str) else ps) if isinstance(p, str)}))
+        fragments = {letters: marked.split(CUT) for letters, marked in zip(new, self.cut(new)) if CUT in marked}
+        self.merge([letters for letters in new if letters not in fragments], self.pretokens)
+        self.merge(list(self.fragments.missing({f for fs in fragments.values() for f in fs})), self.fragments)
         of = self.fragments.__getitem__
         self.pretokens.update((letters, b"".join(map(of, fs))) for letters, fs in fragments.items())
         ids = self.pretokens
-        self.pieces.update((piece, b"".join([ids[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in ps]))
-                           for piece, ps in parts.items())
+        self.pieces.update((piece, ids[ps] if isinstance(ps, str) else b"".join(
+            [ids[p] if isinstance(p, str) else packed([p]) for p in ps])) for piece, ps in parts.items())
         of = self.pieces.__getitem__
         return [b"".join(map(of, pieces)) for pieces in cut]
 

@@ -63,6 +63,22 @@ def test_cuts_lie_between_tokens():
         assert set(np.cumsum([len(p) for p in parts]).tolist()) <= set(ends)
 
 
+def test_cuts_are_looked_for_in_many_pretokens_at_once(monkeypatch):
+    """Not letter by letter in Python; a pre-token without a cut is known once, not as a fragment too."""
+    codec, tok, asked = bc.Codec(BYTE), Tokenizer.from_file(BYTE), []
+    own = codec.cuts
+    monkeypatch.setattr(codec, "cuts", lambda letters: asked.append(letters) or own(letters))
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("etaoinshrdlu" if i % 3 else "xqzjkvwé\t7", k=7)) for i in range(3000))
+    assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert not asked and not set(codec.fragments) & {p for p in codec.pretokens if own(p) == [p] and len(p) == 8}
+    joined = {t[i:i + 2] for t in tok.get_vocab() for i in range(len(t) - 1)}
+    known = ["a", *codec.pretokens]
+    for letters, marked in zip(known, codec.cut(known)):
+        assert marked == "".join(c if not i or letters[i - 1] + c in joined else bc.CUT + c for i, c in enumerate(letters))
+    assert codec.cut([]) == [] and codec.encode([]) == [] and codec.encode([None, ""]) == [b"", b""]
+
+
 def test_bpe_holds_little_at_a_time():
     """Four million characters and many new fragments: what is held beside the ids stays far below a worker's share."""
     codec, asked = bc.Codec(BYTE), []
